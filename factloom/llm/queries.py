@@ -1,8 +1,8 @@
 """Queries and oracle SQL of the training-data operators, for __spark_entry__.py."""
 
-from factloom.llm import exact_dedup, line_dedup, warc
+from factloom.llm import exact_dedup, langid, line_dedup, mixing, pieces, warc
 
-_MODULES = [exact_dedup, line_dedup, warc]
+_MODULES = [mixing, exact_dedup, pieces, langid, line_dedup, warc]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
