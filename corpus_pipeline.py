@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +13,23 @@ from factloom.llm.common import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, texts without a letter) go; the others stay."""
-    langs, logp = langid.fit_documents(docs)
-    found = langid.predict(docs, langs, logp).filter("lang_pred <> 'und'").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
+    return langid.accepted(docs, *langid.fit_documents(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
+    """Of equal texts the largest doc_id stays, once; documents without an id count as copies of those with one."""
+    found = exact_dedup.exact_dedup(docs).filter("NOT kept AND keep_id IS NOT NULL").select(F.col("doc_id").alias("__id"), "text_sha256").distinct()
+    key = F.sha2(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase).cast("binary"), 256)
+    keyed = docs.withColumn("__sha", key)
+    left = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__sha"] == found["text_sha256"]), "left_anti")
+    return left.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (words in shingles of five, similarity 0.8) the smallest doc_id stays."""
-    kept = jaccard_join.jaccard_components(docs, k=5, percent=80).filter("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
+    """Of each group of near copies (words in shingles of five, similarity 0.8) the smallest doc_id stays; documents
+    without an id are compared with none and stay."""
+    gone = jaccard_join.jaccard_components(docs, k=5, percent=80).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,8 +89,12 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 
 
 def filled(column: pa.Array) -> pa.Array:
-    """Null as empty, with 64-bit offsets."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Null as empty, with 64-bit offsets that start at 0 (kernels differ on how they take slices)."""
+    out = pc.fill_null(column.cast(pa.large_string()), "")
+    data, at = raw(out)
+    if not len(out) or not at[0] and not out.offset:
+        return out
+    return pa.LargeStringArray.from_buffers(len(out), pa.py_buffer(at - at[0]), pa.py_buffer(data[at[0] : at[-1]]))
 
 
 def raw(strings: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -113,3 +117,32 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def rows(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+# ---- fixed-size arrays summed over tasks ---------------------------------------------------------------------------
+
+
+def blocks_of(values: np.ndarray, size: int) -> pa.RecordBatch:
+    """An array as rows (block, data) of `size` elements each, without those that are all zero."""
+    parts = values.reshape(-1, size)
+    some = [k for k in range(len(parts)) if parts[k].any()]
+    return rows({"block": some, "data": [parts[k].tobytes() for k in some]}, pa.schema([("block", pa.int32()), ("data", pa.binary())]))
+
+
+def reduced(blocks: DataFrame, count: int, size: int, kind: str = "sum") -> np.ndarray:
+    """All tasks' blocks added up ("sum": uint32, "float": float32) or or-ed ("bits": uint32). Each block is a stream
+    through one task; the result has a fixed size, whatever the input's."""
+    dtype = np.float32 if kind == "float" else np.uint32
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                got = np.frombuffer(data.as_buffer(), dtype)
+                sums[k] = got.copy() if k not in sums else sums[k] | got if kind == "bits" else sums[k] + got
+        yield rows({"block": list(sums), "data": [x.tobytes() for x in sums.values()]}, pa.schema([("block", pa.int32()), ("data", pa.binary())]))
+
+    out = np.zeros((count, size), dtype)
+    for r in blocks.repartition("block").mapInArrow(run, "block int, data binary").collect():
+        out[r.block] = np.frombuffer(bytes(r.data), dtype)
+    return out.ravel()

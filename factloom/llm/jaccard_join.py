@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, filled, materialize, rows, spread_lookup, table, text_slices, words_of
+from factloom.llm.common import blocks_of, discard, filled, materialize, reduced, rows, spread_lookup, table, text_slices, words_of
 from factloom.llm.graph import components
 
 K, PERCENT = 4, 85
@@ -64,29 +64,6 @@ def shingle_sets(texts: pa.Array, k: int = K) -> list[np.ndarray]:
     return out
 
 
-def _reduced(blocks: DataFrame, count: int, size: int, bits: bool = False) -> np.ndarray:
-    """Sum (or bitwise or) of fixed-size uint32 blocks (block, data) over all tasks; a stream per block."""
-
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                got = np.frombuffer(data.as_buffer(), np.uint32)
-                sums[k] = got.copy() if k not in sums else sums[k] | got if bits else sums[k] + got
-        yield rows({"block": list(sums), "data": [x.tobytes() for x in sums.values()]}, pa.schema([("block", pa.int32()), ("data", pa.binary())]))
-
-    out = np.zeros((count, size), np.uint32)
-    for r in blocks.repartition("block").mapInArrow(run, "block int, data binary").collect():
-        out[r.block] = np.frombuffer(bytes(r.data), np.uint32)
-    return out.ravel()
-
-
-def _blocks(values: np.ndarray, size: int):
-    parts = values.reshape(-1, size)
-    some = [k for k in range(len(parts)) if parts[k].any()]
-    return rows({"block": some, "data": [parts[k].tobytes() for k in some]}, pa.schema([("block", pa.int32()), ("data", pa.binary())]))
-
-
 def _bucket(sets: np.ndarray) -> np.ndarray:
     return (sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -99,9 +76,9 @@ def sketch(docs: DataFrame, k: int = K) -> np.ndarray:
         for b in batches:
             for part in text_slices(b):
                 total += np.bincount(_bucket(np.concatenate(shingle_sets(filled(part.column("text")), k))), minlength=1 << SKETCH_BITS)
-        yield _blocks(np.minimum(total, 2**31).astype(np.uint32), SKETCH_BLOCK)
+        yield blocks_of(np.minimum(total, 2**31).astype(np.uint32), SKETCH_BLOCK)
 
-    return _reduced(docs.select("text").mapInArrow(run, "block int, data binary"), (1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK)
+    return reduced(docs.select("text").mapInArrow(run, "block int, data binary"), (1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -150,10 +127,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = K, percent: int = PERCE
         for b in batches:
             at = b.column("place").to_numpy()
             np.bitwise_or.at(bits, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-        yield _blocks(bits, SKETCH_BLOCK)
+        yield blocks_of(bits, SKETCH_BLOCK)
 
     words = 1 << (FILTER_BITS - 5)
-    bitmap = docs.sparkSession.sparkContext.broadcast(_reduced(ids.select(place.alias("place")).mapInArrow(mark, "block int, data binary"), words // SKETCH_BLOCK, SKETCH_BLOCK, True))
+    bitmap = docs.sparkSession.sparkContext.broadcast(reduced(ids.select(place.alias("place")).mapInArrow(mark, "block int, data binary"), words // SKETCH_BLOCK, SKETCH_BLOCK, "bits"))
 
     def read(batches):
         bits, schema = bitmap.value, pa.schema([("id", pa.int64()), ("s", pa.binary())])

@@ -143,6 +143,21 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, penalty: float
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
+def accepted(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
+    """The rows of docs, with all their columns, whose predicted language is not 'und'. No shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast((langs, logp))
+
+    def run(batches):
+        langs, logp = model.value
+        for b in batches:
+            for part in text_slices(b):
+                texts = filled(part.column("text"))
+                letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+                yield part.filter(pa.array(letters & (infer(texts, logp).sum(1) > 0)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Fit on the rows of docs that are not held out (crc32 of the id mod 4 is not 2)."""
     return fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
