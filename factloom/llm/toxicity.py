@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import discard, filled, held_out, materialize, rows, table, text_slices, words_of
 
-PER_CLASS, TERMS, LEAST_DF, LEAST_CHI2, NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 3000, 8192, 8, 30.0, 25, 64, 0.05
+PER_CLASS, TERMS, LEAST_DF, LEAST_CHI2, NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 3000, 8192, 8, 20.0, 25, 64, 0.05
 _OUTER = string.punctuation + "“”„«»¿¡…–—"
 
 
@@ -43,8 +43,11 @@ def _term_rows(texts: pa.Array, wanted: dict[str, int]) -> tuple[np.ndarray, np.
     flat, bounds = words_of(texts)
     coded = flat.dictionary_encode()
     first, ids = np.zeros(len(coded.dictionary) + 1, np.int64), []
+    heads = {t.removeprefix("^")[:4] for t in wanted}
     for k, w in enumerate(coded.dictionary.to_pylist()):
-        ids += [wanted[t] for t in terms_of(w) if t in wanted]
+        w = w.lower() if w[0].isalnum() else w.lower().strip(_OUTER)
+        if w[:4] in heads or w.rstrip(_OUTER)[:4] in heads:
+            ids += [wanted[t] for t in terms_of(w) if t in wanted]
         first[k + 1] = len(ids)
     codes = coded.indices.to_numpy()
     n = np.diff(first)[codes]
@@ -56,40 +59,41 @@ def _term_rows(texts: pa.Array, wanted: dict[str, int]) -> tuple[np.ndarray, np.
 
 
 class BlockMaxIndex:
-    """Unit vectors by term, with the largest weight of each term in each block of ids."""
+    """Unit vectors by term, cut into blocks of ids; each term keeps its largest weight in each block."""
 
     def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, terms: int):
         self.count, self.blocks = count, max(1, -(-count // BLOCK))
         order = np.lexsort((owner, term))
         self.owner, self.weight = owner[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(terms + 1))
-        self.top = np.zeros((terms, self.blocks), np.float64)
+        self.range = np.searchsorted(term[order] * self.blocks + self.owner // BLOCK, np.arange(terms * self.blocks + 1))
+        self.top = np.zeros((terms, self.blocks))
         np.maximum.at(self.top, (term, owner // BLOCK), weight)
 
+    def _scores(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all examples, exact for those of the given blocks and 0 for the others."""
+        place = (term[:, None] * self.blocks + blocks).ravel()
+        start, n = self.range[place], self.range[place + 1] - self.range[place]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(start - ends + n, n)
+        return np.bincount(self.owner[at], self.weight[at] * np.repeat(np.repeat(weight, len(blocks)), n), minlength=self.count)
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties: smaller number), only those above 0."""
+        """The k examples of largest cosine (ties: smaller number), only those above 0. Blocks are visited from the
+        largest bound down, a growing number at a time, until none left can reach the k-th score."""
         bound = weight @ self.top[term]
-        found, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        lists = [(self.owner[a:b], self.weight[a:b] * w) for t, w in zip(term, weight, strict=True) for a, b in [(self.first[t], self.first[t + 1])]]
-        visit = np.argsort(-bound, kind="stable")
-        step = 4
-        for i in range(0, len(visit), step):
-            some = [b for b in visit[i : i + step] if bound[b] > 0 and bound[b] >= least]
-            if not some:
-                break
-            for b in some:
-                total = np.zeros(BLOCK)
-                for ids, w in lists:
-                    lo, hi = np.searchsorted(ids, (b * BLOCK, (b + 1) * BLOCK))
-                    total[ids[lo:hi] - b * BLOCK] += w[lo:hi]
-                if skip // BLOCK == b and skip >= 0:
-                    total[skip - b * BLOCK] = 0.0
-                some_ = np.flatnonzero(total > 0)
-                found, score = np.concatenate([found, some_ + b * BLOCK]), np.concatenate([score, total[some_]])
-            if len(found) > k:
+        visit = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
+        found, score, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
+        while len(visit) and bound[visit[0]] >= least:
+            total = self._scores(term, weight, visit[:step])
+            if skip >= 0:
+                total[skip] = 0.0
+            some = np.flatnonzero(total)
+            found, score = np.concatenate([found, some]), np.concatenate([score, total[some]])
+            if len(found) >= k:
                 order = np.lexsort((found, -score))[:k]
                 found, score = found[order], score[order]
                 least = score[-1]
+            visit, step = visit[step:], step * 2
         order = np.lexsort((found, -score))[:k]
         return found[order], score[order]
 
@@ -188,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 yield rows({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "term": [term[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "count": [count[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]}, schema)
 
-    found = sorted(examples.mapInArrow(vectors, "doc_id long, toxic int, term array<int>, count array<int>").collect())
+    found = examples.mapInArrow(vectors, "doc_id long, toxic int, term array<int>, count array<int>").collect()
+    found.sort(key=lambda r: (r.toxic, max(zip([idf[t] for t in r.term], r.term, strict=True), default=(0.0, -1)), r.doc_id))  # like examples share blocks
     discard(examples)
     toxic = np.array([r.toxic for r in found])
     owner = np.repeat(np.arange(len(found)), [len(r.term) for r in found])
