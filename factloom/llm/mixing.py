@@ -7,8 +7,8 @@ compares the probability with a hash of doc_id, so a rerun or a lost executor dr
 
 Targets: for each dimension either an exponent (shares are tempered: share^a, normalised) or a dict value -> weight
 (values that it lacks keep no weight). topic is the document's form, by marks found anywhere in the whole text. Null
-source or lang: the value '(none)'. Null or empty text: 0 tokens; such documents carry no weight and are kept
-(probability 1). Null doc_id: drawn as the empty id. Repeated rows share one decision. Empty table: empty result.
+source or lang: the value '(none)'. Null or empty text: 0 tokens; such a document carries no weight and is drawn with its
+cell's probability (1 in a cell without tokens). Null doc_id: drawn as the empty id. Repeated rows share one decision. Empty table: empty result.
 """
 
 from __future__ import annotations
