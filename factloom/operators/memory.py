@@ -50,24 +50,24 @@ def eligible(claims: DataFrame, min_confidence: float, statuses: list[str]) -> D
 
 def retrieve_keyword(queries: DataFrame, query_key: str, claims: DataFrame, top_k: int = 5, min_confidence: float = 0.5, statuses: list[str] | None = None) -> DataFrame:
     """query_key, claim_id, score (share of the query's keywords that the claim holds) and rank."""
-    asked = queries.select(query_key, keywords(F.col("text")).alias("q"))
+    asked = queries.select(query_key, keywords(F.col("text")).alias("__q"))
     index = claim_keywords(eligible(claims, min_confidence, statuses or REUSABLE))
-    hits = asked.select(query_key, F.size("q").alias("n"), F.explode("q").alias("keyword")).join(index, "keyword").groupBy(query_key, "n", "claim_id").agg(F.count("*").alias("overlap"))
-    scored = hits.select(query_key, "claim_id", (F.col("overlap") / F.col("n")).alias("score")).join(claims.select("claim_id", "seq"), "claim_id")
+    hits = asked.select(query_key, F.size("__q").alias("__n"), F.explode("__q").alias("keyword")).join(index, "keyword").groupBy(query_key, "__n", "claim_id").agg(F.count("*").alias("overlap"))
+    scored = hits.select(query_key, "claim_id", (F.col("overlap") / F.col("__n")).alias("score")).join(claims.select("claim_id", "seq"), "claim_id")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), "seq")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select(query_key, "claim_id", "score", "rank")
 
 
-def retrieve_vector(queries: DataFrame, query_key: str, claims: DataFrame, top_k: int = 5, bound: int = 100_000) -> DataFrame:
+def retrieve_vector(queries: DataFrame, query_key: str, claims: DataFrame, top_k: int = 5) -> DataFrame:
     """query_key, claim_id, score and rank by cosine of `embedding` columns. Each query meets every claim, in blocks:
     the queries are copied to each block of claims, where only the block's best top_k go on."""
     spark = claims.sparkSession
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = claims.select("claim_id", F.col("embedding").alias("e"), F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = queries.select(query_key, F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = asked.join(own, "block").select(query_key, "block", "claim_id", cosine(F.col("q"), F.col("e"), "null").alias("score"))
+    own = claims.select("claim_id", F.col("embedding").alias("__e"), F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int").alias("__block"))
+    asked = queries.select(query_key, F.col("embedding").alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    scored = asked.join(own, "__block").select(query_key, "__block", "claim_id", cosine(F.col("__q"), F.col("__e"), "null").alias("score"))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("score"), "claim_id"))
-    local = scored.withColumn("r", rank(query_key, "block")).filter(F.col("r") <= top_k)
+    local = scored.withColumn("r", rank(query_key, "__block")).filter(F.col("r") <= top_k)
     return local.withColumn("rank", rank(query_key)).filter(F.col("rank") <= top_k).select(query_key, "claim_id", "score", "rank")
 
 
