@@ -37,7 +37,6 @@ EXTERNAL_VERBS = ["invented|discovered|created|founded|wrote", "was born in|is l
 GROUND_VERBS = ["invented|discovered|created|wrote|founded|born in|located in|is", "is|was|are|were"]
 
 CONFIDENCE, JSON_CONFIDENCE, JSON_PREDICATE, LEAST_LENGTH = 0.7, 0.8, "unknown", 2
-CLAIM = "struct<subject:string,predicate:string,object:string>"
 
 
 def verb_pattern(verb: str) -> str:
@@ -45,24 +44,28 @@ def verb_pattern(verb: str) -> str:
     return rf"^(.+?)\s+{verb}\s+(.+?)$"
 
 
-def triple(sentence: Column) -> Column:
-    """The first predicate, in order, whose subject and object are long enough; null if there is none. Sentences
-    without any verb are passed over by one pattern; else each verb cuts the sentence at most once."""
+def states_something(sentence: Column) -> Column:
+    """Whether any verb stands between white space: the cheap test before the cuts."""
+    space = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    return sentence.rlike("(?i)" + space + "(?:" + "|".join(verb.replace(r"\s", space) for _, verb in VERBS) + ")" + space)
+
+
+def triples(sentence: Column) -> Column:
+    """Array of (predicate, subject, object) by the verbs, in order, whose subject and object are long enough."""
     s = strip(F.regexp_replace(strip(sentence), r"[.!?]+$", ""))
-    cuts = F.array(*[F.regexp_replace(s, "(?idU)" + verb_pattern(verb), "$1\u0001$2") for _, verb in VERBS])
-    names = F.array(*[F.lit(predicate) for predicate, _ in VERBS])
-    parts = F.transform(cuts, lambda x, k: F.struct(F.element_at(names, k + 1).alias("predicate"), F.transform(F.split(x, "\u0001"), strip).alias("p")))
-    fits = F.filter(parts, lambda x: (F.size(x["p"]) == 2) & (F.length(x["p"][0]) >= LEAST_LENGTH) & (F.length(x["p"][1]) >= LEAST_LENGTH))
-    first = F.get(fits, F.lit(0))
-    some = s.rlike(r"(?iU)\s(?:" + "|".join(verb for _, verb in VERBS) + r")\s")
-    return F.when(some & first.isNotNull(), F.struct(first["p"][0].alias("subject"), first["predicate"].alias("predicate"), first["p"][1].alias("object")))
+    cuts = F.array(*[F.struct(F.lit(predicate).alias("predicate"), F.regexp_replace(s, "(?idU)" + verb_pattern(verb), "$1\u0001$2").alias("cut")) for predicate, verb in VERBS])
+    hits = F.filter(cuts, lambda x: F.contains(x["cut"], F.lit("\u0001")))
+    part = lambda x, k: strip(F.substring_index(x["cut"], "\u0001", k))
+    sides = F.transform(hits, lambda x: F.struct(x["predicate"].alias("predicate"), part(x, 1).alias("subject"), part(x, -1).alias("object")))
+    return F.filter(sides, lambda x: (F.length(x["subject"]) >= LEAST_LENGTH) & (F.length(x["object"]) >= LEAST_LENGTH))
 
 
 def extract_claims(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """key, claim_idx, subject, predicate, object, raw, confidence: one row per sentence that states a claim."""
-    each = texts.select(key, F.posexplode(sentences(F.col(column))).alias("sentence_idx", "raw"))
-    some = F.col("raw").rlike(r"(?iU)\s(?:" + "|".join(verb for _, verb in VERBS) + r")\s")
-    each = each.filter(some).withColumn("t", triple(F.col("raw"))).filter("t IS NOT NULL")
+    """key, claim_idx, subject, predicate, object, raw, confidence: one row per sentence that states a claim. Both
+    generators run once a row, whatever is read from them. Sentences are dealt by key before the cuts, which the grouping
+    below needs in any case, so a text that sits in one file split is not cut in one task."""
+    each = texts.select(key, F.posexplode(sentences(F.col(column))).alias("sentence_idx", "raw")).filter(states_something(F.col("raw"))).repartition(key)
+    each = each.select(key, "sentence_idx", "raw", F.explode(F.slice(triples(F.col("raw")), 1, 1)).alias("t"))
     order = F.array_sort(F.collect_list(F.struct("sentence_idx", "raw", "t")))
     numbered = each.groupBy(key).agg(order.alias("c")).select(key, F.posexplode("c").alias("claim_idx", "c"))
     return numbered.select(key, "claim_idx", "c.t.subject", "c.t.predicate", "c.t.object", "c.raw", F.lit(CONFIDENCE).alias("confidence"))

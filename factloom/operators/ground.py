@@ -38,22 +38,28 @@ def store_stats(tables: dict[str, DataFrame]) -> DataFrame:
     return out.union(tables["propositions"].agg(F.sum((F.col("status") == "verified").cast("long")).alias("rows")).select(F.lit("verified").alias("table"), "rows"))
 
 
+def similar_pairs(left: DataFrame, a: str, right: DataFrame, b: str, least: float) -> DataFrame:
+    """Pairs (a, b) of distinct strings with a SHA cosine above `least`. A hash of a text says nothing of its parts, so
+    every string meets every other: those of the left are copied to blocks of the right."""
+    blocks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = left.select(a).distinct().withColumn("__x", sha_embed(F.col(a))).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    y = right.select(b).distinct().withColumn("__y", sha_embed(F.col(b))).withColumn("__block", F.pmod(F.xxhash64(b), F.lit(blocks)).cast("int"))
+    return x.join(y, "__block").filter(cosine(F.col("__x"), F.col("__y")) > least).select(a, b)
+
+
 def check(claims: DataFrame, key: str, propositions: DataFrame, column: str = "text") -> DataFrame:
     """key, status, confidence, matched (raw text) and reason. A contradiction wins over a match; the most similar
-    proposition is named, the first of equals. Every claim meets every proposition, since a hash of the whole text says
-    nothing of its parts; claims are copied to blocks of propositions, and each block keeps its best."""
-    blocks = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    c = claims.select(key, F.col(column).alias("text"), parse_triple(F.col(column), GROUND_VERBS).alias("t"))
-    parsed = c.filter("t IS NOT NULL")
-    emb = {"e_text": sha_embed(F.col("text")), "e_s": sha_embed(F.col("t.subject")), "e_p": sha_embed(F.col("t.predicate")), "e_o": sha_embed(F.col("t.object"))}
-    asked = parsed.withColumns(emb).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    own = propositions.select("seq", "subject", "predicate", "object", "raw_text", sha_embed(F.col("raw_text")).alias("f_text"), sha_embed(F.col("subject")).alias("f_s"), sha_embed(F.col("predicate")).alias("f_p"), sha_embed(F.col("object")).alias("f_o"), F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int").alias("block"))
-    near = asked.join(own, "block").withColumn("sim", cosine(F.col("e_text"), F.col("f_text"))).filter(F.col("sim") > CANDIDATE)
-    s, p, o = (cosine(F.col(f"e_{x}"), F.col(f"f_{x}")) for x in "spo")
-    near = near.withColumns({"s_sim": s, "p_sim": p, "o_sim": o})
-    fits = (F.col("p_sim") > PREDICATE) & (F.col("o_sim") > OBJECT)
-    kind = F.when(fits & (F.col("s_sim") > SUBJECT), "verified").when(fits & (F.col("s_sim") < OTHER_SUBJECT), "refuted")
-    near = near.withColumn("kind", kind).filter("kind IS NOT NULL")
+    proposition is named, the first of equals. Predicates and objects are compared as distinct strings first; only
+    claims and propositions that agree in both meet, and their subjects and whole texts are compared."""
+    c = claims.select(key, F.col(column).alias("text"), parse_triple(F.col(column), GROUND_VERBS).alias("t")).persist()
+    parsed = c.filter("t IS NOT NULL").select(key, "text", F.col("t.subject").alias("c_s"), F.col("t.predicate").alias("c_p"), F.col("t.object").alias("c_o"))
+    props = propositions.select("seq", "subject", "predicate", "object", "raw_text")
+    p = similar_pairs(parsed, "c_p", props, "predicate", PREDICATE)
+    o = similar_pairs(parsed, "c_o", props, "object", OBJECT)
+    near = parsed.join(p, "c_p").join(o, "c_o").join(props, ["predicate", "object"])
+    near = near.withColumns({"s_sim": cosine(sha_embed(F.col("c_s")), sha_embed(F.col("subject"))), "sim": cosine(sha_embed(F.col("text")), sha_embed(F.col("raw_text")))})
+    kind = F.when(F.col("s_sim") > SUBJECT, "verified").when(F.col("s_sim") < OTHER_SUBJECT, "refuted")
+    near = near.filter(F.col("sim") > CANDIDATE).withColumn("kind", kind).filter("kind IS NOT NULL")
     best = near.groupBy(key).agg(F.max(F.struct((F.col("kind") == "refuted").alias("against"), "sim", (-F.col("seq")).alias("o"), F.struct("subject", "predicate", "object", "raw_text", "kind").alias("p"))).alias("b"))
     j = c.join(best, key, "left")
     b = F.col("b.p")
