@@ -85,7 +85,7 @@ def test_rake_meets_targets(spark):
 
 def test_mixing_edges(spark):
     out = {(r.doc_id, r.n_tokens): r for r in mixing.mix(edge_docs(spark)).collect()}
-    assert len(out) == len(EDGE) + 1 and all(0 < r.prob <= 1 for r in out.values()) and out[None, 4].source == "(none)"
+    assert len(out) == len(EDGE) + 1 and all(0 < r.prob <= 1 for r in out.values()) and out[None, 3].source == "(none)"
     empty = edge_docs(spark).filter("text IS NULL")
     assert [(r.prob, r.sampled) for r in mixing.mix(empty).collect()] == [(1.0, True)]
     assert mixing.mix(edge_docs(spark).limit(0)).count() == 0
