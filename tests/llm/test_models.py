@@ -150,6 +150,24 @@ def test_lm_edges(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in none)
 
 
+def test_lm_emissions_cover_every_word(spark, monkeypatch):
+    texts = [" ".join(f"w{(k * j) % 50}" for j in range(n)) for k, n in ((1, 5), (3, 300), (7, 2000))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    emit, emit_words = lm.AttentionLM.emit, lm.AttentionLM.emit_words
+    monkeypatch.setattr(lm.AttentionLM, "emit", lambda self, e, unigram, *a: (seen.update(expected=e.sum(), unigram=unigram), emit(self, e, unigram, *a))[1])
+    monkeypatch.setattr(lm.AttentionLM, "emit_words", lambda self, e, *a: (seen.update(words=e.sum()), emit_words(self, e, *a))[1])
+    c = Counter(" ".join(texts).split())
+    words = list(c)
+    lm.fit(d, lm.Frequent(lm._hashes(words), np.array([c[w] for w in words]), 3))
+    encoder = lm.Encoder(lm.load())
+    ids = [i for t in texts for i in encoder.words(t.split())[0]]
+    want = np.bincount(ids + [encoder.end] * 6, minlength=encoder.end + 1)
+    assert (seen["unigram"] == want).all()
+    # an id each and the ends are predicted, and every word is frequent here
+    assert seen["expected"] == pytest.approx(len(ids) + 3, rel=1e-4) and seen["words"] == pytest.approx(2305 + 3, rel=1e-4)
+
+
 # ---- SentencePiece -------------------------------------------------------------------------------------------------
 
 
