@@ -2,8 +2,10 @@
 
 Token counts are summed into (source, lang, topic) cells; iterative proportional fitting rakes the cells' weights to
 the source, language and topic marginals in turn; a document's inclusion probability is its cell's weight per token,
-scaled so that the largest is 1 - no clipping, so the expected tokens of the sample meet the marginals. Sampling
-compares the probability with a hash of doc_id, so a rerun or a lost executor draws the same sample.
+scaled so that `SHARE` of all tokens is expected. A cell that would need more than it has is taken whole, the others are
+raked to what is left of the marginals, so a rare cell shrinks no other; marginals that the corpus can't fill are missed
+by what it lacks. Without a share (op2_mixing, whose SQL says so) the largest probability is 1 and no cell is clipped: the
+marginals are met exactly, at a size that the rarest cell sets. Sampling compares the probability with a hash of doc_id, so a rerun or a lost executor draws the same sample.
 
 Targets: for each dimension either an exponent (shares are tempered: share^a, normalised) or a dict value -> weight
 (values that it lacks keep no weight). topic is the document's form, by marks found anywhere in the whole text. Null
@@ -21,6 +23,8 @@ from factloom.llm.common import materialize, spread_lookup, table
 DIMS = ("source", "lang", "topic")
 TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 SWEEPS, SWEEPS_A_JOB = 10, 2
+#: Expected share of all tokens in a sample.
+SHARE = 0.5
 #: Up to this many cells are broadcast; more go through a shuffle.
 BROADCAST_CELLS = 50_000
 
@@ -43,8 +47,9 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def rake(cells: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """cells: source, lang, topic, tokens, n_docs, one row per cell. Adds weight (raked, sums to 1) and prob."""
+def rake(cells: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS, share: float | None = None) -> DataFrame:
+    """cells: source, lang, topic, tokens, n_docs, one row per cell. Adds weight (raked, sums to 1) and prob. With a share,
+    no weight is more than the cell's part of such a sample if it is taken whole."""
     targets = TARGETS | (targets or {})
     for dim in DIMS:
         by = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("__m"))
@@ -56,18 +61,39 @@ def rake(cells: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS) ->
         whole = by.agg(F.sum("__t")).first()[0] or 1.0
         cells = cells.join(by.select(dim, (F.col("__t") / F.lit(whole)).alias(f"__t_{dim}")), dim)
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 0) or 1.0
+    whole_cell = F.col("tokens") / F.lit(whole * (share or 1.0))
     cells = materialize(cells.withColumn("weight", F.col("tokens") / F.lit(whole)), "mix-cells")
     for k in range(sweeps):
         for dim in DIMS:
-            margin = F.sum("weight").over(Window.partitionBy(dim))
-            cells = cells.withColumn("weight", F.when(margin > 0, F.col("weight") * F.col(f"__t_{dim}") / margin).otherwise(F.lit(0.0)))
+            by, target = Window.partitionBy(dim), F.col(f"__t_{dim}")
+            margin = F.sum("weight").over(by)
+            scaled = F.col("weight") * target / margin
+            if share is not None:
+                loose = F.sum(F.when(F.col("weight") < whole_cell, F.col("weight")).otherwise(0.0)).over(by)
+                more = F.when(F.col("weight") < whole_cell, F.least(whole_cell, F.col("weight") * (target - margin + loose) / loose)).otherwise(whole_cell)
+                scaled = F.when(target <= margin, scaled).otherwise(more)
+            cells = cells.withColumn("weight", F.when(margin > 0, scaled).otherwise(F.lit(0.0)))
         if k % SWEEPS_A_JOB == SWEEPS_A_JOB - 1 or k == sweeps - 1:
             cells = materialize(cells, "mix-cells")
+    if share is not None:
+        prob = F.least(F.lit(1.0), F.col("weight") * F.lit(_scale(cells, whole_cell)) / whole_cell)
+        return cells.withColumn("prob", F.when(F.col("tokens") > 0, prob).otherwise(F.lit(1.0))).drop(*[f"__t_{d}" for d in DIMS])
     rate = F.col("weight") / F.col("tokens")
     top = cells.filter("tokens > 0").agg(F.max(rate)).first()[0] or 1.0
     return cells.withColumn("prob", F.when(F.col("tokens") > 0, rate / F.lit(top)).otherwise(F.lit(1.0))).drop(*[f"__t_{d}" for d in DIMS])
 
 
+def _scale(cells: DataFrame, whole_cell: Column) -> float:
+    """The factor by which the weights, each up to its whole cell, add up to 1 (or to all that has weight)."""
+    scale, taken = 1.0, -1
+    while True:
+        full = F.col("weight") * F.lit(scale) >= whole_cell
+        r = cells.filter("weight > 0").agg(F.count(F.when(full, 1)).alias("n"), F.sum(F.when(full, whole_cell)).alias("fixed"), F.sum(F.when(~full, F.col("weight"))).alias("loose")).first()
+        if r["n"] == taken or not r["loose"]:
+            return scale
+        scale, taken = max(scale if taken >= 0 else 0.0, (1.0 - (r["fixed"] or 0.0)) / r["loose"]), r["n"]
+
+
 def draw(doc_id: Column) -> Column:
     """A number in [0, 1) from the id."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
@@ -81,10 +107,10 @@ def weighed(docs: DataFrame) -> DataFrame:
     return described(docs).select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), token_count(F.col("text")).alias("n_tokens"))
 
 
-def mix(docs: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS, share: float | None = SHARE) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, prob and sampled for every row of docs."""
     each = materialize(weighed(docs), "mix-docs")
-    raked = materialize(rake(cells_of(each), targets, sweeps), "mix-raked")
+    raked = materialize(rake(cells_of(each), targets, sweeps, share), "mix-raked")
     out = _with_cells(each, raked, each.count())
     return out.select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (draw(F.col("doc_id")) < F.col("prob")).alias("sampled"))
 
@@ -97,17 +123,17 @@ def _with_cells(each: DataFrame, raked: DataFrame, total: int, mark: str = "") -
     return spread_lookup(each, raked.select(*keys, f"{mark}prob", f"{mark}n_docs"), keys, f"{mark}n_docs", total, F.col("doc_id"))
 
 
-def mixed_sample(docs: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def mixed_sample(docs: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS, share: float | None = SHARE) -> DataFrame:
     """The sampled rows of docs, with docs' own columns."""
     light = materialize(weighed(docs), "mix-docs")
-    raked = materialize(rake(cells_of(light), targets, sweeps), "mix-raked")
+    raked = materialize(rake(cells_of(light), targets, sweeps, share), "mix-raked")
     raked = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("prob").alias("__prob"), F.col("n_docs").alias("__n_docs"))
     out = _with_cells(described(docs), raked, light.count(), "__")
     return out.filter(draw(F.col("doc_id")) < F.col("__prob")).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), share=None)
 
 
 def _oracle() -> str:

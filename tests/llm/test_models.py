@@ -101,6 +101,20 @@ def test_mixing_shuffled_join_gives_the_same(spark, monkeypatch):
     assert rows(mixing.mix(d)) == a
 
 
+def test_rare_cell_leaves_the_sample_its_size(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rare = spark.createDataFrame([(10**9, "five words of its own", "en", "a source of its own", 21)], DOCS).select(*d.columns)
+    tokens = F.sum("n_tokens")
+    for docs in (d, d.unionByName(rare)):
+        out = mixing.mix(docs)
+        assert out.agg(F.sum(F.col("prob") * F.col("n_tokens")) / tokens).first()[0] == pytest.approx(mixing.SHARE, abs=1e-3)
+    assert out.filter("doc_id = 1000000000").first().prob == 1
+    # the other cells still meet the language and topic marginals among what can be met
+    got = {r.lang: r.m for r in out.groupBy("lang").agg(F.sum(F.col("prob") * F.col("n_tokens")).alias("m")).collect()}
+    want = {r.lang: r.m ** mixing.TARGETS["lang"] for r in out.groupBy("lang").agg(tokens.alias("m")).collect()}
+    assert all(got[x] / sum(got.values()) == pytest.approx(want[x] / sum(want.values()), abs=0.02) for x in want)
+
+
 # ---- LM scoring ----------------------------------------------------------------------------------------------------
 
 
