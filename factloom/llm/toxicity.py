@@ -1,17 +1,17 @@
 """Toxicity (1): nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
-Terms are words (lower-cased, outer punctuation off) and their first four, five and seven letters. From labelled training rows
-- at most `PER_CLASS` of each class, the documented bound of the fit, drawn by a hash of the id - terms are chosen by a
-chi-squared test of class against presence. Document frequencies of the chosen terms are counted over all documents.
-Examples are unit TF-IDF vectors in an inverted index; ids are cut into blocks, and each term keeps the largest weight
-of each block. A query adds up its terms' block maxima, visits blocks from the largest bound down and stops where no
-block can reach its k-th neighbour: the neighbours are exact.
+Terms are words (lower-cased, outer punctuation off) and their first four, five and seven letters. Labelled training rows -
+at most `PER_CLASS` of each class, the documented bound of the fit, drawn by a hash of the id - are the examples; every
+term of an example is indexed, as a 64-bit hash. Document frequencies of these terms are counted over all documents.
+Terms that no example has are in no vector. Examples are unit TF-IDF vectors in an inverted index; ids are cut into
+blocks, and each term keeps the largest weight of each block in which it occurs. A query adds up its terms' block maxima,
+visits blocks from the largest bound down and stops where no block can reach its k-th neighbour: the neighbours are exact.
 
 Neighbours vote by cosine, weighted back to the class rates before the draw and smoothed by the prior; a monotone map
 fitted on leave-one-out votes of the examples (pool adjacent violators) turns votes into calibrated scores. The three
 nearest examples are the evidence.
 
-Null or empty text, and texts without a chosen term: the calibrated score of an empty vector. Rows without a label, or
+Null or empty text, and texts without a term of any example: the calibrated score of an empty vector. Rows without a label, or
 with a null one, teach nothing; repeated labels count as the largest. Without labels of both classes every score is the
 rate that is known (0 without any). Null doc_id: never held out, scored. Repeated rows are scored alike.
 """
@@ -22,12 +22,15 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, filled, held_out, materialize, rows, table, text_slices, words_of
+from factloom.llm.common import blocks_of, discard, filled, held_out, materialize, reduced, rows, table, text_slices, words_of
 
-PER_CLASS, TERMS, LEAST_DF, LEAST_CHI2, NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 3000, 8192, 8, 20.0, 25, 64, 0.05
+PER_CLASS, NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 3000, 25, 64, 0.05
+#: Bytes of text that a worker holds as terms at a time; document frequencies travel in blocks of so many.
+SLICE, STEP = 2 << 20, 4096
 _OUTER = string.punctuation + "“”„«»¿¡…–—"
 
 
@@ -38,24 +41,38 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *("^" + word[:n] for n in (4, 5, 7) if len(word) >= n))
 
 
-def _term_rows(texts: pa.Array, wanted: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of the wanted terms, ordered by text and term."""
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of all ranges (start, n), one after another."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + n, n)
+
+
+def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' terms, flat, and the number of each word's."""
+    terms = [terms_of(w) for w in words]
+    h = np.fromiter((xxhash.xxh3_64_intdigest(t) for x in terms for t in x), np.uint64, sum(map(len, terms)))
+    return h.view(np.int64), np.fromiter(map(len, terms), np.int64, len(terms))
+
+
+def _term_rows(texts: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the wanted terms (sorted hashes), ordered by text and term."""
     flat, bounds = words_of(texts)
     coded = flat.dictionary_encode()
-    first, ids = np.zeros(len(coded.dictionary) + 1, np.int64), []
-    heads = {t.removeprefix("^")[:4] for t in wanted}
-    for k, w in enumerate(coded.dictionary.to_pylist()):
-        w = w.lower() if w[0].isalnum() else w.lower().strip(_OUTER)
-        if w[:4] in heads or w.rstrip(_OUTER)[:4] in heads:
-            ids += [wanted[t] for t in terms_of(w) if t in wanted]
-        first[k + 1] = len(ids)
-    codes = coded.indices.to_numpy()
-    n = np.diff(first)[codes]
-    owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(bounds)), n)
-    ends = np.cumsum(n)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[codes] - ends + n, n)
-    key, count = np.unique(owner * len(wanted) + np.array(ids, np.int64)[at], return_counts=True) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return key // max(1, len(wanted)), key % max(1, len(wanted)), count
+    if not len(wanted) or not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, n = _hashed(coded.dictionary.to_pylist())
+    place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+    known = wanted[place] == h
+    first = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(n)])]
+    ids, n = place[known], np.diff(first)
+    words = len(n)
+    pairs, times = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * words + coded.indices.to_numpy(), return_counts=True)
+    n = n[pairs % words]
+    key = np.repeat(pairs // words, n) * len(wanted) + ids[_ranges(first[pairs % words], n)]
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], np.repeat(times, n)[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[start] // len(wanted), key[start] % len(wanted), np.add.reduceat(times, start) if len(start) else times
 
 
 class BlockMaxIndex:
@@ -64,27 +81,33 @@ class BlockMaxIndex:
     def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, terms: int):
         self.count, self.blocks = count, max(1, -(-count // BLOCK))
         order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        self.range = np.searchsorted(term[order] * self.blocks + self.owner // BLOCK, np.arange(terms * self.blocks + 1))
-        self.top = np.zeros((terms, self.blocks))
-        np.maximum.at(self.top, (term, owner // BLOCK), weight)
-
-    def _scores(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of all examples, exact for those of the given blocks and 0 for the others."""
-        place = (term[:, None] * self.blocks + blocks).ravel()
-        start, n = self.range[place], self.range[place + 1] - self.range[place]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(start - ends + n, n)
-        return np.bincount(self.owner[at], self.weight[at] * np.repeat(np.repeat(weight, len(blocks)), n), minlength=self.count)
+        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
+        key = term[order].astype(np.int64) * self.blocks + self.owner // BLOCK
+        del order
+        start = np.flatnonzero(np.diff(key, prepend=-1))  # of each pair of a term and a block
+        self.block = (key[start] % self.blocks).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.pairs = np.searchsorted(key[start], np.arange(terms + 1) * self.blocks)
+        self.start = np.append(start, len(key))
+
+    def _scores(self, pairs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the pairs add to the cosines of all examples."""
+        n = self.start[pairs + 1] - self.start[pairs]
+        at = _ranges(self.start[pairs], n)
+        return np.bincount(self.owner[at], self.weight[at] * np.repeat(weight, n), minlength=self.count)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (ties: smaller number), only those above 0. Blocks are visited from the
         largest bound down, a growing number at a time, until none left can reach the k-th score."""
-        bound = weight @ self.top[term]
+        n = self.pairs[term + 1] - self.pairs[term]
+        pairs, weight = _ranges(self.pairs[term], n), np.repeat(weight, n)
+        block = self.block[pairs]
+        bound = np.bincount(block, weight * self.top[pairs], minlength=self.blocks)
         visit = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
         found, score, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
-        while len(visit) and bound[visit[0]] >= least:
-            total = self._scores(term, weight, visit[:step])
+        while len(visit) and bound[visit[0]] >= least - 1e-9:
+            now = np.isin(np.arange(self.blocks), visit[:step])[block]
+            total = self._scores(pairs[now], weight[now])
             if skip >= 0:
                 total[skip] = 0.0
             some = np.flatnonzero(total)
@@ -106,8 +129,8 @@ def _unit(owner: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
 class Model:
     """Terms, their idf, the example index and the calibrated votes."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, share: np.ndarray, prior: float, vectors: tuple):
-        self.wanted, self.idf, self.ids, self.toxic, self.share, self.prior = {t: k for k, t in enumerate(terms)}, idf, ids, toxic, share, prior
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, share: np.ndarray, prior: float, vectors: tuple):
+        self.wanted, self.idf, self.ids, self.toxic, self.share, self.prior = terms, idf, ids, toxic, share, prior
         owner, term, weight = vectors
         self.index = BlockMaxIndex(owner, term, weight, len(ids), len(terms))
         votes = np.full(len(ids), prior)
@@ -154,60 +177,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     examples = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", "toxic")
 
     def present(batches):
-        counts: dict[str, list[int]] = {}
         for b in batches:
-            for part in text_slices(b):
-                for y, words in zip(part.column("toxic").to_pylist(), _word_lists(filled(part.column("text"))), strict=True):
-                    for t in {t for w in words for t in terms_of(w)}:
-                        counts.setdefault(t, [0, 0])[y] += 1
-        yield rows({"term": list(counts), "clean": [v[0] for v in counts.values()], "toxic": [v[1] for v in counts.values()]}, pa.schema([("term", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+            for part in text_slices(b, limit=SLICE):
+                yield rows({"h": np.unique(_hashed(words_of(filled(part.column("text")))[0].unique().to_pylist())[0])}, pa.schema([("h", pa.int64())]))
 
     examples = materialize(examples, "toxicity-examples")
     sizes = {r.toxic: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return totals[1] / sum(totals.values())
-    n1, n0, a, c = float(sizes[1]), float(sizes[0]), F.col("toxic"), F.col("clean")
-    tested = examples.mapInArrow(present, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(a + c >= LEAST_DF)
-    n, df = n0 + n1, a + c
-    chi2 = F.lit(n) * F.pow(a * n0 - c * n1, F.lit(2)) / (df * (n - df + 1e-9) * n0 * n1)
-    terms = sorted(r.term for r in tested.withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect())
-    wanted = spark.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+    n1, n0 = float(sizes[1]), float(sizes[0])
+    terms = np.sort(examples.mapInArrow(present, "h long").distinct().toPandas()["h"].to_numpy(np.int64))
+    wanted, pad = spark.sparkContext.broadcast(terms), -(-(len(terms) + 1) // STEP) * STEP
 
     def frequency(batches):
-        df, n = np.zeros(len(wanted.value), np.int64), 0
+        df = np.zeros(pad, np.uint32)
         for b in batches:
-            for part in text_slices(b):
-                n += part.num_rows
-                df += np.bincount(_term_rows(filled(part.column("text")), wanted.value)[1], minlength=len(df))
-        yield rows({"term": [-1, *range(len(df))], "n": [n, *df]}, pa.schema([("term", pa.int64()), ("n", pa.int64())]))
+            for part in text_slices(b, limit=SLICE):
+                df[-1] += part.num_rows
+                term = _term_rows(filled(part.column("text")), wanted.value)[1]
+                df[: len(wanted.value)] += np.bincount(term, minlength=len(wanted.value)).astype(np.uint32)
+        yield blocks_of(df, STEP)
 
-    counted = {r.term: r["n"] for r in docs.select("text").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1.0 + counted.get(-1, 0)) / (1.0 + np.array([counted.get(k, 0) for k in range(len(terms))]))) + 1.0
+    counted = reduced(docs.select(F.col("text").cast("string")).mapInArrow(frequency, "block int, data binary"), pad // STEP, STEP).astype(np.float64)
+    idf = np.log((1.0 + counted[-1]) / (1.0 + counted[: len(terms)])) + 1.0
 
     def vectors(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("term", pa.list_(pa.int32())), ("count", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("term", pa.binary()), ("count", pa.binary())])
         for b in batches:
-            for part in text_slices(b):
+            for part in text_slices(b, limit=SLICE):
                 owner, term, count = _term_rows(filled(part.column("text")), wanted.value)
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                yield rows({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "term": [term[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "count": [count[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]}, schema)
+                yield rows({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "term": [term[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "count": [count[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]}, schema)
 
-    found = examples.mapInArrow(vectors, "doc_id long, toxic int, term array<int>, count array<int>").collect()
-    found.sort(key=lambda r: (r.toxic, max(zip([idf[t] for t in r.term], r.term, strict=True), default=(0.0, -1)), r.doc_id))  # like examples share blocks
+    found = [(r.toxic, r.doc_id, np.frombuffer(bytes(r.term), np.int32), np.frombuffer(bytes(r["count"]), np.int32)) for r in examples.mapInArrow(vectors, "doc_id long, toxic int, term binary, count binary").collect()]
+    found.sort(key=lambda r: (r[0], int(r[2][np.argmax(idf[r[2]])]) if len(r[2]) else -1, r[1]))  # like examples share blocks
     discard(examples)
-    toxic = np.array([r.toxic for r in found])
-    owner = np.repeat(np.arange(len(found)), [len(r.term) for r in found])
-    term = np.array([t for r in found for t in r.term], np.int64)
-    weight = (1 + np.log(np.array([x for r in found for x in r["count"]], np.float64))) * idf[term]
+    toxic = np.array([r[0] for r in found])
+    ids = np.array([r[1] for r in found])
+    owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(r[2]) for r in found])
+    term = np.concatenate([r[2] for r in found])
+    weight = 1 + np.log(np.concatenate([r[3] for r in found]).astype(np.float64))
+    del found
+    weight *= idf[term]
     share = np.where(toxic == 1, totals[1] / n1, totals[0] / n0)
-    return Model(terms, idf, np.array([r.doc_id for r in found]), toxic, share, totals[1] / sum(totals.values()), (owner, term, _unit(owner, weight, len(found))))
-
-
-def _word_lists(texts: pa.Array) -> list[list[str]]:
-    flat, bounds = words_of(texts)
-    coded = flat.dictionary_encode()
-    known, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    return [[known[c] for c in np.unique(codes[i:j])] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    return Model(terms, idf, ids, toxic, share, totals[1] / sum(totals.values()), (owner, term, _unit(owner, weight, len(ids))))
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -219,7 +232,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     def run(batches):
         m = held.value
         for b in batches:
-            for part in text_slices(b):
+            for part in text_slices(b, limit=SLICE):
                 n = part.num_rows
                 scores, evidence = np.full(n, m if isinstance(m, float) else m.calibrated(m.prior)), [[] for _ in range(n)]
                 if not isinstance(m, float):

@@ -62,6 +62,25 @@ def test_toxicity_edges(spark):
     assert toxicity.score(edge_docs(spark).limit(0), model).count() == 0
 
 
+def test_toxicity_neighbours_go_by_every_term(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    terms = {r.doc_id: Counter(t for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for t in toxicity.terms_of(w)) for r in docs.collect()}
+    known = {t for i in model.ids for t in terms[int(i)]}
+    df = Counter(t for c in terms.values() for t in c)
+    weigh = lambda c: {t: (1 + np.log(n)) * (np.log((1 + len(terms)) / (1 + df[t])) + 1) for t, n in c.items() if t in known}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    examples = [weigh(terms[int(i)]) for i in model.ids]
+    assert len(known) == len(model.wanted) > 1000
+    out = toxicity.score(docs, model).collect()
+    assert len({round(r.score, 9) for r in out}) > 5
+    for r in out:
+        v = weigh(terms[r.doc_id])
+        cos = sorted((sum(x * e.get(t, 0) for t, x in v.items()) / (norm(v) * norm(e)) for e in examples if v and e), reverse=True)
+        assert [e.similarity for e in r.evidence] == pytest.approx([c for c in cos[:3] if c > 0], abs=1e-9)
+
+
 def test_monotone():
     x, v = toxicity._monotone(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]), np.ones(4))
     assert (np.diff(v) >= 0).all() and np.interp(0.25, x, v) == 0.5
