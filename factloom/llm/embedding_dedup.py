@@ -1,14 +1,14 @@
 """Embedding near-dedup (9): product quantisation with coarse inverted lists.
 
 Vectors that are equal after scaling to length 1 form a class. Each class is indexed in its nearest coarse list as
-codes of the residual in `SUBSPACES` subspaces, and asks its `probes` nearest lists: asymmetric table look-ups give an
+codes of the residual in `SUBSPACES` subspaces, and asks its nearest lists, `probes_of` the number of lists: asymmetric table look-ups give an
 approximate cosine with every code of the list, candidates within the index's own error bound go on, and exact cosines
-in double precision decide. Lists are cut into chunks of at most `CHUNK` codes and asked in blocks, so no group is held
+in double precision decide. A pair counts for both ends, whichever of them found it. Lists are cut into chunks of at most `CHUNK` codes and asked in blocks, so no group is held
 by one task; links within a block are emitted as counts and as stars, never as all pairs.
 
 The coarse centroids and codebooks are fitted on a sample of at most `SAMPLE_A_LIST` vectors a list (documented bound);
-every vector is indexed. The number of lists follows the square root of the number of vectors. Recall is measured in
-the tests against brute force (required 0.9).
+every vector is indexed. The number of lists follows the square root of the number of vectors, and the lists asked grow with it.
+Recall is measured in the tests against brute force (required 0.9).
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors of another
 length than the most common one with those of that length. Repeated rows (same vec_id and vector) are links of each
@@ -31,6 +31,14 @@ THRESHOLD = 0.9
 LISTS_PER_ROOT, SAMPLE_A_LIST, PROBES, SUBSPACES, CODES, CHUNK = 2.0, 64, 8, 16, 64, 2048
 
 
+#: Up to so many lists (those of 20,000 vectors), PROBES of them are asked; from there on the number grows with GROWTH.
+FEW_LISTS, GROWTH = 282, 0.5
+
+
+def probes_of(lists: int, probes: int = PROBES) -> int:
+    return min(lists, math.ceil(probes * max(1.0, lists / FEW_LISTS) ** GROWTH))
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -115,33 +123,25 @@ def links(groups: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES)
     fraction = min(1.0, 1.2 * lists * SAMPLE_A_LIST / common["count"])
     taken = groups.filter(F.pmod(F.xxhash64("rep_id"), F.lit(1_000_000)) < int(1_000_000 * fraction) + 1).select("v").limit(lists * SAMPLE_A_LIST)
     sample = np.stack([np.frombuffer(bytes(r.v), np.float64) for r in taken.collect()] or [np.ones(dim)])
-    model = spark.sparkContext.broadcast(Quantizer(sample, lists))
-    schema = pa.schema([("list", pa.int32()), ("rep_id", pa.int64()), ("size", pa.int64()), ("v", pa.binary()), ("codes", pa.binary())])
+    model, probes = spark.sparkContext.broadcast(Quantizer(sample, lists)), probes_of(lists, probes)
+    schema = pa.schema([("list", pa.int32()), ("near", pa.list_(pa.int32())), ("rep_id", pa.int64()), ("size", pa.int64()), ("v", pa.binary()), ("codes", pa.binary())])
 
     def index(batches):
         q = model.value
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column("v"), dim)
-                own = _nearest(x, q.coarse, 1)[:, 0]
-                yield rows({"list": own, "rep_id": b.column("rep_id"), "size": b.column("size"), "v": b.column("v"), "codes": [c.tobytes() for c in q.encode(x, own)]}, schema)
-
-    def ask(batches):
-        q = model.value
-        out = pa.schema([("list", pa.int32()), ("rep_id", pa.int64()), ("v", pa.binary())])
-        for b in batches:
-            if b.num_rows:
-                near = _nearest(_matrix(b.column("v"), dim), q.coarse, probes)
-                take = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
-                yield rows({"list": near.ravel(), "rep_id": b.column("rep_id").take(take), "v": b.column("v").take(take)}, out)
+                near = _nearest(x, q.coarse, probes)
+                own = near[:, 0]
+                yield rows({"list": own, "near": list(near), "rep_id": b.column("rep_id"), "size": b.column("size"), "v": b.column("v"), "codes": [c.tobytes() for c in q.encode(x, own)]}, schema)
 
-    indexed = materialize(groups.select("rep_id", "size", "v").mapInArrow(index, "list int, rep_id long, size long, v binary, codes binary"), "lists")
+    indexed = materialize(groups.select("rep_id", "size", "v").mapInArrow(index, "list int, near array<int>, rep_id long, size long, v binary, codes binary"), "lists")
     counts = indexed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # a row per list
-    asked = groups.select("rep_id", "v").mapInArrow(ask, "list int, rep_id long, v binary")
+    asked = indexed.select(F.explode("near").alias("list"), F.array("list").alias("near"), "rep_id", "size", "v")
     chunk = F.pmod(F.xxhash64("rep_id"), F.col("chunks")).cast("int")
     sides = F.broadcast(counts)
-    stored = indexed.join(sides, "list").select("list", chunk.alias("chunk"), F.lit(0).alias("asks"), "rep_id", "size", "v", "codes")
-    queries = asked.join(sides, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("asks"), "rep_id", F.lit(0).cast("long").alias("size"), "v", F.lit(None).cast("binary").alias("codes"))
+    stored = indexed.join(sides, "list").select("list", chunk.alias("chunk"), F.lit(0).alias("asks"), "near", "rep_id", "size", "v", "codes")
+    queries = asked.join(sides, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("asks"), "near", "rep_id", "size", "v", F.lit(None).cast("binary").alias("codes"))
     # A chunk is asked by many queries where vectors crowd: its copies share them, each with a part of the queries.
     crowd = asked.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("int").alias("parts"))
     stored = stored.join(F.broadcast(crowd), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
@@ -155,6 +155,7 @@ def links(groups: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES)
             if not held or not waiting:
                 return
             ids, sizes = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+            near = np.array([h[4] for h in held], np.int32)
             x = np.frombuffer(b"".join(h[2] for h in held), np.float64).reshape(-1, dim)
             codes = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), -1)
             # |<q, x> - <q, decoded>| <= |x - decoded| for a unit q
@@ -162,17 +163,20 @@ def links(groups: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES)
             edges_a, edges_b = [], []
             for i in range(0, len(waiting), 512):
                 block = waiting[i : i + 512]
-                own = np.array([w[0] for w in block])
+                own, own_sizes, own_list = (np.array([w[k] for w in block]) for k in (0, 2, 3))
                 y = np.frombuffer(b"".join(w[1] for w in block), np.float64).reshape(-1, dim)
                 r, c = np.nonzero(q.approximate(y, key[0], codes) + slack >= threshold)
                 for j in range(0, len(r), 200_000):
                     rj, cj = r[j : j + 200_000], c[j : j + 200_000]
                     ok = (np.einsum("ij,ij->i", y[rj], x[cj]) >= threshold) & (own[rj] != ids[cj])
                     rj, cj = rj[ok], cj[ok]
-                    n = np.bincount(rj, sizes[cj], minlength=len(own)).astype(np.int64)
-                    some = np.flatnonzero(n)
-                    if len(some):
-                        yield rows({"a": own[some], "n": n[some], "b": [None] * len(some)}, out)
+                    # and for those found that do not ask this vector's list, so do not find it
+                    one = ~(near[cj] == own_list[rj, None]).any(1)
+                    for of, n in ((own, np.bincount(rj, sizes[cj], minlength=len(own))), (ids, np.bincount(cj[one], own_sizes[rj[one]], minlength=len(ids)))):
+                        some = np.flatnonzero(n)
+                        if len(some):
+                            yield rows({"a": of[some], "n": n[some].astype(np.int64), "b": [None] * len(some)}, out)
+                    if len(rj):
                         a, b = stars(own[rj], ids[cj])
                         edges_a.append(a)
                         edges_b.append(b)
@@ -181,18 +185,18 @@ def links(groups: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES)
                 yield rows({"a": a, "n": [None] * len(a), "b": b}, out)
 
         for t in batches:
-            cols = [t.column(c).to_pylist() for c in ("list", "chunk", "part", "asks", "rep_id", "size", "v", "codes")]
-            for li, ch, pt, asks, ident, size, v, codes in zip(*cols, strict=True):
+            cols = [t.column(c).to_pylist() for c in ("list", "chunk", "part", "asks", "near", "rep_id", "size", "v", "codes")]
+            for li, ch, pt, asks, to, ident, size, v, codes in zip(*cols, strict=True):
                 if (li, ch, pt) != key:
                     yield from settle()
                     key, held, waiting = (li, ch, pt), [], []
                 if asks:
-                    waiting.append((ident, v))
+                    waiting.append((ident, v, size, to[0]))
                 else:
-                    held.append((ident, size, v, codes))
+                    held.append((ident, size, v, codes, to))
         yield from settle()
 
-    both = stored.select("list", "chunk", "part", "asks", "rep_id", "size", "v", "codes").unionByName(queries.select("list", "chunk", "part", "asks", "rep_id", "size", "v", "codes"))
+    both = stored.select("list", "chunk", "part", "asks", "near", "rep_id", "size", "v", "codes").unionByName(queries.select("list", "chunk", "part", "asks", "near", "rep_id", "size", "v", "codes"))
     return both.repartition("list", "chunk", "part").sortWithinPartitions("list", "chunk", "part", "asks").mapInArrow(answer, ddl)
 
 

@@ -190,6 +190,39 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_links_count_for_both_ends(spark):
+    rows = vectors()
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(3)
+    groups = embedding_dedup.classes(df)[1]
+    size = {r.rep_id: r["size"] for r in groups.collect()}
+    # one list is asked, so many pairs are found from one side only; with equal classes as size 1, each adds to both
+    found = embedding_dedup.links(groups, probes=1).collect()
+    total = {}
+    for r in found:
+        if r.n is not None:
+            total[r.a] = total.get(r.a, 0) + r.n
+    linked = {x for r in found if r.b is not None for x in (r.a, r.b)}
+    assert linked and all(total.get(x, 0) > 0 for x in linked)
+    x = {r.rep_id: np.frombuffer(bytes(r.v)) for r in groups.collect()}
+    most = {a: sum(size[b] for b in x if b != a and x[a] @ x[b] >= 0.9 - 1e-12) for a in linked}
+    assert all(total[a] <= most[a] for a in linked)
+
+
+def test_embedding_probes_keep_recall_as_lists_grow():
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for lists in (282, 900):
+        base = unit(rng.normal(size=(lists * 64, 64)))
+        coarse = embedding_dedup._kmeans(base, lists, 3, 1)
+        a = base[:4000]
+        away = rng.normal(size=a.shape)
+        cos = rng.uniform(0.9, 1, (len(a), 1))
+        b = cos * a + np.sqrt(1 - cos**2) * unit(away - (away * a).sum(1, keepdims=True) * a)
+        near = [embedding_dedup._nearest(v, coarse, embedding_dedup.probes_of(lists)) for v in (a, b)]
+        found = (near[0] == near[1][:, :1]).any(1) | (near[1] == near[0][:, :1]).any(1)
+        assert found.mean() >= 0.97
+
+
 def test_embedding_copies_count_as_links(spark):
     df = spark.createDataFrame([(k, [1.0, 2.0, 3.0, 4.0], 1) for k in range(50)] + [(99, [-1.0, 0.0, 0.0, 0.0], 1), (None, [1.0, 2.0, 3.0, 4.0], 1)], "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(df).collect()}
