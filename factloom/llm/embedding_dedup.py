@@ -10,8 +10,8 @@ The coarse centroids and codebooks are fitted on a sample of at most `SAMPLE_A_L
 every vector is indexed. The number of lists follows the square root of the number of vectors, and the lists asked grow with it.
 Recall is measured in the tests against brute force (required 0.9).
 
-Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors of another
-length than the most common one with those of that length. Repeated rows (same vec_id and vector) are links of each
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of different
+lengths don't link with each other; each length has its own index. Repeated rows (same vec_id and vector) are links of each
 other only if their ids differ. Null vec_id: returned alone, with a null component. Empty table: empty result.
 """
 
@@ -28,6 +28,7 @@ from factloom.llm.common import discard, materialize, rows, spread_lookup, table
 from factloom.llm.graph import components, stars
 
 THRESHOLD = 0.9
+LINKS = "a long, n long, b long"
 LISTS_PER_ROOT, SAMPLE_A_LIST, PROBES, SUBSPACES, CODES, CHUNK = 2.0, 64, 8, 16, 64, 2048
 
 
@@ -112,15 +113,18 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def links(groups: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
     """Of classes (rep_id, size, v): rows (rep_id, n) that add up to the vectors linked with a class's own (of other
     classes), and (rep_id, to) that join its component; one of n, to is null."""
+    lengths = groups.groupBy(F.length("v").alias("k")).count().filter("count > 1").orderBy("k").collect()
+    out = groups.sparkSession.createDataFrame([], LINKS)
+    for r in lengths:
+        out = out.unionByName(_links(groups.filter(F.length("v") == r["k"]), r["k"] // 8, r["count"], threshold, probes))
+    return out
+
+
+def _links(groups: DataFrame, dim: int, count: int, threshold: float, probes: int) -> DataFrame:
+    """links() of `count` classes whose vectors have `dim` components."""
     spark = groups.sparkSession
-    ddl = "a long, n long, b long"
-    common = groups.groupBy(F.length("v").alias("k")).count().orderBy(F.desc("count"), "k").first()
-    if common is None:
-        return spark.createDataFrame([], ddl)
-    dim = common["k"] // 8
-    groups = groups.filter(F.length("v") == common["k"])
-    lists = max(1, int(LISTS_PER_ROOT * math.sqrt(common["count"])))
-    fraction = min(1.0, 1.2 * lists * SAMPLE_A_LIST / common["count"])
+    lists = max(1, int(LISTS_PER_ROOT * math.sqrt(count)))
+    fraction = min(1.0, 1.2 * lists * SAMPLE_A_LIST / count)
     taken = groups.filter(F.pmod(F.xxhash64("rep_id"), F.lit(1_000_000)) < int(1_000_000 * fraction) + 1).select("v").limit(lists * SAMPLE_A_LIST)
     sample = np.stack([np.frombuffer(bytes(r.v), np.float64) for r in taken.collect()] or [np.ones(dim)])
     model, probes = spark.sparkContext.broadcast(Quantizer(sample, lists)), probes_of(lists, probes)
@@ -197,7 +201,7 @@ def links(groups: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES)
         yield from settle()
 
     both = stored.select("list", "chunk", "part", "asks", "near", "rep_id", "size", "v", "codes").unionByName(queries.select("list", "chunk", "part", "asks", "near", "rep_id", "size", "v", "codes"))
-    return both.repartition("list", "chunk", "part").sortWithinPartitions("list", "chunk", "part", "asks").mapInArrow(answer, ddl)
+    return both.repartition("list", "chunk", "part").sortWithinPartitions("list", "chunk", "part", "asks").mapInArrow(answer, LINKS)
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:

@@ -208,6 +208,13 @@ def test_embedding_links_count_for_both_ends(spark):
     assert all(total[a] <= most[a] for a in linked)
 
 
+def test_embeddings_of_each_length_link(spark):
+    rows = [[1.0, 0.01 * k, 0.0, 0.0] for k in range(6)] + [[1.0, 0.01 * k, 0.0] for k in range(4)] + [[0.0, 0.0, 1.0], [1.0, 0.0]]
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert got == {k: (5, 0) for k in range(6)} | {k: (3, 6) for k in range(6, 10)} | {10: (0, 10), 11: (0, 11)}
+
+
 def test_embedding_probes_keep_recall_as_lists_grow():
     rng = np.random.default_rng(5)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
