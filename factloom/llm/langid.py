@@ -83,7 +83,7 @@ def _em(p: np.ndarray, n_words: np.ndarray, mask: np.ndarray, rounds: int) -> tu
     return pi, np.add.reduceat(np.log((p * pi[owner]).sum(1)), first)
 
 
-def infer(texts: pa.Array, logp: np.ndarray, penalty: float = 3.0, most: int = 3, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def infer(texts: pa.Array, logp: np.ndarray, penalty: float = 3.0, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (text, language), all zero where there is no word, of the set of languages that is chosen."""
     out = np.zeros((len(texts), logp.shape[1]))
     bucket, first, _, n_words = _grams(texts)
@@ -103,7 +103,7 @@ def infer(texts: pa.Array, logp: np.ndarray, penalty: float = 3.0, most: int = 3
     best[np.arange(len(n)), order[:, 0]] = 1
     value = np.add.reduceat(np.log(p[np.arange(len(p)), order[owner, 0]]), start)
     open_ = np.ones(len(n), bool)
-    for k in range(2, min(most, p.shape[1]) + 1):
+    for k in range(2, p.shape[1] + 1):
         open_ &= pi[np.arange(len(n)), order[:, k - 1]] > 0.01
         if not open_.any():
             break

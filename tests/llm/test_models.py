@@ -265,6 +265,15 @@ def test_language_mixture_and_edges(spark):
     assert kept.columns == edge_docs(spark).columns and {r.doc_id for r in kept.collect()} >= {4, 5, None}
 
 
+def test_language_mixture_of_four(spark):
+    d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    langs, logp = langid.fit_documents(d)
+    assert len(langs) >= 4
+    texts = [d.filter(f"lang = '{x}' AND n_chars BETWEEN 500 AND 3000").orderBy("doc_id").first().text[:500] for x in langs[:4]]
+    pi = langid.infer(pa.array([" ".join(texts)], pa.large_string()), logp)[0]
+    assert (pi[:4] > 0.1).all() and pi.sum() == pytest.approx(1)
+
+
 # ---- WARC ----------------------------------------------------------------------------------------------------------
 
 
