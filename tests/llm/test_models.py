@@ -140,23 +140,65 @@ def test_rare_cell_leaves_the_sample_its_size(spark):
 def test_attention_is_causal_and_proper():
     m = lm.AttentionLM(50)
     m.start_words(np.ones(3))
+    m.ready(np.arange(50) % 2 == 0)
     rng = np.random.default_rng(1)
     ids, bounds = rng.integers(0, 50, 70).astype(np.int32), np.array([0, 40, 70])
     none = np.full(70, -1)
-    a, _ = m.log10(ids, bounds, none)
+    a, *_ = m.log10(ids, bounds, none)
     changed = ids.copy()
     changed[20] = (changed[20] + 1) % 50
-    b, _ = m.log10(changed, bounds, none)
-    assert (a[:20] == b[:20]).all() and (a[40:] == b[40:]).all() and a[21] != b[21]
+    b, *_ = m.log10(changed, bounds, none)
+    assert np.allclose(a[:20], b[:20], atol=1e-6) and np.allclose(a[40:], b[40:], atol=1e-6) and abs(a[21] - b[21]) > 1e-6
     assert a[0] == 0 and a[40] == 0 and (a[1:40] < 0).all()
-    # probabilities of the next id add up to 1
-    total = 0.0
+    # probabilities of the next id add up to 1, those of the ids that begin a word to what is said of them
+    total = np.zeros(50)
     for x in range(50):
         ids[39] = x
-        total += 10 ** m.log10(ids, bounds, none)[0][39]
-    assert total == pytest.approx(1, abs=1e-4)
-    # the blocks do not matter
-    assert np.allclose(m.log10(ids, bounds, none, 1)[0], m.log10(ids, bounds, none)[0], atol=1e-5)
+        total[x] = 10 ** m.log10(ids, bounds, none)[0][39]
+    assert total.sum() == pytest.approx(1, abs=1e-4) and np.log10(total[::2].sum()) == pytest.approx(m.log10(ids, bounds, none)[1][39], abs=1e-4)
+    # the blocks do not matter, and the layout in strides gives what windows give
+    at, inside, scored = m.windows(bounds)
+    _, g, *_ = m.forward(ids[at], inside)
+    want = np.zeros((70, lm.MIX))
+    want[(at[:, lm.CONTEXT :] + 1)[scored]] = g[scored]
+    for block in (1, 3, 1024):
+        got = np.zeros((70, lm.MIX))
+        for own, to in m.mixtures(ids, bounds, block):
+            got[to] = own / own.sum(1, keepdims=True)
+        assert np.allclose(got, want, atol=1e-5)
+
+
+def test_spellings_of_all_words_add_up_to_one():
+    """Ids 0 and 1 begin a word, 2 and 3 go on, 4 ends the text: words of up to 5 ids, the end, and what goes on."""
+    m = lm.AttentionLM(5, seed=3)
+    m.start_words(np.ones(1))
+    starts = np.array([True, True, False, False, True])
+    m.ready(starts)
+    for lead in ([], [0, 2, 1, 3, 3]):
+        total, open_ = 0.0, [[]]
+        for n in range(6):
+            more = [w + [i] for w in open_ for i in ((0, 1) if not w else (2, 3))]
+            texts = [[4, *lead, *w, 4] for w in more]
+            spelled, begins, _ = m.log10(np.array(sum(texts, []), np.int32), np.cumsum([0, *map(len, texts)]), np.full(sum(map(len, texts)), -1))
+            ends = np.cumsum([len(t) for t in texts]) - 1
+            chain = np.array([spelled[e - n - 1 : e].sum() - begins[e - n - 1] for e in ends])
+            if not n:
+                text = np.array([4, *lead, 4], np.int32)
+                s, b, _ = m.log10(text, np.array([0, len(text)]), np.full(len(text), -1))
+                total += 10 ** (s[-1] - b[-1])
+            if n == 5:
+                total += (10**chain).sum()  # whatever follows: the words of six ids and all that begin like them
+            else:
+                total += (10 ** (chain + begins[ends])).sum()
+            open_ = more
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_words_encoded_together_are_as_alone():
+    encoder = lm.Encoder(lm.load())
+    for words in (["a", "Haus", "don't", "x1y2", "été,", "日本", "!!", "12345", "x" * 300], ["no\u00a0break", "a\u2003", "b"]):
+        ids, first = encoder.words(words)
+        assert [ids[i:j].tolist() for i, j in zip(first[:-1], first[1:])] == [encoder.bpe.encode_ordinary(" " + w) for w in words]
 
 
 def test_lm_base_and_score(spark):
