@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many bytes, so a worker's memory does not follow the Arrow batch.
 SLICE_BYTES = 8 << 20
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+_SCOPES: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of our own only in local mode, if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,6 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._factloom_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
@@ -51,6 +59,29 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch():
+    """Tables that are materialized within are deleted at the end, but for those that are handed to the yielded function."""
+    spared: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield lambda df: spared.append(df) or df
+    finally:
+        paths = {x._factloom_path for x in spared}
+        discard(*[x for x in _SCOPES.pop() if x._factloom_path not in paths])
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs' rows as one struct column `row`, whatever their columns are called, beside columns of its fields; a select of
+    `row.*` gives them back."""
+    return docs.select(F.struct("*").alias("row")).select("row", *[c.alias(n) for n, c in columns.items()])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns called c0, c1, ...: for functions that cannot take all names."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,6 +146,27 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), kept[bounds]
 
 
+def running_hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums (64-bit, wrapping) of a polynomial in the bytes of each string, and the strings' bounds in them: the
+    difference of two sums within a string stands for the bytes from its first on, if it begins there."""
+    data, at = raw(strings)
+    b, at = np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+    size = np.diff(at)
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, PRIME))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(b)) - np.repeat(at[:-1], size)])]), at
+
+
+def spread_bits(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * PRIME
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    sums, at = running_hashes(strings)
+    return spread_bits(sums[at[1:]] - sums[at[:-1]])
+
+
 def rows(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
@@ -130,9 +182,9 @@ def blocks_of(values: np.ndarray, size: int) -> pa.RecordBatch:
 
 
 def reduced(blocks: DataFrame, count: int, size: int, kind: str = "sum") -> np.ndarray:
-    """All tasks' blocks added up ("sum": uint32, "float": float32) or or-ed ("bits": uint32). Each block is a stream
-    through one task; the result has a fixed size, whatever the input's."""
-    dtype = np.float32 if kind == "float" else np.uint32
+    """All tasks' blocks added up ("sum": uint32, "float": float32, "double": float64) or or-ed ("bits": uint32). Each
+    block is a stream through one task; the result has a fixed size, whatever the input's."""
+    dtype = {"float": np.float32, "double": np.float64}.get(kind, np.uint32)
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import langid, lm, mixing, pieces, queries, toxicity, warc
+from factloom.llm.common import hashes
 from tests.llm.test_dedup import az, components, plain_sets
 
 SF = "/root/testdata/sf0.001"
@@ -28,19 +29,21 @@ def edge_docs(spark):
 # ---- toxicity ------------------------------------------------------------------------------------------------------
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(0)
     dense = (rng.random((500, 40)) < 0.15) * rng.random((500, 40))
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
     owner, term = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex(owner, term, dense[owner, term], 500, 40)
-    for q in dense[:60]:
-        t = np.flatnonzero(q)
-        if len(t):
-            found, score = index.nearest(t, q[t], 10)
-            cos = dense @ q
-            want = [i for i in np.lexsort((np.arange(500), -cos))[:10] if cos[i] > 0]
-            assert np.allclose(score, cos[found]) and np.allclose(np.sort(cos[want]), np.sort(score))
+    for heavy in (1, 5, 10**9):  # all terms as lists, some, all as a matrix
+        monkeypatch.setattr(toxicity, "HEAVY", heavy)
+        index = toxicity.BlockMaxIndex(owner, term, dense[owner, term], 500, 40)
+        asked, t = np.nonzero(dense[:60])
+        q, e, cos = index.nearest(asked, t, dense[asked, t], 60, 10, skip=(np.arange(60), np.arange(60)))
+        for k in range(60):
+            want = np.round(dense @ dense[k], 12)
+            want[k] = 0.0
+            order = [i for i in np.lexsort((np.arange(500), -want))[:10] if want[i] > 0]
+            assert e[q == k].tolist() == order and np.allclose(cos[q == k], want[order])
 
 
 def test_toxicity_held_out(spark):
@@ -62,11 +65,25 @@ def test_toxicity_edges(spark):
     assert toxicity.score(edge_docs(spark).limit(0), model).count() == 0
 
 
+def terms_of(word):
+    word = word.lower().strip(toxicity._OUTER)
+    return [word, *("^" + word[:n] for n in (4, 5, 7) if len(word) >= n)] if word else []
+
+
+def test_terms_are_told_apart():
+    words = ["Haus", "haus!", "häuser", "häuserreihe", "haus", "...", "", "日本語の本", "x" * 5000, "abcd", "abcde", "«abcdefg»", "abcdefgh"]
+    h, n = toxicity._hashed(pa.array(words))
+    assert n.tolist() == [len(terms_of(w)) for w in words]
+    assert len(set(h.tolist())) == len({t for w in words for t in terms_of(w)})
+    names = dict(zip([t for w in words for t in terms_of(w)], h.tolist(), strict=True))
+    assert all(names[t] == x for t, x in zip([t for w in words for t in terms_of(w)], h.tolist(), strict=True))
+
+
 def test_toxicity_neighbours_go_by_every_term(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
-    terms = {r.doc_id: Counter(t for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for t in toxicity.terms_of(w)) for r in docs.collect()}
+    terms = {r.doc_id: Counter(t for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for t in terms_of(w)) for r in docs.collect()}
     known = {t for i in model.ids for t in terms[int(i)]}
     df = Counter(t for c in terms.values() for t in c)
     weigh = lambda c: {t: (1 + np.log(n)) * (np.log((1 + len(terms)) / (1 + df[t])) + 1) for t, n in c.items() if t in known}
@@ -197,7 +214,7 @@ def test_spellings_of_all_words_add_up_to_one():
 def test_words_encoded_together_are_as_alone():
     encoder = lm.Encoder(lm.load())
     for words in (["a", "Haus", "don't", "x1y2", "été,", "日本", "!!", "12345", "x" * 300], ["no\u00a0break", "a\u2003", "b"]):
-        ids, first = encoder.words(words)
+        ids, first = encoder.words(pa.array(words))
         assert [ids[i:j].tolist() for i, j in zip(first[:-1], first[1:])] == [encoder.bpe.encode_ordinary(" " + w) for w in words]
 
 
@@ -234,9 +251,9 @@ def test_lm_emissions_cover_every_word(spark, monkeypatch):
     monkeypatch.setattr(lm.AttentionLM, "emit_words", lambda self, e, *a: (seen.update(words=e.sum()), emit_words(self, e, *a))[1])
     c = Counter(" ".join(texts).split())
     words = list(c)
-    lm.fit(d, lm.Frequent(lm._hashes(words), np.array([c[w] for w in words]), 3))
+    lm.fit(d, lm.Frequent(hashes(pa.array(words)), np.array([c[w] for w in words]), 3))
     encoder = lm.Encoder(lm.load())
-    ids = [i for t in texts for i in encoder.words(t.split())[0]]
+    ids = [i for t in texts for i in encoder.words(pa.array(t.split()))[0]]
     want = np.bincount(ids + [encoder.end] * 6, minlength=encoder.end + 1)
     assert (seen["unigram"] == want).all()
     # an id each and the ends are predicted, and every word is frequent here
