@@ -1,16 +1,19 @@
 """Toxicity (1): nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
-Terms are words (lower-cased, outer punctuation off) and their first four, five and seven letters. Labelled training rows -
+Terms are words (lower-cased letter by letter, outer punctuation off) and their first four, five and seven letters. Labelled training rows -
 at most `PER_CLASS` of each class, the documented bound of the fit, drawn by a hash of the id - are the examples; every
 term of an example is indexed, as a 64-bit hash. Document frequencies of these terms are counted over all documents.
 Terms that no example has are in no vector. Examples are unit TF-IDF vectors in an inverted index; ids are cut into
 blocks, and each term keeps the largest weight of each block in which it occurs. A query adds up its terms' block maxima,
-visits blocks from the largest bound down and stops where no block can reach its k-th neighbour: the neighbours are exact.
+visits the blocks of largest bound and then all others that can reach its k-th neighbour: the neighbours are exact.
 
 Neighbours vote by cosine, weighted back to the class rates before the draw and smoothed by the prior; a monotone map
 fitted on leave-one-out votes of the examples (pool adjacent violators) turns votes into calibrated scores. The three
 nearest examples are the evidence.
 
+Ties between neighbours: cosines equal to 12 decimals go by the examples' order (class, rarest term, doc_id). Very long
+texts are read whole, a slice of their own. Columns other than doc_id, text and toxic are not read.
+
 Null or empty text, and texts without a term of any example: the calibrated score of an empty vector. Rows without a label, or
 with a null one, teach nothing; repeated labels count as the largest. Without labels of both classes every score is the
 rate that is known (0 without any). Null doc_id: never held out, scored. Repeated rows are scored alike.
@@ -22,36 +25,42 @@ import string
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_of, discard, filled, held_out, materialize, reduced, rows, table, text_slices, words_of
+from factloom.llm.common import blocks_of, discard, filled, held_out, materialize, raw, reduced, rows, running_hashes, spread_bits, table, text_slices, words_of
 
-PER_CLASS, NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 3000, 25, 64, 0.05
+PER_CLASS, NEIGHBOURS, EVIDENCE, BLOCK, PRIOR_WEIGHT, STEMS = 3000, 25, 3, 64, 0.05, (4, 5, 7)
+#: Of the search: postings of terms in one of so many examples are a matrix; blocks that a query visits first; queries at once.
+HEAVY, FIRST_BLOCKS, QUERIES_AT_ONCE = 16, 4, 256
 #: Bytes of text that a worker holds as terms at a time; document frequencies travel in blocks of so many.
 SLICE, STEP = 2 << 20, 4096
 _OUTER = string.punctuation + "“”„«»¿¡…–—"
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    word = word.lower().strip(_OUTER)
-    if not word:
-        return ()
-    return (word, *("^" + word[:n] for n in (4, 5, 7) if len(word) >= n))
-
-
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places of all ranges (start, n), one after another."""
     ends = np.cumsum(n)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + n, n)
 
 
-def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words' terms, flat, and the number of each word's."""
-    terms = [terms_of(w) for w in words]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(t) for x in terms for t in x), np.uint64, sum(map(len, terms)))
-    return h.view(np.int64), np.fromiter(map(len, terms), np.int64, len(terms))
+def _hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' terms, flat, and the number of each word's. A term's hash is a polynomial of its bytes, so
+    those of a word's first letters are read off its running sums."""
+    trimmed = filled(pc.utf8_trim(pc.utf8_lower(words), _OUTER))
+    sums, at = running_hashes(trimmed)
+    b = np.frombuffer(raw(trimmed)[0], np.uint8)[: at[-1]]
+    letter = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
+    first = np.searchsorted(letter, at)
+    letters, parts, word = np.diff(first), [], []
+    for n in (0, *STEMS):
+        own = np.flatnonzero(letters >= max(n, 1))
+        end = letter[first[own] + n] if n else at[1:][own]
+        parts.append(spread_bits(sums[end] - sums[at[:-1][own]] + np.uint64(n > 0)))
+        word.append(own)
+    word = np.concatenate(word)
+    return np.concatenate(parts)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
 def _term_rows(texts: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,65 +69,80 @@ def _term_rows(texts: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     coded = flat.dictionary_encode()
     if not len(wanted) or not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, n = _hashed(coded.dictionary.to_pylist())
+    h, n = _hashed(coded.dictionary)
     place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
     known = wanted[place] == h
     first = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(n)])]
-    ids, n = place[known], np.diff(first)
-    words = len(n)
-    pairs, times = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * words + coded.indices.to_numpy(), return_counts=True)
-    n = n[pairs % words]
-    key = np.repeat(pairs // words, n) * len(wanted) + ids[_ranges(first[pairs % words], n)]
-    order = np.argsort(key, kind="stable")
-    key, times = key[order], np.repeat(times, n)[order]
+    codes = coded.indices.to_numpy()
+    n = np.diff(first)[codes]
+    key = np.repeat(np.repeat(np.arange(len(texts)), np.diff(bounds)) * len(wanted), n) + place[known][_ranges(first[codes], n)]
+    key.sort()
     start = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[start] // len(wanted), key[start] % len(wanted), np.add.reduceat(times, start) if len(start) else times
+    return key[start] // len(wanted), key[start] % len(wanted), np.diff(start, append=len(key))
 
 
 class BlockMaxIndex:
-    """Unit vectors by term, cut into blocks of ids; each term keeps its largest weight in each block."""
+    """Unit vectors by term, cut into blocks of ids; each term keeps its largest weight in each block. Terms that at
+    least one in `HEAVY` examples has are kept as rows of a matrix, the others as lists of postings."""
 
     def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, terms: int):
         self.count, self.blocks = count, max(1, -(-count // BLOCK))
-        order = np.lexsort((owner, term))
+        heavy = np.bincount(term, minlength=terms) * HEAVY >= max(count, HEAVY)
+        self.row = np.where(heavy, np.cumsum(heavy) - 1, -1).astype(np.int32)
+        many = heavy[term]
+        self.dense = np.zeros((int(heavy.sum()), self.blocks * BLOCK))
+        self.dense[self.row[term[many]], owner[many]] = weight[many]
+        self.dense_top = self.dense.reshape(len(self.dense), self.blocks, BLOCK).max(2)
+        order = np.flatnonzero(~many)
+        order = order[np.lexsort((owner[order], term[order]))]
         self.owner, self.weight = owner[order].astype(np.int32), weight[order]
         key = term[order].astype(np.int64) * self.blocks + self.owner // BLOCK
-        del order
+        del order, many
         start = np.flatnonzero(np.diff(key, prepend=-1))  # of each pair of a term and a block
         self.block = (key[start] % self.blocks).astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.pairs = np.searchsorted(key[start], np.arange(terms + 1) * self.blocks)
-        self.start = np.append(start, len(key))
-
-    def _scores(self, pairs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """What the pairs add to the cosines of all examples."""
-        n = self.start[pairs + 1] - self.start[pairs]
-        at = _ranges(self.start[pairs], n)
-        return np.bincount(self.owner[at], self.weight[at] * np.repeat(weight, n), minlength=self.count)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties: smaller number), only those above 0. Blocks are visited from the
-        largest bound down, a growing number at a time, until none left can reach the k-th score."""
-        n = self.pairs[term + 1] - self.pairs[term]
-        pairs, weight = _ranges(self.pairs[term], n), np.repeat(weight, n)
-        block = self.block[pairs]
-        bound = np.bincount(block, weight * self.top[pairs], minlength=self.blocks)
-        visit = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
-        found, score, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
-        while len(visit) and bound[visit[0]] >= least - 1e-9:
-            now = np.isin(np.arange(self.blocks), visit[:step])[block]
-            total = self._scores(pairs[now], weight[now])
-            if skip >= 0:
-                total[skip] = 0.0
-            some = np.flatnonzero(total)
-            found, score = np.concatenate([found, some]), np.concatenate([score, total[some]])
-            if len(found) >= k:
-                order = np.lexsort((found, -score))[:k]
-                found, score = found[order], score[order]
-                least = score[-1]
-            visit, step = visit[step:], step * 2
-        order = np.lexsort((found, -score))[:k]
-        return found[order], score[order]
+        self.pairs = np.searchsorted(key[start], np.arange(terms + 1) * self.blocks).astype(np.int32)
+        self.start = np.append(start, len(key)).astype(np.int32)
+
+    def nearest(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, k: int = NEIGHBOURS, skip: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of `count` queries (owner, term, weight): the k examples of largest cosine, to 12 decimals (ties: smaller number),
+        only those above 0, as (query, example, cosine) by query and rank. Every query visits its blocks of largest
+        bound first, then each block whose bound reaches its k-th cosine. skip: pairs (query, example) left out."""
+        row = self.row[term]
+        some = row >= 0
+        queries = np.zeros((count, len(self.dense)))
+        queries[owner[some], row[some]] = weight[some]
+        light = np.flatnonzero(~some)
+        n = self.pairs[term[light] + 1] - self.pairs[term[light]]
+        pairs, by, w = _ranges(self.pairs[term[light]], n), np.repeat(owner[light], n), np.repeat(weight[light], n)
+        cell = by * self.blocks + self.block[pairs]
+        bound = queries @ self.dense_top + np.bincount(cell, w * self.top[pairs], minlength=count * self.blocks).reshape(count, -1)
+        scores = np.zeros((count, self.blocks * BLOCK))
+        first = min(self.blocks, FIRST_BLOCKS)
+        visit = bound >= np.partition(bound, self.blocks - first, axis=1)[:, [self.blocks - first]]
+        for again in (False, True):
+            if again:
+                least = np.partition(scores, -k, axis=1)[:, [-k]] if k < scores.shape[1] else 0.0
+                visit = (bound >= least - 1e-9) & ~visit
+            visit &= bound > 0
+            now = visit.reshape(-1)[cell]
+            p = pairs[now]
+            n = self.start[p + 1] - self.start[p]
+            at = _ranges(self.start[p], n)
+            scores += np.bincount(np.repeat(by[now], n) * scores.shape[1] + self.owner[at], self.weight[at] * np.repeat(w[now], n), minlength=scores.size).reshape(scores.shape)
+            for b in np.flatnonzero(visit.any(0)):
+                own = np.flatnonzero(visit[:, b])
+                scores[own, b * BLOCK : (b + 1) * BLOCK] += queries[own] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+            if skip is not None:
+                scores[skip] = 0.0
+        scores = np.round(scores, 12)
+        least = np.partition(scores, -k, axis=1)[:, [-k]] if k < scores.shape[1] else np.zeros((count, 1))
+        q, e = np.nonzero((scores >= least) & (scores > 0))
+        cos = scores[q, e]
+        order = np.lexsort((e, -cos, q))
+        q, e, cos = q[order], e[order], cos[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        return q[rank < k], e[rank < k], cos[rank < k]
 
 
 def _unit(owner: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
@@ -127,29 +151,33 @@ def _unit(owner: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
 
 
 class Model:
-    """Terms, their idf, the example index and the calibrated votes."""
+    """Terms, their idf, the example index and, once they are set, the calibrated votes."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, share: np.ndarray, prior: float, vectors: tuple):
         self.wanted, self.idf, self.ids, self.toxic, self.share, self.prior = terms, idf, ids, toxic, share, prior
-        owner, term, weight = vectors
-        self.index = BlockMaxIndex(owner, term, weight, len(ids), len(terms))
-        votes = np.full(len(ids), prior)
-        cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            a, b = cuts[k], cuts[k + 1]
-            votes[k] = self.vote(*self.index.nearest(term[a:b], weight[a:b], skip=int(k)))
-        self.steps, self.values = _monotone(votes, toxic, share)
-
-    def vote(self, found: np.ndarray, score: np.ndarray) -> float:
-        w = score * self.share[found]
-        return float(((w * self.toxic[found]).sum() + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
-
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, self.steps, self.values)) if len(self.steps) else self.prior
-
-    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.index = BlockMaxIndex(*vectors, len(ids), len(terms))
+        self.order = np.argsort(ids, kind="stable")
+        self.steps, self.values = np.zeros(0), np.zeros(0)
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        return np.interp(votes, self.steps, self.values) if len(self.steps) else np.full(len(votes), self.prior)
+
+    def votes(self, texts: pa.Array, own_ids: np.ndarray | None = None):
+        """Each text's vote, and its neighbours as (text, example, cosine), a block of texts at a time. own_ids: examples of
+        a text's own id are left out."""
         owner, term, count = _term_rows(texts, self.wanted)
-        return owner, term, _unit(owner, (1 + np.log(count)) * self.idf[term], len(texts))
+        weight = _unit(owner, (1 + np.log(count)) * self.idf[term], len(texts))
+        for a in range(0, len(texts), QUERIES_AT_ONCE):
+            n = min(QUERIES_AT_ONCE, len(texts) - a)
+            i, j = np.searchsorted(owner, (a, a + n))
+            skip = None
+            if own_ids is not None:
+                low, high = (np.searchsorted(self.ids, own_ids[a : a + n], side=x, sorter=self.order) for x in ("left", "right"))
+                skip = np.repeat(np.arange(n), high - low), self.order[_ranges(low, high - low)]
+            q, found, cos = self.index.nearest(owner[i:j] - a, term[i:j], weight[i:j], n, skip=skip)
+            w = cos * self.share[found]
+            votes = (np.bincount(q, w * self.toxic[found], minlength=n) + PRIOR_WEIGHT * self.prior) / (np.bincount(q, w, minlength=n) + PRIOR_WEIGHT)
+            yield votes, (q, found, cos)
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     def present(batches):
         for b in batches:
             for part in text_slices(b, limit=SLICE):
-                yield rows({"h": np.unique(_hashed(words_of(filled(part.column("text")))[0].unique().to_pylist())[0])}, pa.schema([("h", pa.int64())]))
+                yield rows({"h": np.unique(_hashed(words_of(filled(part.column("text")))[0].unique())[0])}, pa.schema([("h", pa.int64())]))
 
     examples = materialize(examples, "toxicity-examples")
     sizes = {r.toxic: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -211,7 +239,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
 
     found = [(r.toxic, r.doc_id, np.frombuffer(bytes(r.term), np.int32), np.frombuffer(bytes(r["count"]), np.int32)) for r in examples.mapInArrow(vectors, "doc_id long, toxic int, term binary, count binary").collect()]
     found.sort(key=lambda r: (r[0], int(r[2][np.argmax(idf[r[2]])]) if len(r[2]) else -1, r[1]))  # like examples share blocks
-    discard(examples)
     toxic = np.array([r[0] for r in found])
     ids = np.array([r[1] for r in found])
     owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(r[2]) for r in found])
@@ -220,7 +247,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     del found
     weight *= idf[term]
     share = np.where(toxic == 1, totals[1] / n1, totals[0] / n0)
-    return Model(terms, idf, ids, toxic, share, totals[1] / sum(totals.values()), (owner, term, _unit(owner, weight, len(ids))))
+    model = Model(terms, idf, ids, toxic, share, totals[1] / sum(totals.values()), (owner, term, _unit(owner, weight, len(ids))))
+    del owner, term, weight
+    held = spark.sparkContext.broadcast(model)
+
+    def own_votes(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("vote", pa.float64())])
+        for b in batches:
+            for part in text_slices(b, limit=SLICE):
+                ids = part.column("doc_id").to_numpy()
+                votes = [v for v, _ in held.value.votes(filled(part.column("text")), ids)]
+                yield rows({"doc_id": ids, "toxic": part.column("toxic"), "vote": np.concatenate(votes)}, schema)
+
+    own = examples.mapInArrow(own_votes, "doc_id long, toxic int, vote double").toPandas().sort_values(["doc_id", "vote"])
+    discard(examples)
+    y = own["toxic"].to_numpy(np.float64)
+    model.steps, model.values = _monotone(own["vote"].to_numpy(), y, np.where(y == 1, totals[1] / n1, totals[0] / n0))
+    held.unpersist()
+    return model
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -233,17 +277,20 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
         m = held.value
         for b in batches:
             for part in text_slices(b, limit=SLICE):
-                n = part.num_rows
-                scores, evidence = np.full(n, m if isinstance(m, float) else m.calibrated(m.prior)), [[] for _ in range(n)]
-                if not isinstance(m, float):
-                    owner, term, weight = m.vectors(filled(part.column("text")))
-                    cuts = np.searchsorted(owner, np.arange(n + 1))
-                    for k in np.flatnonzero(np.diff(cuts)):
-                        i, j = cuts[k], cuts[k + 1]
-                        found, cos = m.index.nearest(term[i:j], weight[i:j])
-                        scores[k] = m.calibrated(m.vote(found, cos))
-                        evidence[k] = [{"doc_id": int(m.ids[f]), "similarity": float(c), "toxic": int(m.toxic[f])} for f, c in zip(found[:3], cos[:3], strict=True)]
-                yield rows({"doc_id": part.column("doc_id"), "score": np.clip(scores, 0, 1), "predicted": (scores >= 0.5).astype(np.int32), "evidence": evidence}, schema)
+                if isinstance(m, float):
+                    n = part.num_rows
+                    yield rows({"doc_id": part.column("doc_id"), "score": np.full(n, m), "predicted": np.full(n, m >= 0.5, np.int32), "evidence": [[]] * n}, schema)
+                    continue
+                at = 0
+                for votes, (q, found, cos) in m.votes(filled(part.column("text"))):
+                    n, first = len(votes), np.searchsorted(q, np.arange(len(votes)))
+                    scores = np.clip(m.calibrated(votes), 0, 1)
+                    top = np.minimum(np.diff(first, append=len(q)), EVIDENCE)
+                    e = _ranges(first, top)
+                    flat = pa.StructArray.from_arrays([pa.array(m.ids[found[e]], pa.int64()), pa.array(cos[e]), pa.array(m.toxic[found[e]], pa.int32())], fields=list(near.value_type))
+                    evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(top)]), pa.int32()), flat)
+                    yield rows({"doc_id": part.column("doc_id").slice(at, n), "score": scores, "predicted": (scores >= 0.5).astype(np.int32), "evidence": evidence}, schema)
+                    at += n
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
 
