@@ -1,18 +1,24 @@
 """Embedding near-dedup (9): product quantisation with coarse inverted lists.
 
 Vectors that are equal after scaling to length 1 form a class. Each class is indexed in its nearest coarse list as
-codes of the residual in `SUBSPACES` subspaces, and asks its nearest lists, `probes_of` the number of lists: asymmetric table look-ups give an
-approximate cosine with every code of the list, candidates within the index's own error bound go on, and exact cosines
-in double precision decide. A pair counts for both ends, whichever of them found it. Lists are cut into chunks of at most `CHUNK` codes and asked in blocks, so no group is held
-by one task; links within a block are emitted as counts and as stars, never as all pairs.
-
-The coarse centroids and codebooks are fitted on a sample of at most `SAMPLE_A_LIST` vectors a list (documented bound);
-every vector is indexed. The number of lists follows the square root of the number of vectors, and the lists asked grow with it.
-Recall is measured in the tests against brute force (required 0.9).
-
-Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of different
-lengths don't link with each other; each length has its own index. Repeated rows (same vec_id and vector) are links of each
-other only if their ids differ. Null vec_id: returned alone, with a null component. Empty table: empty result.
+codes of the residual in `SUBSPACES` subspaces, and asks its nearest lists: asymmetric table look-ups give an approximate
+cosine with every code of the list, candidates within the index's own error bound go on, and exact cosines in double
+precision decide. A pair counts for both ends, whichever of them found it. Lists are cut into chunks of at most `CHUNK`
+codes and asked in blocks, so no group is held by one task; links within a block are emitted as counts and as stars,
+never as all pairs.
+
+The coarse centroids are fitted by k-means steps in the executors on about `SAMPLE_A_LIST` vectors a list, drawn by a hash,
+the codebooks on at most `CODE_SAMPLE` of them (documented bounds); every vector is indexed. The number of lists follows
+the square root of the number of vectors. How many lists are asked is measured in each run: a sample of at most `ASKED`
+vectors is compared with all vectors by brute force, and the lists asked are at least those that find `RECALL` of the
+links so found (and at least `probes_of` the lists); the tests compare whole tables with brute force.
+
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; components are scaled by the
+largest before lengths are taken, so no finite vector over- or underflows. Vectors of different lengths don't link with
+each other; each length has its own index. Ties are links as any other. Repeated rows (same vec_id and vector) are one
+vector; a vec_id that comes with different vectors is several, and where it is the smallest id of several classes, their
+links are added up. Null vec_id: returned alone, with a null component. Empty table: empty result. Columns other than
+vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -21,17 +27,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, materialize, rows, spread_lookup, table
+from factloom.llm.common import blocks_of, discard, materialize, reduced, rows, spread_lookup, table
 from factloom.llm.graph import components, stars
 
 THRESHOLD = 0.9
 LINKS = "a long, n long, b long"
 LISTS_PER_ROOT, SAMPLE_A_LIST, PROBES, SUBSPACES, CODES, CHUNK = 2.0, 64, 8, 16, 64, 2048
-
-
+CODE_SAMPLE, ROUNDS, ASKED, RECALL = 20_000, 6, 1000, 0.98
 #: Up to so many lists (those of 20,000 vectors), PROBES of them are asked; from there on the number grows with GROWTH.
 FEW_LISTS, GROWTH = 282, 0.5
 
@@ -63,13 +69,13 @@ def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
 
 
 class Quantizer:
-    """Coarse centroids and, for each subspace, codewords of the residuals."""
+    """Coarse centroids and, for each subspace, codewords of the sample's residuals."""
 
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES):
-        self.coarse = _kmeans(sample, lists, 6, 1)
+    def __init__(self, coarse: np.ndarray, sample: np.ndarray, subspaces: int = SUBSPACES, codes: int = CODES):
+        self.coarse = coarse
         residual = sample - self.coarse[_nearest(sample, self.coarse, 1)[:, 0]]
         m = max(d for d in range(1, subspaces + 1) if sample.shape[1] % d == 0)
-        self.books = [_kmeans(r, codes, 6, 2 + k) for k, r in enumerate(np.split(residual, m, axis=1))]
+        self.books = [_kmeans(r, codes, ROUNDS, 2 + k) for k, r in enumerate(np.split(residual, m, axis=1))]
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         residual = x - self.coarse[lists]
@@ -93,11 +99,19 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches):
         schema = pa.schema([("vec_id", pa.int64()), ("v", pa.binary())])
         for b in batches:
-            out = []
-            for x in b.column("embedding"):
-                v = np.array([np.nan if y is None else y for y in x.as_py()], np.float64) if x.is_valid else np.zeros(0)
-                norm = math.sqrt(float(v @ v)) if len(v) and np.isfinite(v).all() else 0.0
-                out.append((v / norm).tobytes() if 0 < norm < math.inf else None)
+            column = b.column("embedding")
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            start, flat = np.cumsum(size) - size, pc.fill_null(column.flatten(), np.nan).to_numpy(zero_copy_only=False)
+            out: list[bytes | None] = [None] * len(column)
+            for n in np.unique(size[size > 0]):
+                own = np.flatnonzero(size == n)
+                x = flat[start[own][:, None] + np.arange(n)]
+                largest = np.abs(x).max(1)
+                ok = np.isfinite(largest) & (largest > 0)
+                x = x[ok] / largest[ok, None]
+                x /= np.sqrt((x * x).sum(1))[:, None]
+                for k, v in zip(own[ok], x, strict=True):
+                    out[k] = v.tobytes()
             yield rows({"vec_id": b.column("vec_id"), "v": out}, schema)
 
     unit = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, v binary")
@@ -120,14 +134,77 @@ def links(groups: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES)
     return out
 
 
+def fitted(groups: DataFrame, dim: int, count: int, lists: int) -> Quantizer:
+    """The quantizer of `count` classes. A k-means step is a pass over the sample that sums each centroid's vectors."""
+    spark, at = groups.sparkSession, F.pmod(F.xxhash64("rep_id", F.lit(1)), F.lit(1 << 30))
+    share = min(1.0, lists * SAMPLE_A_LIST / count)
+    sample = materialize(groups.select("v", at.alias("at")).filter(F.col("at") < F.lit(share * (1 << 30))), "vector-sample")
+    some = sample.orderBy("at", "v").limit(max(lists, min(CODE_SAMPLE, lists * SAMPLE_A_LIST))).toPandas()["v"]
+    some = np.frombuffer(b"".join(some), np.float64).reshape(-1, dim) if len(some) else np.ones((1, dim))
+    coarse = some[:lists].copy()
+    step = max(1, (1 << 16) // (dim + 1))
+    padded = -(-len(coarse) // step) * step
+    for _ in range(ROUNDS):
+        held = spark.sparkContext.broadcast(coarse)
+
+        def sums(batches, held=held):
+            out = np.zeros((padded, dim + 1))
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column("v"), dim)
+                    near = _nearest(x, held.value, 1)[:, 0]
+                    np.add.at(out.reshape(-1), ((near * (dim + 1))[:, None] + np.arange(dim)).ravel(), x.ravel())
+                    out[:, dim] += np.bincount(near, minlength=padded)
+            yield blocks_of(out, step * (dim + 1))
+
+        got = reduced(sample.select("v").mapInArrow(sums, "block int, data binary"), padded // step, step * (dim + 1), "double").reshape(padded, dim + 1)[: len(coarse)]
+        coarse = np.where(got[:, dim:] > 0, got[:, :dim] / np.maximum(got[:, dim:], 1.0), coarse)
+        held.unpersist()
+    discard(sample)
+    return Quantizer(coarse, some[:CODE_SAMPLE])
+
+
+def asked_lists(groups: DataFrame, dim: int, model, threshold: float) -> int:
+    """How many lists each vector must ask so that RECALL of the links of a sample is found from one of their ends."""
+    taken = groups.select("rep_id", "v", F.xxhash64("rep_id", F.lit(2)).alias("at")).orderBy("at", "rep_id").limit(ASKED).toPandas()
+    ids, x = taken["rep_id"].to_numpy(), np.frombuffer(b"".join(taken["v"]), np.float64).reshape(-1, dim)
+    held = groups.sparkSession.sparkContext.broadcast((ids, x))
+
+    def ranks(batches):
+        """How often the better rank of a link's lists, one by the distances of the other end, is how much."""
+        (ids, x), coarse = held.value, model.value.coarse
+        half, counts = (coarse * coarse).sum(1) / 2, np.zeros(len(coarse), np.int64)
+        far = half - x @ coarse.T
+        own = far.argmin(1)
+        for b in batches:
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
+                y = _matrix(part.column("v"), dim)
+                i, j = np.nonzero((y @ x.T >= threshold) & (part.column("rep_id").to_numpy()[:, None] != ids))
+                for a in range(0, len(i), 4096):
+                    r, c = i[a : a + 4096], j[a : a + 4096]
+                    away = half - y[r] @ coarse.T
+                    lists = away.argmin(1)
+                    one = (away < np.take_along_axis(away, own[c][:, None], 1)).sum(1)
+                    two = (far[c] < far[c, lists][:, None]).sum(1)
+                    counts += np.bincount(np.minimum(one, two), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield rows({"rank": some, "n": counts[some]}, pa.schema([("rank", pa.int64()), ("n", pa.int64())]))
+
+    found = groups.select("rep_id", "v").mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toPandas()
+    held.unpersist()
+    if not len(found):
+        return 1
+    reached = found["n"].cumsum().to_numpy() >= RECALL * found["n"].sum()
+    return int(found["rank"].to_numpy()[reached.argmax()]) + 1
+
+
 def _links(groups: DataFrame, dim: int, count: int, threshold: float, probes: int) -> DataFrame:
     """links() of `count` classes whose vectors have `dim` components."""
     spark = groups.sparkSession
     lists = max(1, int(LISTS_PER_ROOT * math.sqrt(count)))
-    fraction = min(1.0, 1.2 * lists * SAMPLE_A_LIST / count)
-    taken = groups.filter(F.pmod(F.xxhash64("rep_id"), F.lit(1_000_000)) < int(1_000_000 * fraction) + 1).select("v").limit(lists * SAMPLE_A_LIST)
-    sample = np.stack([np.frombuffer(bytes(r.v), np.float64) for r in taken.collect()] or [np.ones(dim)])
-    model, probes = spark.sparkContext.broadcast(Quantizer(sample, lists)), probes_of(lists, probes)
+    model = spark.sparkContext.broadcast(fitted(groups, dim, count, lists))
+    probes = max(probes_of(lists, probes), asked_lists(groups, dim, model, threshold))
     schema = pa.schema([("list", pa.int32()), ("near", pa.list_(pa.int32())), ("rep_id", pa.int64()), ("size", pa.int64()), ("v", pa.binary()), ("codes", pa.binary())])
 
     def index(batches):
