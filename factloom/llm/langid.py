@@ -6,8 +6,10 @@ are a mixture of languages whose proportions expectation-maximisation estimates.
 leading ones by proportion) are compared by log-likelihood less a penalty of `penalty` * log(words) for each language
 beyond the first; the best set's proportions are the answer, its largest the prediction.
 
-Null text, or no letter (Unicode L) in it: lang_pred 'und', score 0. A table without labelled rows predicts 'und'
-throughout. Null doc_id: never held out. Repeated rows are predicted alike. Whole texts are read, in slices.
+Null text, or no letter (Unicode L) in it: lang_pred 'und', score 0. A table without labelled rows, or an empty one,
+predicts 'und' throughout. Ties between languages go to the first in alphabetical order. Null doc_id: never held out.
+Repeated rows are predicted alike. Whole texts are read, however long, in slices. Columns other than doc_id, text and lang
+are not read; `accepted` gives all columns back, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import filled, held_out, raw, rows, table, text_slices
+from factloom.llm.common import filled, held_out, numbered, raw, rows, table, text_slices
 
 BUCKETS = 1 << 16
 #: Bytes that are no letters in ASCII end a word.
@@ -146,16 +148,17 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, penalty: float
 def accepted(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     """The rows of docs, with all their columns, whose predicted language is not 'und'. No shuffle."""
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))
+    plain, at = numbered(docs), docs.columns.index("text")
 
     def run(batches):
         langs, logp = model.value
         for b in batches:
-            for part in text_slices(b):
-                texts = filled(part.column("text"))
+            for part in text_slices(b, f"c{at}"):
+                texts = filled(part.column(at))
                 letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
                 yield part.filter(pa.array(letters & (infer(texts, logp).sum(1) > 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def fit_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -10,7 +10,9 @@ marginals are met exactly, at a size that the rarest cell sets. Sampling compare
 Targets: for each dimension either an exponent (shares are tempered: share^a, normalised) or a dict value -> weight
 (values that it lacks keep no weight). topic is the document's form, by marks found anywhere in the whole text. Null
 source or lang: the value '(none)'. Null or empty text: 0 tokens; such a document carries no weight and is drawn with its
-cell's probability (1 in a cell without tokens). Null doc_id: drawn as the empty id. Repeated rows share one decision. Empty table: empty result.
+cell's probability (1 in a cell without tokens). Null doc_id: drawn as the empty id. Repeated rows share one decision; ties cannot occur. Very long texts
+are counted whole. Empty table: empty result. Columns other than doc_id, text, source and lang are not read; `mixed_sample`
+gives all columns back, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize, spread_lookup, table
+from factloom.llm.common import materialize, packed, spread_lookup, table
 
 DIMS = ("source", "lang", "topic")
 TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -37,10 +39,10 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """docs with the columns __source, __lang, __topic that mixing goes by."""
-    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    return docs.withColumns({"__source": none("source"), "__lang": none("lang"), "__topic": topic_of(F.col("text"))})
+def dims_of(row: str = "") -> dict[str, Column]:
+    """The columns that mixing goes by."""
+    none = lambda c: F.coalesce(F.col(row + c).cast("string"), F.lit("(none)"))
+    return {"source": none("source"), "lang": none("lang"), "topic": topic_of(F.col(row + "text"))}
 
 
 def token_count(text: Column) -> Column:
@@ -104,7 +106,7 @@ def cells_of(each: DataFrame) -> DataFrame:
 
 
 def weighed(docs: DataFrame) -> DataFrame:
-    return described(docs).select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), token_count(F.col("text")).alias("n_tokens"))
+    return docs.select("doc_id", *[c.alias(d) for d, c in dims_of().items()], token_count(F.col("text")).alias("n_tokens"))
 
 
 def mix(docs: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS, share: float | None = SHARE) -> DataFrame:
@@ -115,21 +117,20 @@ def mix(docs: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS, shar
     return out.select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (draw(F.col("doc_id")) < F.col("prob")).alias("sampled"))
 
 
-def _with_cells(each: DataFrame, raked: DataFrame, total: int, mark: str = "") -> DataFrame:
+def _with_cells(each: DataFrame, raked: DataFrame, total: int) -> DataFrame:
     """each with its cell's probability. Few cells are broadcast; many are joined with the large ones spread."""
-    keys = [f"{mark}{d}" for d in DIMS]
+    keys = list(DIMS)
     if raked.count() <= BROADCAST_CELLS:
-        return each.join(F.broadcast(raked.select(*keys, f"{mark}prob")), keys, "left")
-    return spread_lookup(each, raked.select(*keys, f"{mark}prob", f"{mark}n_docs"), keys, f"{mark}n_docs", total, F.col("doc_id"))
+        return each.join(F.broadcast(raked.select(*keys, "prob")), keys, "left")
+    return spread_lookup(each, raked.select(*keys, "prob", "n_docs"), keys, "n_docs", total, F.col("doc_id"))
 
 
 def mixed_sample(docs: DataFrame, targets: dict | None = None, sweeps: int = SWEEPS, share: float | None = SHARE) -> DataFrame:
-    """The sampled rows of docs, with docs' own columns."""
+    """The sampled rows of docs, with docs' own columns, whatever they are called."""
     light = materialize(weighed(docs), "mix-docs")
     raked = materialize(rake(cells_of(light), targets, sweeps, share), "mix-raked")
-    raked = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("prob").alias("__prob"), F.col("n_docs").alias("__n_docs"))
-    out = _with_cells(described(docs), raked, light.count(), "__")
-    return out.filter(draw(F.col("doc_id")) < F.col("__prob")).select(*docs.columns)
+    out = _with_cells(packed(docs, doc_id=F.col("row.doc_id"), **dims_of("row.")), raked, light.count())
+    return out.filter(draw(F.col("doc_id")) < F.col("prob")).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
