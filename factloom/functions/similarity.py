@@ -1,15 +1,21 @@
 """Similarities. Hash embeddings are kept as bucket counts, so dot products and norms are exact integers: the cosine of
-equal texts is exactly 1, and results do not depend on the order of summation."""
+equal texts is exactly 1, and results do not depend on the order of summation.
+
+Where every row must meet every other, `in_blocks` deals both sides into cells of bounded size; a cell's similarities are
+matrix products, and only its best rows leave it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.functions.text import bucket, hash_tokens, norm_text
 
@@ -47,6 +53,62 @@ def sha_embed(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
 
 
+def sha_bytes(c: Column) -> Column:
+    """The same 32 bytes as one binary value; cosines of the bytes are those of the embeddings."""
+    return F.unhex(F.sha2(F.lower(c).cast("binary"), 256))
+
+
+def hash_bag(c: Column, dim: int = 512) -> Column:
+    """The hash embedding as the buckets of all tokens, repeated as often as they occur."""
+    return F.transform(hash_tokens(c), lambda t: bucket(t, dim))
+
+
+def in_blocks(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, rows: tuple[int, int] = (1024, 4096)) -> DataFrame:
+    """run(left rows, right rows) for every pair of blocks of about so many rows: each row of one side meets each of the
+    other, in cells that are small enough for one task however large the tables are."""
+    a, b = (max(1, -(-side.count() // n)) for side, n in zip((left, right), rows, strict=True))
+    at = lambda side, n: F.pmod(F.xxhash64(*side.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = left.withColumn("__a", at(left, a)).withColumn("__b", every(b))
+    y = right.withColumn("__b", at(right, b)).withColumn("__a", every(a))
+    none = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
+    return x.groupBy("__a", "__b").cogroup(y.groupBy("__a", "__b")).applyInArrow(lambda l, r: run(l, r) if l.num_rows and r.num_rows else none, schema)  # noqa: E741
+
+
+def byte_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).astype(np.float64)
+
+
+def bag_matrix(column: pa.ChunkedArray, dim: int = 512) -> np.ndarray:
+    flat = column.combine_chunks()
+    size = np.diff(flat.offsets.to_numpy())
+    out = np.zeros((len(flat), dim))
+    np.add.at(out, (np.repeat(np.arange(len(flat)), size), flat.flatten().to_numpy()), 1.0)
+    return out
+
+
+def vector_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+
+def integer_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows of whole numbers (0 where a row is all zero); the products and squares are exact."""
+    norms = (x * x).sum(1)[:, None] * (y * y).sum(1)
+    return np.divide(x @ y.T, np.sqrt(norms), out=np.zeros(norms.shape), where=norms > 0)
+
+
+def best_columns(scores: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest of each row that are at least `least`; of equal ones the first columns."""
+    scores, found = scores.copy(), []
+    for _ in range(min(k, scores.shape[1])):
+        best = scores.argmax(1)
+        own = np.flatnonzero(scores[np.arange(len(scores)), best] >= max(least, np.finfo(np.float64).min))
+        found.append((own, best[own]))
+        scores[own, best[own]] = -np.inf
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 @F.pandas_udf(T.DoubleType())
 def string_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio of two normalised strings; Spark has no such function."""

@@ -14,8 +14,13 @@ AUXILIARIES = ["is", "was", "are", "were", "be"]
 _CLASS = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
 
 
+#: Unicode's white space, one by one and as a class.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -49,8 +54,9 @@ def keywords(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """The sentences of a text, stripped, none empty."""
-    safe = F.regexp_replace(strip(c), rf"(?U)\b({'|'.join(ABBREVIATIONS)})\.\s", "$1<PERIOD> ")
-    parts = F.split(safe, r"(?U)(?<=[.!?])\s+")
+    text, short = strip(c), "|".join(ABBREVIATIONS)
+    safe = F.when(text.rlike(rf"(?:{short})\.{SPACE}"), F.regexp_replace(text, rf"(?U)\b({short})\.\s", "$1<PERIOD> ")).otherwise(text)
+    parts = F.split(safe, rf"{SPACE}(?<=[.!?]{SPACE}){SPACE}*")
     return F.filter(F.transform(parts, lambda p: strip(F.replace(p, F.lit("<PERIOD>"), F.lit(".")))), lambda p: p != "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import json_array, sentences, signature, strip
+from factloom.functions.text import SPACE, json_array, sentences, signature, strip
 
 # Predicates and the verb phrases that state them, in the order in which they are tried.
 VERBS = [
@@ -46,38 +46,39 @@ def verb_pattern(verb: str) -> str:
 
 def states_something(sentence: Column) -> Column:
     """Whether any verb stands between white space: the cheap test before the cuts."""
-    space = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-    return sentence.rlike("(?i)" + space + "(?:" + "|".join(verb.replace(r"\s", space) for _, verb in VERBS) + ")" + space)
+    return sentence.rlike("(?i)" + SPACE + "(?:" + "|".join(verb.replace(r"\s", SPACE) for _, verb in VERBS) + ")" + SPACE)
 
 
-def triples(sentence: Column) -> Column:
-    """Array of (predicate, subject, object) by the verbs, in order, whose subject and object are long enough."""
+def triple(sentence: Column) -> Column:
+    """(predicate, subject, object) by the first verb, in order, whose subject and object are long enough; null if there
+    is none. A verb is only tried where those before it gave nothing."""
     s = strip(F.regexp_replace(strip(sentence), r"[.!?]+$", ""))
-    cuts = F.array(*[F.struct(F.lit(predicate).alias("predicate"), F.regexp_replace(s, "(?idU)" + verb_pattern(verb), "$1\u0001$2").alias("cut")) for predicate, verb in VERBS])
-    hits = F.filter(cuts, lambda x: F.contains(x["cut"], F.lit("\u0001")))
-    part = lambda x, k: strip(F.substring_index(x["cut"], "\u0001", k))
-    sides = F.transform(hits, lambda x: F.struct(x["predicate"].alias("predicate"), part(x, 1).alias("subject"), part(x, -1).alias("object")))
-    return F.filter(sides, lambda x: (F.length(x["subject"]) >= LEAST_LENGTH) & (F.length(x["object"]) >= LEAST_LENGTH))
+    tried = []
+    for predicate, verb in VERBS:
+        pattern = "(?idU)" + verb_pattern(verb)
+        subject, object_ = (strip(F.regexp_extract(s, pattern, k)) for k in (1, 2))
+        fits = s.rlike(pattern) & (F.length(subject) >= LEAST_LENGTH) & (F.length(object_) >= LEAST_LENGTH)
+        tried.append(F.when(fits, F.struct(F.lit(predicate).alias("predicate"), subject.alias("subject"), object_.alias("object"))))
+    return F.when(states_something(sentence), F.coalesce(*tried))
+
+
+def rule_claims(text: Column) -> Column:
+    """Array of (subject, predicate, object, raw, confidence), one per sentence that states a claim."""
+    each = F.transform(sentences(text), lambda x: F.struct(x.alias("raw"), triple(x).alias("t")))
+    return F.transform(F.filter(each, lambda x: x["t"].isNotNull()), lambda x: F.struct(x["t"]["subject"].alias("subject"), x["t"]["predicate"].alias("predicate"), x["t"]["object"].alias("object"), x["raw"].alias("raw"), F.lit(CONFIDENCE).alias("confidence")))
 
 
 def extract_claims(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """key, claim_idx, subject, predicate, object, raw, confidence: one row per sentence that states a claim. Both
-    generators run once a row, whatever is read from them. Sentences are dealt by key before the cuts, which the grouping
-    below needs in any case, so a text that sits in one file split is not cut in one task."""
-    each = texts.select(key, F.posexplode(sentences(F.col(column))).alias("sentence_idx", "raw")).filter(states_something(F.col("raw"))).repartition(key)
-    each = each.select(key, "sentence_idx", "raw", F.explode(F.slice(triples(F.col("raw")), 1, 1)).alias("t"))
-    order = F.array_sort(F.collect_list(F.struct("sentence_idx", "raw", "t")))
-    numbered = each.groupBy(key).agg(order.alias("c")).select(key, F.posexplode("c").alias("claim_idx", "c"))
-    return numbered.select(key, "claim_idx", "c.t.subject", "c.t.predicate", "c.t.object", "c.raw", F.lit(CONFIDENCE).alias("confidence"))
+    """key, claim_idx, subject, predicate, object, raw, confidence: one row per sentence that states a claim. A text's
+    sentences are cut and numbered within its row, so nothing is shuffled."""
+    return texts.select(key, F.posexplode(rule_claims(F.col(column))).alias("claim_idx", "c")).select(key, "claim_idx", "c.*")
 
 
-def json_claims(replies: DataFrame, key: str, text: str, reply: str) -> DataFrame:
-    """Claims of a model's JSON replies: key, claim_idx, subject, predicate, object, raw (the whole text), confidence.
-    A reply that holds no valid list gives nothing here; `with_fallback` sends its text to the rules."""
-    items = F.from_json(json_array(F.col(reply)), "array<struct<subject:string,predicate:string,object:string,confidence:double>>", {"mode": "PERMISSIVE"})
-    each = replies.select(key, F.col(text).alias("raw"), F.posexplode(items).alias("claim_idx", "c"))
-    fill = lambda c, d: F.coalesce(F.col(f"c.{c}"), F.lit(d)).alias(c)
-    return each.select(key, "claim_idx", fill("subject", ""), fill("predicate", JSON_PREDICATE), fill("object", ""), "raw", fill("confidence", JSON_CONFIDENCE))
+def reply_claims(reply: Column, text: Column) -> Column:
+    """Array of the claims of a model's JSON reply, as those of the rules; raw is the whole text."""
+    items = F.from_json(json_array(reply), "array<struct<subject:string,predicate:string,object:string,confidence:double>>", {"mode": "PERMISSIVE"})
+    fill = lambda c, name, d: F.coalesce(c[name], F.lit(d)).alias(name)
+    return F.transform(items, lambda c: F.struct(fill(c, "subject", ""), fill(c, "predicate", JSON_PREDICATE), fill(c, "object", ""), text.alias("raw"), fill(c, "confidence", JSON_CONFIDENCE)))
 
 
 def valid_reply(reply: Column) -> Column:
@@ -87,9 +88,10 @@ def valid_reply(reply: Column) -> Column:
 
 
 def with_fallback(replies: DataFrame, key: str, text: str, reply: str) -> DataFrame:
-    """Model claims where the reply is valid, else the rules' claims."""
+    """Model claims where the reply is valid, else the rules' claims, in one pass."""
     ok = F.coalesce(valid_reply(F.col(reply)), F.lit(False))
-    return json_claims(replies.filter(ok), key, text, reply).unionByName(extract_claims(replies.filter(~ok), key, text))
+    claims = F.when(ok, reply_claims(F.col(reply), F.col(text))).otherwise(rule_claims(F.col(text)))
+    return replies.select(key, F.posexplode(claims).alias("claim_idx", "c")).select(key, "claim_idx", "c.*")
 
 
 def hybrid_claims(replies: DataFrame, key: str, text: str, reply: str) -> DataFrame:

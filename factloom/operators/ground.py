@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import cosine, sha_embed
+from factloom.functions.similarity import best_columns, byte_matrix, in_blocks, integer_cosines, sha_bytes
 from factloom.operators.extract import GROUND_VERBS, parse_triple
 
 # Association types with their inverses.
@@ -38,39 +40,37 @@ def store_stats(tables: dict[str, DataFrame]) -> DataFrame:
     return out.union(tables["propositions"].agg(F.sum((F.col("status") == "verified").cast("long")).alias("rows")).select(F.lit("verified").alias("table"), "rows"))
 
 
-def similar_pairs(left: DataFrame, a: str, right: DataFrame, b: str, least: float) -> DataFrame:
-    """Pairs (a, b) of distinct strings with a SHA cosine above `least`. A hash of a text says nothing of its parts, so
-    every string meets every other: those of the left are copied to blocks of the right."""
-    blocks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = left.select(a).distinct().withColumn("__x", sha_embed(F.col(a))).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    y = right.select(b).distinct().withColumn("__y", sha_embed(F.col(b))).withColumn("__block", F.pmod(F.xxhash64(b), F.lit(blocks)).cast("int"))
-    return x.join(y, "__block").filter(cosine(F.col("__x"), F.col("__y")) > least).select(a, b)
-
-
 def check(claims: DataFrame, key: str, propositions: DataFrame, column: str = "text") -> DataFrame:
     """key, status, confidence, matched (raw text) and reason. A contradiction wins over a match; the most similar
-    proposition is named, the first of equals. Predicates and objects are compared as distinct strings first; only
-    claims and propositions that agree in both meet, and their subjects and whole texts are compared."""
-    c = claims.select(key, F.col(column).alias("text"), parse_triple(F.col(column), GROUND_VERBS).alias("t")).persist()
-    parsed = c.filter("t IS NOT NULL").select(key, "text", F.col("t.subject").alias("c_s"), F.col("t.predicate").alias("c_p"), F.col("t.object").alias("c_o"))
+    proposition is named, the first of equals. A hash of a text says nothing of its parts, so every claim meets every
+    proposition: each is hashed once, blocks of them are compared by matrix products, and a block's best goes on."""
+    c = claims.select(key, F.col(column).alias("text"), parse_triple(F.col(column), GROUND_VERBS).alias("t"))
+    parsed = c.filter("t IS NOT NULL").select(key, *[sha_bytes(F.col(x)).alias(n) for n, x in zip("espo", ("text", "t.subject", "t.predicate", "t.object"), strict=True)])
     props = propositions.select("seq", "subject", "predicate", "object", "raw_text")
-    p = similar_pairs(parsed, "c_p", props, "predicate", PREDICATE)
-    o = similar_pairs(parsed, "c_o", props, "object", OBJECT)
-    near = parsed.join(p, "c_p").join(o, "c_o").join(props, ["predicate", "object"])
-    near = near.withColumns({"s_sim": cosine(sha_embed(F.col("c_s")), sha_embed(F.col("subject"))), "sim": cosine(sha_embed(F.col("text")), sha_embed(F.col("raw_text")))})
-    kind = F.when(F.col("s_sim") > SUBJECT, "verified").when(F.col("s_sim") < OTHER_SUBJECT, "refuted")
-    near = near.filter(F.col("sim") > CANDIDATE).withColumn("kind", kind).filter("kind IS NOT NULL")
-    best = near.groupBy(key).agg(F.max(F.struct((F.col("kind") == "refuted").alias("against"), "sim", (-F.col("seq")).alias("o"), F.struct("subject", "predicate", "object", "raw_text", "kind").alias("p"))).alias("b"))
-    j = c.join(best, key, "left")
-    b = F.col("b.p")
-    status = F.when(F.col("t").isNull() | F.col("b").isNull(), "unverified").otherwise(b["kind"])
-    confidence = F.when(F.col("t").isNull(), 0.0).when(F.col("b").isNull(), 0.5).otherwise(F.col("b.sim"))
+    held = props.select("seq", *[sha_bytes(F.col(x)).alias(n) for n, x in zip("espo", ("raw_text", "subject", "predicate", "object"), strict=True)])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("seq")
+        sim, s, p, o = (integer_cosines(byte_matrix(left[n]), byte_matrix(right[n])) for n in "espo")
+        near = (sim > CANDIDATE) & (p > PREDICATE) & (o > OBJECT)
+        against = near & (s < OTHER_SUBJECT)
+        rank = np.where(against, sim + 4.0, np.where(near & (s > SUBJECT), sim, -np.inf))
+        i, j = best_columns(rank, 1)
+        return pa.table({key: left[key].take(i), "against": against[i, j], "sim": sim[i, j], "seq": right["seq"].take(j)})
+
+    schema = f"{key} {dict(claims.dtypes)[key]}, against boolean, sim double, seq {dict(props.dtypes)['seq']}"
+    found = in_blocks(parsed, held, best, schema).groupBy(key).agg(F.max(F.struct("against", "sim", (-F.col("seq")).alias("o"))).alias("b"))
+    found = found.select(key, "b.against", "b.sim", (-F.col("b.o")).alias("seq")).join(props, "seq")
+    j = c.join(found, key, "left")
+    none = F.col("seq").isNull()
+    status = F.when(F.col("t").isNull() | none, "unverified").when(F.col("against"), "refuted").otherwise("verified")
+    confidence = F.when(F.col("t").isNull(), 0.0).when(none, 0.5).otherwise(F.col("sim"))
     reason = (
-        F.when(F.col("t").isNull(), "Could not extract subject-predicate-object from claim").when(F.col("b").isNull(), "No matching ground truth found")
-        .when(b["kind"] == "refuted", F.concat(F.lit("Ground truth shows "), F.concat_ws(" ", b["subject"], b["predicate"], b["object"]), F.lit(", not "), F.col("t.subject")))
-        .otherwise(F.concat(F.lit("Ground truth confirms: "), b["raw_text"]))
+        F.when(F.col("t").isNull(), "Could not extract subject-predicate-object from claim").when(none, "No matching ground truth found")
+        .when(F.col("against"), F.concat(F.lit("Ground truth shows "), F.concat_ws(" ", "subject", "predicate", "object"), F.lit(", not "), F.col("t.subject")))
+        .otherwise(F.concat(F.lit("Ground truth confirms: "), F.col("raw_text")))
     )
-    return j.select(key, status.alias("status"), confidence.alias("confidence"), b["raw_text"].alias("matched"), reason.alias("reason"))
+    return j.select(key, status.alias("status"), confidence.alias("confidence"), F.col("raw_text").alias("matched"), reason.alias("reason"))
 
 
 def decompose(claims: DataFrame, key: str, tables: dict[str, DataFrame], column: str = "text") -> DataFrame:
@@ -89,11 +89,14 @@ def resolve_entities(names: DataFrame, entities: DataFrame) -> DataFrame:
     asked = names.select("name").distinct().withColumn("k", F.lower("name"))
     spelled = entities.select("uuid", "at", F.explode(F.array_union(F.array(F.lower("name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a)))).alias("k"))
     equal = asked.join(spelled, "k").select("name", "uuid", "at")
-    blocks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = asked.select("name", sha_embed(F.col("name")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    e = entities.select("uuid", "at", sha_embed(F.col("name")).alias("e"), F.pmod(F.xxhash64("uuid"), F.lit(blocks)).cast("int").alias("block"))
-    near = a.join(e, "block").filter(cosine(F.col("q"), F.col("e")) > SAME_ENTITY).select("name", "uuid", "at")
-    best = equal.union(near).groupBy("name").agg(F.min_by("uuid", "at").alias("uuid"))
-    return asked.select("name").join(best, "name", "left")
 
+    def similar(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("at")
+        sim = integer_cosines(byte_matrix(left["v"]), byte_matrix(right["v"]))
+        i, j = best_columns((sim > SAME_ENTITY).astype(np.float64), 1, 1.0)
+        return pa.table({"name": left["name"].take(i), "uuid": right["uuid"].take(j), "at": right["at"].take(j)})
 
+    kinds = dict(entities.dtypes)
+    near = in_blocks(asked.select("name", sha_bytes(F.col("name")).alias("v")), entities.select("uuid", "at", sha_bytes(F.col("name")).alias("v")), similar, f"name string, uuid {kinds['uuid']}, at {kinds['at']}")
+    best = equal.union(near).groupBy("name").agg(F.min_by("uuid", "at").alias("uuid"))
+    return asked.select("name").join(best, "name", "left")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import cosine
+from factloom.functions.similarity import best_columns, in_blocks, vector_matrix
 from factloom.functions.text import claim_id, keywords, percent
 from factloom.operators.probe import probe_texts
 
@@ -59,16 +61,30 @@ def retrieve_keyword(queries: DataFrame, query_key: str, claims: DataFrame, top_
 
 
 def retrieve_vector(queries: DataFrame, query_key: str, claims: DataFrame, top_k: int = 5) -> DataFrame:
-    """query_key, claim_id, score and rank by cosine of `embedding` columns. Each query meets every claim, in blocks:
-    the queries are copied to each block of claims, where only the block's best top_k go on."""
-    spark = claims.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = claims.select("claim_id", F.col("embedding").alias("__e"), F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int").alias("__block"))
-    asked = queries.select(query_key, F.col("embedding").alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
-    scored = asked.join(own, "__block").select(query_key, "__block", "claim_id", cosine(F.col("__q"), F.col("__e"), "null").alias("score"))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("score"), "claim_id"))
-    local = scored.withColumn("r", rank(query_key, "__block")).filter(F.col("r") <= top_k)
-    return local.withColumn("rank", rank(query_key)).filter(F.col("rank") <= top_k).select(query_key, "claim_id", "score", "rank")
+    """query_key, claim_id, score and rank by cosine of `embedding` columns (vectors of one length, none null). Each query
+    meets every claim, in blocks; a block's candidates by matrix product are scored again from left to right, so equal
+    vectors have equal scores wherever they lie, and its best top_k go on. A zero vector's cosines are null, and last."""
+    asked, own = queries.select(query_key, F.col("embedding").cast("array<double>").alias("v")), claims.select("claim_id", F.col("embedding").cast("array<double>").alias("v"))
+    fold = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("claim_id")
+        x, y = vector_matrix(left["v"]), vector_matrix(right["v"])
+        nx, ny = np.sqrt(fold(x, x)), np.sqrt(fold(y, y))
+        norms = nx[:, None] * ny
+        rough = np.divide(x @ y.T, norms, out=np.full(norms.shape, -2.0), where=norms > 0)
+        kth = np.partition(rough, -top_k, axis=1)[:, [-top_k]] if top_k < rough.shape[1] else np.full((len(x), 1), -2.0)
+        i, j = np.nonzero(rough >= kth - 1e-9)
+        exact = np.full(rough.shape, -np.inf)
+        for a in range(0, len(i), 65536):
+            r, c = i[a : a + 65536], j[a : a + 65536]
+            exact[r, c] = np.where(norms[r, c] > 0, fold(x[r], y[c]) / np.where(norms[r, c] > 0, norms[r, c], 1.0), -2.0)
+        i, j = best_columns(exact, top_k)
+        return pa.table({query_key: left[query_key].take(i), "claim_id": right["claim_id"].take(j), "score": pa.array(exact[i, j], mask=exact[i, j] == -2.0)})
+
+    schema = f"{query_key} {dict(asked.dtypes)[query_key]}, claim_id {dict(own.dtypes)['claim_id']}, score double"
+    order = Window.partitionBy(query_key).orderBy(F.desc_nulls_last("score"), "claim_id")
+    return in_blocks(asked, own, best, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select(query_key, "claim_id", "score", "rank")
 
 
 def memory_stats(claims: DataFrame) -> DataFrame:

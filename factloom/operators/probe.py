@@ -1,15 +1,17 @@
 """Probing claims against facts: exact match, contradiction, soft match, and the verdict that follows.
 
-All matching is by equi-joins. A soft score is .30 s + .45 p + .25 o of three cosines; a pair of claim and fact can only
-score through a shared hash bucket, so pairs come from bucket joins over *distinct* strings, and the facts that share
-nothing but the predicate are represented by the first of each predicate, which no other such fact can beat."""
+Exact matches and contradictions are equi-joins. A soft score is .30 s + .45 p + .25 o of three cosines of hash embeddings;
+names share common words, so a join on shared buckets would meet nearly all pairs in a few hot buckets. Instead the claims
+that are still open are dealt with the facts into cells of bounded size, where the three cosines are matrix products of
+bucket counts (exact whole numbers), and only each cell's best facts of a claim go on."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import cosines
+from factloom.functions.similarity import bag_matrix, best_columns, hash_bag, in_blocks, integer_cosines
 from factloom.functions.text import canon_predicate, norm_text
 from factloom.operators.extract import extract_claims
 
@@ -38,51 +40,48 @@ def contradictions(claims: DataFrame, facts: DataFrame, keys: list[str]) -> Data
     return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("fact_seq", "fact"))), lambda x: x["fact"]).alias("contradicting"))
 
 
-def scores(triples: DataFrame, facts: DataFrame) -> DataFrame:
-    """subject, predicate, object, fact_seq, rel_id, fact, score for every distinct triple and every fact that shares a
-    subject or object bucket with it, and the first fact of each predicate."""
-    t = triples.select(*TRIPLE).distinct().withColumn("c_p", canon_predicate(F.col("predicate")))
-    t, facts = t.persist(), facts.persist()
-    s = cosines(t, "subject", facts, "s_label", "s_sim").persist()
-    p = cosines(t, "c_p", facts, "p_canon2", "p_sim").persist()
-    o = cosines(t, "object", facts, "o_label", "o_sim").persist()
-    f = facts.select("fact_seq", "s_label", "p_canon2", "o_label")
-    by_s = t.join(s, "subject").join(f, "s_label").select(*TRIPLE, "c_p", "fact_seq")
-    by_o = t.join(o, "object").join(f, "o_label").select(*TRIPLE, "c_p", "fact_seq")
-    heads = facts.groupBy("p_canon2").agg(F.min("fact_seq").alias("fact_seq"))
-    by_p = t.join(p, "c_p").join(heads, "p_canon2").select(*TRIPLE, "c_p", "fact_seq")
-    first = facts.agg(F.min("fact_seq").alias("fact_seq")).filter("fact_seq IS NOT NULL").withColumn("k", F.lit(1))
-    none = t.withColumn("k", F.lit(1)).join(F.broadcast(first), "k").select(*TRIPLE, "c_p", "fact_seq")
-    pairs = by_s.union(by_o).union(by_p).union(none).distinct()
-    full = pairs.join(facts.select("fact_seq", "rel_id", "s_label", "p_canon2", "o_label", fact_struct().alias("fact")), "fact_seq")
-    full = full.join(s, ["subject", "s_label"], "left").join(p, ["c_p", "p_canon2"], "left").join(o, ["object", "o_label"], "left")
-    sim = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    score = F.lit(WEIGHTS[0]) * sim("s_sim") + F.lit(WEIGHTS[1]) * sim("p_sim") + F.lit(WEIGHTS[2]) * sim("o_sim")
-    return full.select(*TRIPLE, "fact_seq", "rel_id", "fact", score.alias("score"))
+def ranked(triples: DataFrame, facts: DataFrame, top_k: int, least: float) -> DataFrame:
+    """subject, predicate, object, rank, rel_id, fact_seq, fact, score: the top_k facts of each distinct triple among
+    those of at least the score `least`, best first, ties in order of the facts."""
+    t = triples.select(*TRIPLE).distinct()
+    asked = t.select(*TRIPLE, hash_bag(F.col("subject")).alias("s"), hash_bag(canon_predicate(F.col("predicate"))).alias("p"), hash_bag(F.col("object")).alias("o"))
+    known = facts.select("fact_seq", hash_bag(F.col("s_label")).alias("s"), hash_bag(F.col("p_canon2")).alias("p"), hash_bag(F.col("o_label")).alias("o"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right, parts = right.sort_by("fact_seq"), []
+        y = [bag_matrix(right[n]) for n in "spo"]
+        for a in range(0, left.num_rows, 256):
+            part = left.slice(a, 256)
+            s, p, o = (integer_cosines(bag_matrix(part[n]), m) for n, m in zip("spo", y, strict=True))
+            score = WEIGHTS[0] * s + WEIGHTS[1] * p + WEIGHTS[2] * o
+            i, j = best_columns(score, top_k, least)
+            parts.append(pa.table({c: part[c].take(i) for c in TRIPLE} | {"fact_seq": right["fact_seq"].take(j), "score": score[i, j]}))
+        return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], pa.string()) for c in TRIPLE} | {"fact_seq": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    order = Window.partitionBy(*TRIPLE).orderBy(F.desc("score"), "fact_seq")
+    found = in_blocks(asked, known, best, "subject string, predicate string, object string, fact_seq long, score double")
+    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    return found.join(facts.select("fact_seq", "rel_id", fact_struct().alias("fact")), "fact_seq").select(*TRIPLE, "rank", "rel_id", "fact_seq", "fact", "score")
 
 
 def soft_matches(triples: DataFrame, facts: DataFrame, threshold: float = THRESHOLD, top_k: int = 3) -> DataFrame:
     """The top_k facts of at least the threshold, best first, ties in order: adds rank from 1."""
-    order = Window.partitionBy(*TRIPLE).orderBy(F.desc("score"), "fact_seq")
-    return scores(triples, facts).filter(F.col("score") >= threshold).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    return ranked(triples, facts, top_k, threshold)
 
 
 def closest(triples: DataFrame, facts: DataFrame) -> DataFrame:
     """The best fact of each triple, whatever its score."""
-    best = scores(triples, facts).groupBy(*TRIPLE).agg(F.max(F.struct("score", (-F.col("fact_seq")).alias("o"), "rel_id", "fact")).alias("b"))
-    return best.select(*TRIPLE, "b.rel_id", "b.fact", "b.score")
+    return ranked(triples, facts, 1, 0.0).select(*TRIPLE, "rel_id", "fact", "score")
 
 
 def probe_claims(claims: DataFrame, facts: DataFrame, keys: list[str], threshold: float = THRESHOLD, contradiction_check: bool = True) -> DataFrame:
     """claims with verdict, score, matched_facts, rel_id (the proof's relation) and reason. Scores are worked out once,
     for the claims that neither match nor contradict."""
-    claims, facts = claims.persist(), facts.persist()
     c = exact_matches(claims, facts)
     if contradiction_check:
         c = c.join(contradictions(claims, facts, keys), keys, "left")
     else:
         c = c.withColumn("contradicting", F.lit(None).cast("array<struct<subject:string,predicate:string,object:string>>"))
-    c = c.persist()
     open_ = c.filter("rel_id IS NULL AND contradicting IS NULL")
     near = closest(open_, facts).withColumnsRenamed({"rel_id": "near_rel", "fact": "near_fact", "score": "near_score"})
     c = c.join(near, TRIPLE, "left")
