@@ -22,10 +22,12 @@ rate that is known (0 without any). Null doc_id: never held out, scored. Repeate
 from __future__ import annotations
 
 import string
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,20 +153,26 @@ def _unit(owner: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
 
 
 class Model:
-    """Terms, their idf, the example index and, once they are set, the calibrated votes."""
+    """The examples' terms and counts; the index over them is built where it is asked, and does not travel."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, share: np.ndarray, prior: float, vectors: tuple):
-        self.wanted, self.idf, self.ids, self.toxic, self.share, self.prior = terms, idf, ids, toxic, share, prior
-        self.index = BlockMaxIndex(*vectors, len(ids), len(terms))
-        self.order = np.argsort(ids, kind="stable")
-        self.steps, self.values = np.zeros(0), np.zeros(0)
+    def __init__(self, terms: np.ndarray, frequency: np.ndarray, documents: float, ids: np.ndarray, toxic: np.ndarray, share: np.ndarray, prior: float, term: np.ndarray, count: np.ndarray, cuts: np.ndarray):
+        self.wanted, self.frequency, self.documents, self.ids, self.toxic, self.share, self.prior = terms, frequency, documents, ids, toxic, share, prior
+        self.term, self.count, self.cuts, self.built = term, count, cuts, False
 
-    def calibrated(self, votes: np.ndarray) -> np.ndarray:
-        return np.interp(votes, self.steps, self.values) if len(self.steps) else np.full(len(votes), self.prior)
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("idf", "index", "order")} | {"built": False}
+
+    def build(self) -> None:
+        owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.cuts))
+        self.idf = np.log((1.0 + self.documents) / (1.0 + self.frequency)) + 1.0
+        weight = _unit(owner, (1 + np.log(self.count.astype(np.float64))) * self.idf[self.term], len(self.ids))
+        self.index, self.order, self.built = BlockMaxIndex(owner, self.term, weight, len(self.ids), len(self.wanted)), np.argsort(self.ids, kind="stable"), True
 
     def votes(self, texts: pa.Array, own_ids: np.ndarray | None = None):
         """Each text's vote, and its neighbours as (text, example, cosine), a block of texts at a time. own_ids: examples of
         a text's own id are left out."""
+        if not self.built:
+            self.build()
         owner, term, count = _term_rows(texts, self.wanted)
         weight = _unit(owner, (1 + np.log(count)) * self.idf[term], len(texts))
         for a in range(0, len(texts), QUERIES_AT_ONCE):
@@ -193,7 +201,7 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([k for k, _ in knots]), np.array([v for _, v in knots])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame) -> Fitted | float:
     """The model, or a constant score where the labels do not hold both classes."""
     spark = docs.sparkSession
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id"), 5, 0))
@@ -214,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     if len(sizes) < 2:
         return totals[1] / sum(totals.values())
     n1, n0 = float(sizes[1]), float(sizes[0])
-    terms = np.sort(examples.mapInArrow(present, "h long").distinct().toPandas()["h"].to_numpy(np.int64))
+    terms = np.sort(examples.mapInArrow(present, "h long").distinct().toArrow()["h"].to_numpy())
     wanted, pad = spark.sparkContext.broadcast(terms), -(-(len(terms) + 1) // STEP) * STEP
 
     def frequency(batches):
@@ -226,29 +234,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
                 df[: len(wanted.value)] += np.bincount(term, minlength=len(wanted.value)).astype(np.uint32)
         yield blocks_of(df, STEP)
 
-    counted = reduced(docs.select(F.col("text").cast("string")).mapInArrow(frequency, "block int, data binary"), pad // STEP, STEP).astype(np.float64)
-    idf = np.log((1.0 + counted[-1]) / (1.0 + counted[: len(terms)])) + 1.0
+    counted = reduced(docs.select(F.col("text").cast("string")).mapInArrow(frequency, "block int, data binary"), pad // STEP, STEP)
+    idf = -np.log1p(counted[: len(terms)])
 
     def vectors(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("term", pa.binary()), ("count", pa.binary())])
+        fields = [("doc_id", pa.int64()), ("toxic", pa.int32()), ("term", pa.binary()), ("count", pa.binary())]
         for b in batches:
             for part in text_slices(b, limit=SLICE):
                 owner, term, count = _term_rows(filled(part.column("text")), wanted.value)
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                yield rows({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "term": [term[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "count": [count[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]}, schema)
-
-    found = [(r.toxic, r.doc_id, np.frombuffer(bytes(r.term), np.int32), np.frombuffer(bytes(r["count"]), np.int32)) for r in examples.mapInArrow(vectors, "doc_id long, toxic int, term binary, count binary").collect()]
-    found.sort(key=lambda r: (r[0], int(r[2][np.argmax(idf[r[2]])]) if len(r[2]) else -1, r[1]))  # like examples share blocks
-    toxic = np.array([r[0] for r in found])
-    ids = np.array([r[1] for r in found])
-    owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(r[2]) for r in found])
-    term = np.concatenate([r[2] for r in found])
-    weight = 1 + np.log(np.concatenate([r[3] for r in found]).astype(np.float64))
-    del found
-    weight *= idf[term]
-    share = np.where(toxic == 1, totals[1] / n1, totals[0] / n0)
-    model = Model(terms, idf, ids, toxic, share, totals[1] / sum(totals.values()), (owner, term, _unit(owner, weight, len(ids))))
-    del owner, term, weight
+                cells = lambda x, kind: [x[i:j].astype(kind).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]  # noqa: B023, E731
+                yield rows({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "term": cells(term, np.int32), "count": cells(count, np.uint32)}, pa.schema(fields))
+
+    found = examples.mapInArrow(vectors, "doc_id long, toxic int, term binary, count binary").toArrow()
+    part = [np.frombuffer(x.as_buffer(), np.int32) for c in found["term"].chunks for x in c]
+    rarest = [int(x[np.argmax(idf[x])]) if len(x) else -1 for x in part]
+    ids, toxic = found["doc_id"].to_numpy(), found["toxic"].to_numpy().astype(np.int64)
+    order = np.lexsort((ids, rarest, toxic))  # like examples share blocks
+    counts = [np.frombuffer(x.as_buffer(), np.uint32) for c in found["count"].chunks for x in c]
+    cuts = np.concatenate([[0], np.cumsum([len(part[k]) for k in order])])
+    share = np.where(toxic[order] == 1, totals[1] / n1, totals[0] / n0)
+    model = Model(terms, counted[: len(terms)], float(counted[-1]), ids[order], toxic[order], share, totals[1] / sum(totals.values()), np.concatenate([part[k] for k in order]), np.concatenate([counts[k] for k in order]), cuts)
+    del found, part, counts, counted
     held = spark.sparkContext.broadcast(model)
 
     def own_votes(batches):
@@ -259,32 +266,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
                 votes = [v for v, _ in held.value.votes(filled(part.column("text")), ids)]
                 yield rows({"doc_id": ids, "toxic": part.column("toxic"), "vote": np.concatenate(votes)}, schema)
 
-    own = examples.mapInArrow(own_votes, "doc_id long, toxic int, vote double").toPandas().sort_values(["doc_id", "vote"])
+    own = examples.mapInArrow(own_votes, "doc_id long, toxic int, vote double").toArrow().sort_by([("doc_id", "ascending"), ("vote", "ascending")])
     discard(examples)
-    y = own["toxic"].to_numpy(np.float64)
-    model.steps, model.values = _monotone(own["vote"].to_numpy(), y, np.where(y == 1, totals[1] / n1, totals[0] / n0))
-    held.unpersist()
-    return model
+    y = own["toxic"].to_numpy().astype(np.float64)
+    return Fitted(held, *_monotone(own["vote"].to_numpy(), y, np.where(y == 1, totals[1] / n1, totals[0] / n0)))
+
+
+class Fitted(NamedTuple):
+    """A model that the executors hold, and the map from votes to scores (knots and values)."""
+
+    held: Broadcast
+    steps: np.ndarray
+    values: np.ndarray
 
 
-def score(docs: DataFrame, model: Model | float) -> DataFrame:
+def score(docs: DataFrame, model: Fitted | float) -> DataFrame:
     """doc_id, score, predicted and evidence (nearest examples) of every row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", near)])
 
     def run(batches):
-        m = held.value
+        m = None if isinstance(model, float) else model.held.value
         for b in batches:
             for part in text_slices(b, limit=SLICE):
-                if isinstance(m, float):
+                if m is None:
                     n = part.num_rows
-                    yield rows({"doc_id": part.column("doc_id"), "score": np.full(n, m), "predicted": np.full(n, m >= 0.5, np.int32), "evidence": [[]] * n}, schema)
+                    yield rows({"doc_id": part.column("doc_id"), "score": np.full(n, model), "predicted": np.full(n, model >= 0.5, np.int32), "evidence": [[]] * n}, schema)
                     continue
                 at = 0
                 for votes, (q, found, cos) in m.votes(filled(part.column("text"))):
                     n, first = len(votes), np.searchsorted(q, np.arange(len(votes)))
-                    scores = np.clip(m.calibrated(votes), 0, 1)
+                    scores = np.clip(np.interp(votes, model.steps, model.values), 0, 1)
                     top = np.minimum(np.diff(first, append=len(q)), EVIDENCE)
                     e = _ranges(first, top)
                     flat = pa.StructArray.from_arrays([pa.array(m.ids[found[e]], pa.int64()), pa.array(cos[e]), pa.array(m.toxic[found[e]], pa.int32())], fields=list(near.value_type))

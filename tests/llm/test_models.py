@@ -84,12 +84,13 @@ def test_toxicity_neighbours_go_by_every_term(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
     terms = {r.doc_id: Counter(t for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for t in terms_of(w)) for r in docs.collect()}
-    known = {t for i in model.ids for t in terms[int(i)]}
+    model_ = model.held.value
+    known = {t for i in model_.ids for t in terms[int(i)]}
     df = Counter(t for c in terms.values() for t in c)
     weigh = lambda c: {t: (1 + np.log(n)) * (np.log((1 + len(terms)) / (1 + df[t])) + 1) for t, n in c.items() if t in known}
     norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
-    examples = [weigh(terms[int(i)]) for i in model.ids]
-    assert len(known) == len(model.wanted) > 1000
+    examples = [weigh(terms[int(i)]) for i in model_.ids]
+    assert len(known) == len(model_.wanted) > 1000
     out = toxicity.score(docs, model).collect()
     assert len({round(r.score, 9) for r in out}) > 5
     for r in out:
