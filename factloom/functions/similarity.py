@@ -63,6 +63,11 @@ def hash_bag(c: Column, dim: int = 512) -> Column:
     return F.transform(hash_tokens(c), lambda t: bucket(t, dim))
 
 
+def no_encoding() -> Column:
+    """What stands for an embedding where there is no encoder; such embeddings have no similarity and are never scored."""
+    return F.array(F.lit(0.0))
+
+
 def in_blocks(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, rows: tuple[int, int] = (1024, 4096)) -> DataFrame:
     """run(left rows, right rows) for every pair of blocks of about so many rows: each row of one side meets each of the
     other, in cells that are small enough for one task however large the tables are."""
@@ -70,6 +75,7 @@ def in_blocks(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Tab
     at = lambda side, n: F.pmod(F.xxhash64(*side.columns), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     x = left.withColumn("__a", at(left, a)).withColumn("__b", every(b))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, should both be one table
     y = right.withColumn("__b", at(right, b)).withColumn("__a", every(a))
     none = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
     return x.groupBy("__a", "__b").cogroup(y.groupBy("__a", "__b")).applyInArrow(lambda l, r: run(l, r) if l.num_rows and r.num_rows else none, schema)  # noqa: E741
@@ -98,6 +104,13 @@ def integer_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.divide(x @ y.T, np.sqrt(norms), out=np.zeros(norms.shape), where=norms > 0)
 
 
+def string_ratios(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """Ratcliff-Obershelp ratios of all pairs of strings; equal strings are compared once."""
+    left, right = a.combine_chunks().dictionary_encode(), b.combine_chunks().dictionary_encode()
+    known = np.array([[SequenceMatcher(None, x, y).ratio() for y in right.dictionary.to_pylist()] for x in left.dictionary.to_pylist()])
+    return known[left.indices.to_numpy()[:, None], right.indices.to_numpy()]
+
+
 def best_columns(scores: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k largest of each row that are at least `least`; of equal ones the first columns."""
     scores, found = scores.copy(), []

@@ -15,10 +15,20 @@ ADAPTERS = {
     "external": (["verified"], ["refuted"]),
     "judge": (["PASS"], ["FAIL"]),
     "self_consistency": (["PASS"], ["FAIL"]),
+    "ground_store": ([], []),
+}
+# Algorithms that need a server, or whose model is a stand-in, and what calls for which work.
+UNAVAILABLE, MOCKED = ("ground_store",), ("judge", "self_consistency")
+TASKS = {
+    "false_attr": ("HIGH", "Fix false attribution", "1-2 hours", "Match with regard to the subject"),
+    "contradiction": ("HIGH", "Fix contradiction detection", "1-2 hours", "Add facts: birth places, locations, capitals"),
+    "no ground_store": ("MEDIUM", "Deploy the ground-truth store", "4-8 hours", "Set up its server"),
+    "no judge": ("LOW", "Enable a real model", "30 mins", "Provide a key for it"),
 }
 
 
 def as_bool(verdict: Column, adapter: str) -> Column:
+    """What a verdict says of the claim; null where it is unverifiable, as anything of an unavailable algorithm is."""
     true, false = ADAPTERS[adapter]
     return F.when(verdict.isin(true), True).when(verdict.isin(false), False)
 
@@ -32,12 +42,10 @@ def judged_cases(cases: DataFrame, predictions: DataFrame) -> DataFrame:
 def metrics(results: DataFrame) -> DataFrame:
     """One pass of grouping sets: by (algo, set), (algo, type) and algo. tested, passed, rate, latency_ms; level_of says
     which grouping a row belongs to."""
-    results.createOrReplaceTempView("__results")
-    out = results.sparkSession.sql("""
-        SELECT algo, set_key, h_type, count(*) AS tested, sum(CAST(passed AS BIGINT)) AS passed, avg(latency_ms) AS latency_ms,
-               CASE WHEN grouping(set_key) = 0 THEN 'set' WHEN grouping(h_type) = 0 THEN 'type' ELSE 'all' END AS level_of
-        FROM __results GROUP BY algo, set_key, h_type GROUPING SETS ((algo, set_key), (algo, h_type), (algo))""")
-    return out.withColumn("rate", F.col("passed") / F.col("tested"))
+    g = results.groupingSets([["algo", "set_key"], ["algo", "h_type"], ["algo"]], "algo", "set_key", "h_type")
+    out = g.agg(F.count("*").alias("tested"), F.sum(F.col("passed").cast("long")).alias("passed"), F.avg("latency_ms").alias("latency_ms"), F.grouping("set_key").alias("__s"), F.grouping("h_type").alias("__t"))
+    level = F.when(F.col("__s") == 0, "set").when(F.col("__t") == 0, "type").otherwise("all")
+    return out.select("algo", "set_key", "h_type", "tested", "passed", "latency_ms", level.alias("level_of"), (F.col("passed") / F.col("tested")).alias("rate"))
 
 
 def coverage(m: DataFrame) -> DataFrame:
@@ -67,15 +75,45 @@ def failures(results: DataFrame) -> DataFrame:
     return by.join(types, "algo")
 
 
-def priorities(results: DataFrame) -> DataFrame:
-    """priority, task, failures - for the types whose failures call for work."""
-    f = results.filter(~F.col("passed") & F.col("h_type").isin("false_attr", "contradiction")).groupBy("h_type").agg(F.count("*").alias("failures"))
-    task = F.when(F.col("h_type") == "false_attr", "Fix false attribution").otherwise("Fix contradiction detection")
-    return f.select(F.lit("HIGH").alias("priority"), task.alias("task"), "failures")
-
-
-def markdown(coverage_rows: DataFrame) -> str:
-    """The coverage table as Markdown; it has a row per algorithm."""
-    rows = coverage_rows.orderBy(F.desc("score")).collect()
-    head = "| Algorithm | Accuracy | Score | Level |\n|---|---|---|---|\n"
-    return head + "\n".join(f"| {r.algo} | {r.accuracy:.0%} | {r.score:.0f}/100 | {r.level} |" for r in rows)
+def statuses(spark, unavailable: tuple = UNAVAILABLE, mocked: tuple = MOCKED) -> DataFrame:
+    """algo and availability of all algorithms; one that is unavailable has no results and counts as MINIMAL."""
+    kinds = {a: "available" for a in ADAPTERS} | {a: "mock_only" for a in mocked} | {a: "unavailable" for a in unavailable}
+    return spark.createDataFrame(sorted(kinds.items()), "algo string, availability string")
+
+
+def priorities(results: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """priority, task, failures, time, action: for the types whose failures, over all algorithms, call for work, and for
+    the algorithms (algo, availability) that need setting up."""
+    known = F.create_map(*[F.lit(x) for kind, item in TASKS.items() for x in (kind, F.struct(*[F.lit(v).alias(n) for n, v in zip(("priority", "task", "time", "action"), item, strict=True)]))])
+    f = results.filter(~F.col("passed")).groupBy(F.col("h_type").alias("k")).agg(F.count("*").alias("failures"))
+    if available is not None:
+        f = f.unionByName(available.filter("availability = 'unavailable'").select(F.concat(F.lit("no "), "algo").alias("k"), F.lit(0).cast("long").alias("failures")))
+    items = f.withColumn("t", F.try_element_at(known, F.col("k"))).filter("t IS NOT NULL")
+    return items.select("t.priority", "t.task", "failures", "t.time", "t.action")
+
+
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join(map(str, r)) + " |" for r in rows], ""]
+
+
+def markdown(coverage_rows: DataFrame, metric_rows: DataFrame | None = None, available: DataFrame | None = None, todo: DataFrame | None = None) -> str:
+    """The report as Markdown: comparison, legend, capabilities, sets and what to do. Its tables have a row per algorithm,
+    set or task, whatever the number of cases."""
+    rows = {r.algo: r for r in coverage_rows.collect()}
+    m = metric_rows.collect() if metric_rows is not None else []
+    latency = {r.algo: r.latency_ms for r in m if r.level_of == "all"}
+    state = {r.algo: r.availability for r in available.collect()} if available is not None else {a: "available" for a in rows}
+    out = ["## Evaluation", "", "### Comparison", ""]
+    order = sorted(set(rows) | {a for a, s in state.items() if s == "unavailable"}, key=lambda a: (-rows[a].score if a in rows else 1.0, a))
+    shown = lambda a: [a, state.get(a, "available"), *([f"{rows[a].accuracy:.0%}", rows[a].level, f"{rows[a].score:.0f}/100"] if a in rows else ["N/A", "MINIMAL", "0/100"]), f"{latency[a]:.1f} ms" if a in latency else "N/A"]
+    out += _table(["Algorithm", "Status", "Accuracy", "Coverage", "Score", "Latency"], [shown(a) for a in order])
+    bounds = [least for _, least in LEVELS]
+    out += ["### Coverage levels", "", *_table(["Level", "Accuracy"], [[name, f"{least:.0%} and more"] for name, least in LEVELS] + [["MINIMAL", f"less than {bounds[-1]:.0%}"]])]
+    out += ["### Detects", "", *_table(["Algorithm", *TYPE_WEIGHTS], [[a, *["yes" if rows[a][f"detects_{t}"] else "no" for t in TYPE_WEIGHTS]] for a in order if a in rows])]
+    for a in order:
+        own = sorted((r for r in m if r.algo == a and r.level_of == "set"), key=lambda r: r.set_key)
+        if own:
+            out += [f"### Sets: {a}", "", *_table(["Set", "Passed", "Total", "Accuracy", "Latency"], [[r.set_key, r.passed, r.tested, f"{r.rate:.0%}", f"{r.latency_ms:.1f} ms"] for r in own])]
+    if todo is not None:
+        out += ["### What to do", "", *_table(["Priority", "Task", "Failures", "Time", "Action"], [[r.priority, r.task, r.failures or "", r.time, r.action] for r in sorted(todo.collect(), key=lambda r: (["HIGH", "MEDIUM", "LOW"].index(r.priority), r.task))])]
+    return "\n".join(out)

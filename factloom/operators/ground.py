@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.similarity import best_columns, byte_matrix, in_blocks, integer_cosines, sha_bytes
 from factloom.operators.extract import GROUND_VERBS, parse_triple
+from factloom.operators.order import cut, openers
 
 # Association types with their inverses.
 ASSOCIATIONS = {"has_subject": "subject_of", "has_predicate": "predicate_of", "has_object": "object_of", "derived_from": "source_of", "verified_by": "verifies", "contradicts": "contradicted_by", "supports": "supported_by"}
@@ -44,7 +45,7 @@ def check(claims: DataFrame, key: str, propositions: DataFrame, column: str = "t
     """key, status, confidence, matched (raw text) and reason. A contradiction wins over a match; the most similar
     proposition is named, the first of equals. A hash of a text says nothing of its parts, so every claim meets every
     proposition: each is hashed once, blocks of them are compared by matrix products, and a block's best goes on."""
-    c = claims.select(key, F.col(column).alias("text"), parse_triple(F.col(column), GROUND_VERBS).alias("t"))
+    c = cut(claims.select(key, F.col(column).alias("text"), parse_triple(F.col(column), GROUND_VERBS).alias("t")))
     parsed = c.filter("t IS NOT NULL").select(key, *[sha_bytes(F.col(x)).alias(n) for n, x in zip("espo", ("text", "t.subject", "t.predicate", "t.object"), strict=True)])
     props = propositions.select("seq", "subject", "predicate", "object", "raw_text")
     held = props.select("seq", *[sha_bytes(F.col(x)).alias(n) for n, x in zip("espo", ("raw_text", "subject", "predicate", "object"), strict=True)])
@@ -100,3 +101,24 @@ def resolve_entities(names: DataFrame, entities: DataFrame) -> DataFrame:
     near = in_blocks(asked.select("name", sha_bytes(F.col("name")).alias("v")), entities.select("uuid", "at", sha_bytes(F.col("name")).alias("v")), similar, f"name string, uuid {kinds['uuid']}, at {kinds['at']}")
     best = equal.union(near).groupBy("name").agg(F.min_by("uuid", "at").alias("uuid"))
     return asked.select("name").join(best, "name", "left")
+
+
+def resolve_in_order(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """seq, name, uuid, created of names (seq, name) that are resolved one after another: each takes the first entity, in
+    order, that it equals or resembles, be it given or made for an earlier name; else one is made for it."""
+    given = cut(resolve_entities(names, entities).filter("uuid IS NOT NULL"))
+    left = names.join(given.select("name"), "name", "left_anti").select("seq", "name", F.lower("name").alias("k"))
+    heads = cut(left.groupBy("k").agg(F.min("seq").alias("seq")))
+    sides = heads.select("seq", sha_bytes(F.col("k")).alias("v"))
+
+    def alike(a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j = np.nonzero((integer_cosines(byte_matrix(a["v"]), byte_matrix(b["v"])) > SAME_ENTITY) & (a["seq"].to_numpy()[:, None] < b["seq"].to_numpy()))
+        return pa.table({"a": a["seq"].take(i), "b": b["seq"].take(j)})
+
+    kind = dict(heads.dtypes)["seq"]
+    pairs = cut(in_blocks(sides, sides, alike, f"a {kind}, b {kind}"))
+    made = openers(heads.select(F.col("seq").alias("n")), pairs).select(F.col("n").alias("maker"))
+    near = pairs.join(made, pairs["a"] == made["maker"]).groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("maker"))
+    of = heads.join(near, "seq", "left").select("k", F.coalesce("maker", "seq").alias("maker"))
+    new = left.join(of, "k").select("seq", "name", F.concat(F.lit("entity_new_"), F.col("maker").cast("string")).alias("uuid"), (F.col("seq") == F.col("maker")).alias("created"))
+    return names.select("seq", "name").join(given, "name").select("seq", "name", "uuid", F.lit(False).alias("created")).unionByName(new)

@@ -23,10 +23,10 @@ def confidence_of(verdict: Column, score: Column) -> Column:
     return F.when(verdict == "PASS", 1.0).when(verdict == "SOFT_PASS", score).when(verdict.isin("FAIL", "CONTRADICT"), against).otherwise(0.5)
 
 
-def prove(texts: DataFrame, facts: DataFrame, key: str, column: str = "text", threshold: float = 0.7, timestamp: float = 0.0) -> DataFrame:
+def prove(texts: DataFrame, facts: DataFrame, key: str, column: str = "text", threshold: float = 0.7, timestamp: float = 0.0, similar: str = "hash") -> DataFrame:
     """The first claim of each text as a verified claim: key, text, subject, predicate, object, status, confidence,
     provenance, verdict, score, reason, claim_id."""
-    found = probe_texts(texts, facts, key, column, threshold).filter("claim_idx = 0")
+    found = probe_texts(texts, facts, key, column, threshold, similar=similar).filter("claim_idx = 0")
     found = found.join(texts.select(key, F.col(column).alias("text")), key)
     found = found.withColumn("status", status_of(F.col("verdict"))).withColumn("confidence", confidence_of(F.col("verdict"), F.col("score")))
     details = F.to_json(F.struct("verdict", "score", "matched_facts", "reason"))
@@ -34,6 +34,11 @@ def prove(texts: DataFrame, facts: DataFrame, key: str, column: str = "text", th
     return found.select(key, "text", "subject", "predicate", "object", "status", "confidence", prov.alias("provenance"), "verdict", "score", "reason", claim_id(F.col("subject"), F.col("predicate"), F.col("object")).alias("claim_id"))
 
 
+def kb_strategy(probed: DataFrame, key: str) -> DataFrame:
+    """key, verdict, confidence of the first claim of each probed text: the knowledge base as a strategy of its own."""
+    return probed.filter("claim_idx = 0").select(key, "verdict", confidence_of(F.col("verdict"), F.col("score")).alias("confidence"))
+
+
 def upsert(claims: DataFrame, key: str = "claim_id", seq: str = "seq") -> DataFrame:
     """One row per key: the last row's values at the first row's place (seq)."""
     others = [c for c in claims.columns if c not in (key, seq)]
@@ -139,13 +144,23 @@ def provenance_chain(records: Column) -> Column:
     return F.array_join(F.transform(records, lambda r: F.concat(F.lit("["), r["source_type"], F.lit("] "), r["source_id"], F.lit(" (conf="), F.format_string("%.2f", r["confidence"]), F.lit(")"))), " → ")
 
 
-def consensus(claims: DataFrame, graph: DataFrame, initial: float = 0.5) -> DataFrame:
-    """claims: subject, predicate, object, models (how many state it); graph: the same key with object, confidence,
-    status. Unknown keys enter as generated; equal objects gain 0.1; others make the key contested."""
-    g = graph.select("subject", "predicate", F.col("object").alias("g_object"), F.col("confidence").alias("g_confidence"), F.col("status").alias("g_status"))
+def agreed(extractions: DataFrame, models: int) -> DataFrame:
+    """subject, predicate, object, agree of the claims that more than half of the models state (model, subject, ...)."""
+    n = extractions.groupBy("subject", "predicate", "object").agg(F.count_distinct("model").alias("agree"))
+    return n.filter(F.col("agree") * 2 > models)
+
+
+def consensus(claims: DataFrame, graph: DataFrame, initial: float = 0.5, source: str = "batch", models: int = 1) -> DataFrame:
+    """claims: subject, predicate, object; graph: the same key (the first object by name of a repeated one) with object,
+    confidence, status. Unknown keys enter as generated; equal objects gain 0.1; others make the key contested. Adds the
+    provenance record (source_type, source_id, confidence) that the claim brings."""
+    g = graph.groupBy("subject", "predicate").agg(F.min(F.struct(F.col("object").alias("o"), F.col("confidence").alias("c"), F.col("status").alias("s"))).alias("g"))
+    g = g.select("subject", "predicate", F.col("g.o").alias("g_object"), F.col("g.c").alias("g_confidence"), F.col("g.s").alias("g_status"))
     j = claims.join(g, ["subject", "predicate"], "left")
     new, same = F.col("g_object").isNull(), F.col("g_object") == F.col("object")
-    return j.select("subject", "predicate", "object", F.when(new, "llm_generated").when(same, F.col("g_status")).otherwise("contested").alias("status"), F.when(new, F.lit(initial)).when(same, F.least(F.lit(1.0), F.col("g_confidence") + 0.1)).otherwise(F.col("g_confidence")).alias("confidence"), F.when(~new & ~same, F.col("object")).alias("alternative"))
+    record = lambda kind, of, c: F.struct(F.lit(kind).alias("source_type"), F.lit(of).alias("source_id"), F.lit(c).alias("confidence"))
+    provenance = F.when(new, record("llm_consensus", f"{models} LLMs agreed", initial)).when(same, record("confirmation", source, 0.9)).otherwise(record("llm_consensus", source, initial))
+    return j.select("subject", "predicate", "object", F.when(new, "llm_generated").when(same, F.col("g_status")).otherwise("contested").alias("status"), F.when(new, F.lit(initial)).when(same, F.least(F.lit(1.0), F.col("g_confidence") + 0.1)).otherwise(F.col("g_confidence")).alias("confidence"), F.when(~new & ~same, F.col("object")).alias("alternative"), provenance.alias("provenance"))
 
 
 def trust_report(claims: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import bag_matrix, best_columns, hash_bag, in_blocks, integer_cosines
+from factloom.functions.similarity import bag_matrix, best_columns, hash_bag, in_blocks, integer_cosines, string_ratios
 from factloom.functions.text import canon_predicate, norm_text
 from factloom.operators.extract import extract_claims
+from factloom.operators.order import cut
 
 WEIGHTS, THRESHOLD = (0.30, 0.45, 0.25), 0.75
 TRIPLE = ["subject", "predicate", "object"]
@@ -40,19 +41,21 @@ def contradictions(claims: DataFrame, facts: DataFrame, keys: list[str]) -> Data
     return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("fact_seq", "fact"))), lambda x: x["fact"]).alias("contradicting"))
 
 
-def ranked(triples: DataFrame, facts: DataFrame, top_k: int, least: float) -> DataFrame:
+def ranked(triples: DataFrame, facts: DataFrame, top_k: int, least: float, similar: str = "hash") -> DataFrame:
     """subject, predicate, object, rank, rel_id, fact_seq, fact, score: the top_k facts of each distinct triple among
-    those of at least the score `least`, best first, ties in order of the facts."""
-    t = triples.select(*TRIPLE).distinct()
-    asked = t.select(*TRIPLE, hash_bag(F.col("subject")).alias("s"), hash_bag(canon_predicate(F.col("predicate"))).alias("p"), hash_bag(F.col("object")).alias("o"))
-    known = facts.select("fact_seq", hash_bag(F.col("s_label")).alias("s"), hash_bag(F.col("p_canon2")).alias("p"), hash_bag(F.col("o_label")).alias("o"))
+    those of at least the score `least`, best first, ties in order of the facts. similar: cosines of hash embeddings, or
+    "ratio", the strings' ratios."""
+    t, facts = cut(triples.select(*TRIPLE).distinct()), cut(facts.select("fact_seq", "rel_id", "s_label", "p_canon", "p_canon2", "o_label"))
+    form = hash_bag if similar == "hash" else norm_text
+    measure = (lambda a, b: integer_cosines(bag_matrix(a), bag_matrix(b))) if similar == "hash" else string_ratios
+    asked = t.select(*TRIPLE, form(F.col("subject")).alias("s"), form(canon_predicate(F.col("predicate"))).alias("p"), form(F.col("object")).alias("o"))
+    known = facts.select("fact_seq", form(F.col("s_label")).alias("s"), form(F.col("p_canon2")).alias("p"), form(F.col("o_label")).alias("o"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         right, parts = right.sort_by("fact_seq"), []
-        y = [bag_matrix(right[n]) for n in "spo"]
         for a in range(0, left.num_rows, 256):
             part = left.slice(a, 256)
-            s, p, o = (integer_cosines(bag_matrix(part[n]), m) for n, m in zip("spo", y, strict=True))
+            s, p, o = (measure(part[n], right[n]) for n in "spo")
             score = WEIGHTS[0] * s + WEIGHTS[1] * p + WEIGHTS[2] * o
             i, j = best_columns(score, top_k, least)
             parts.append(pa.table({c: part[c].take(i) for c in TRIPLE} | {"fact_seq": right["fact_seq"].take(j), "score": score[i, j]}))
@@ -69,21 +72,22 @@ def soft_matches(triples: DataFrame, facts: DataFrame, threshold: float = THRESH
     return ranked(triples, facts, top_k, threshold)
 
 
-def closest(triples: DataFrame, facts: DataFrame) -> DataFrame:
+def closest(triples: DataFrame, facts: DataFrame, similar: str = "hash") -> DataFrame:
     """The best fact of each triple, whatever its score."""
-    return ranked(triples, facts, 1, 0.0).select(*TRIPLE, "rel_id", "fact", "score")
+    return ranked(triples, facts, 1, 0.0, similar).select(*TRIPLE, "rel_id", "fact", "score")
 
 
-def probe_claims(claims: DataFrame, facts: DataFrame, keys: list[str], threshold: float = THRESHOLD, contradiction_check: bool = True) -> DataFrame:
+def probe_claims(claims: DataFrame, facts: DataFrame, keys: list[str], threshold: float = THRESHOLD, contradiction_check: bool = True, similar: str = "hash") -> DataFrame:
     """claims with verdict, score, matched_facts, rel_id (the proof's relation) and reason. Scores are worked out once,
     for the claims that neither match nor contradict."""
+    claims, facts = cut(claims), cut(facts)
     c = exact_matches(claims, facts)
     if contradiction_check:
         c = c.join(contradictions(claims, facts, keys), keys, "left")
     else:
         c = c.withColumn("contradicting", F.lit(None).cast("array<struct<subject:string,predicate:string,object:string>>"))
     open_ = c.filter("rel_id IS NULL AND contradicting IS NULL")
-    near = closest(open_, facts).withColumnsRenamed({"rel_id": "near_rel", "fact": "near_fact", "score": "near_score"})
+    near = closest(open_, facts, similar).withColumnsRenamed({"rel_id": "near_rel", "fact": "near_fact", "score": "near_score"})
     c = c.join(near, TRIPLE, "left")
     exact, against, soft = F.col("rel_id").isNotNull(), F.col("contradicting").isNotNull(), F.coalesce(F.col("near_score") >= threshold, F.lit(False))
     own = F.array(F.struct(*TRIPLE))
@@ -100,10 +104,10 @@ def probe_claims(claims: DataFrame, facts: DataFrame, keys: list[str], threshold
     return c.select(*claims.columns, verdict.alias("verdict"), score.alias("score"), matched.alias("matched_facts"), proof.alias("proof_rel"), reason.alias("reason"))
 
 
-def probe_texts(texts: DataFrame, facts: DataFrame, key: str, column: str = "text", threshold: float = THRESHOLD, contradiction_check: bool = True) -> DataFrame:
+def probe_texts(texts: DataFrame, facts: DataFrame, key: str, column: str = "text", threshold: float = THRESHOLD, contradiction_check: bool = True, similar: str = "hash") -> DataFrame:
     """Probe every claim of every text; a text without claims gives one UNKNOWN row."""
     claims = extract_claims(texts, key, column)
-    found = probe_claims(claims, facts, [key, "claim_idx"], threshold, contradiction_check)
+    found = probe_claims(claims, facts, [key, "claim_idx"], threshold, contradiction_check, similar)
     empty = texts.join(claims.select(key).distinct(), key, "left_anti")
     unknown = empty.select(key, F.lit(0).alias("claim_idx"), F.lit("").alias("subject"), F.lit("unknown").alias("predicate"), F.lit("").alias("object"), F.col(column).alias("raw"), F.lit(1.0).alias("confidence"), F.lit("UNKNOWN").alias("verdict"), F.lit(0.0).alias("score"), F.array().cast("array<struct<subject:string,predicate:string,object:string>>").alias("matched_facts"), F.lit(None).cast("string").alias("proof_rel"), F.lit("No claims could be extracted from text.").alias("reason"))
     return found.unionByName(unknown)

@@ -4,11 +4,15 @@ Replies of models are rows (claim key, model or sample, reply; a null reply is a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.similarity import best_columns, in_blocks, vector_matrix
 from factloom.functions.text import cache_key, strip
 from factloom.operators.extract import EXTERNAL_VERBS, parse_triple
+from factloom.operators.order import cut, openers
 
 ROUTED = ["invented", "discovered", "created"]
 DISCOUNT, CACHE_DISCOUNT = 0.8, 0.95
@@ -124,3 +128,35 @@ def semantic_cache(calls: DataFrame, key: str, seq: str, column: str = "text") -
     j = calls.withColumn("k", cache_key(F.col(column))).join(first, "k")
     hit = F.col(seq) > F.col("first.s")
     return j.select(key, F.col("first.v").alias("verdict"), hit.alias("hit"), F.when(hit, F.col("first.c") * CACHE_DISCOUNT).otherwise(F.col("first.c")).alias("confidence"), F.when(hit, 0).otherwise(1).alias("external_calls"))
+
+
+def semantic_cache_vectors(calls: DataFrame, key: str, least: float = 0.9) -> DataFrame:
+    """calls: key (their order), embedding (one length), verdict, confidence as judged. Each call takes the result of the
+    most similar of the earlier calls that were judged themselves, at a discount, if its cosine is at least `least` (the
+    first of equals); else it is judged. key, verdict, hit, of (the call that was judged), confidence, external_calls."""
+    kind = dict(calls.dtypes)[key]
+    own = cut(calls.select(F.col(key).alias("n"), F.col("embedding").cast("array<double>").alias("v")))
+    heads = own.groupBy("v").agg(F.min("n").alias("n"))  # calls of one vector are judged at their first, if at all
+
+    def cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
+        x, y = vector_matrix(left["v"]), vector_matrix(right["v"])
+        norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
+        sim = np.divide(x @ y.T, norms, out=np.zeros(norms.shape), where=norms > 0)
+        return np.where(right["n"].to_numpy() < left["n"].to_numpy()[:, None], np.round(sim, 12), -1.0)
+
+    def alike(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j = np.nonzero(cosines(left, right) >= least)
+        return pa.table({"a": right["n"].take(j), "b": left["n"].take(i)})
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("n")
+        sim = cosines(left, right)
+        i, j = best_columns(sim, 1, least)
+        return pa.table({"n": left["n"].take(i), "of": right["n"].take(j), "sim": sim[i, j]})
+
+    judged = openers(heads.select("n"), in_blocks(heads, heads, alike, f"a {kind}, b {kind}"))
+    held = own.join(judged, "n", "left_semi")
+    best = in_blocks(own, held, nearest, f"n {kind}, of {kind}, sim double").groupBy("n").agg(F.max(F.struct("sim", (-F.col("of")).alias("o"))).alias("b")).select(F.col("n").alias(key), (-F.col("b.o")).alias("of"))
+    results = calls.select(F.col(key).alias("of"), "verdict", "confidence")
+    j = calls.select(key).join(best, key, "left").withColumn("hit", F.col("of").isNotNull()).withColumn("of", F.coalesce("of", key))
+    return j.join(results, "of").select(key, "verdict", "hit", "of", F.when(F.col("hit"), F.col("confidence") * CACHE_DISCOUNT).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("hit"), 0).otherwise(1).alias("external_calls"))

@@ -187,7 +187,8 @@ def adapter(column: str, name: str) -> str:
 EVALUATED = f"""WITH {CASE_ROWS}, {values("evaluation_facts", "fact_seq, subject, predicate, object", [(k, *f) for k, f in enumerate(EVALUATION_FACTS)])}, {kb("evaluation_facts")}, {probed("case_id", "cases")},
 mocked AS (SELECT case_id, {mock("text")} AS reply FROM cases), {judgement("case_id", "mocked")}, {external("case_id", "cases")},
 predictions AS (SELECT 'kb_probe' AS algo, case_id, verdict, {adapter("verdict", "kb_probe")} AS actual, 1.0 AS latency_ms FROM probed WHERE claim_idx = 0
-UNION ALL SELECT 'judge', case_id, verdict, {adapter("verdict", "judge")}, 200.0 FROM judged UNION ALL SELECT 'external', case_id, status, {adapter("status", "external")}, 130.0 FROM ext),
+UNION ALL SELECT 'judge', case_id, verdict, {adapter("verdict", "judge")}, 200.0 FROM judged
+UNION ALL SELECT 'self_consistency', case_id, verdict, {adapter("verdict", "self_consistency")}, 500.0 FROM (SELECT case_id, CASE WHEN contains(upper(reply), 'TRUE') THEN 'PASS' WHEN contains(upper(reply), 'FALSE') THEN 'FAIL' ELSE 'UNKNOWN' END AS verdict FROM mocked) UNION ALL SELECT 'external', case_id, status, {adapter("status", "external")}, 130.0 FROM ext),
 results AS (SELECT cases.*, algo, verdict, latency_ms, coalesce(actual = is_true, false) AS passed FROM cases JOIN predictions USING (case_id)),
 metrics AS (SELECT algo, set_key, h_type, count(*) AS tested, CAST(sum(CAST(passed AS BIGINT)) AS BIGINT) AS passed, avg(CAST(latency_ms AS DOUBLE)) AS latency_ms, CASE grouping_id(set_key, h_type) WHEN 1 THEN 'set' WHEN 2 THEN 'type' ELSE 'all' END AS level_of, sum(CAST(passed AS BIGINT)) / count(*) AS rate
 FROM results GROUP BY GROUPING SETS ((algo, set_key), (algo, h_type), (algo)))"""
@@ -222,6 +223,42 @@ ho AS (SELECT {key}, claim_id, seq, count(*) / n AS score FROM qe JOIN mk USING
 hits AS (SELECT {key}, claim_id, score, CAST(row_number() OVER (PARTITION BY {key} ORDER BY score DESC, seq) AS INTEGER) AS rank FROM ho QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY score DESC, seq) <= {top_k})"""
 
 
+CONFIDENCE_OF_SEQ = "(seq % 10 + 1) / CAST(10.0 AS DOUBLE)"
+CONCEPTS = f"""{ROWS}, {PROPS}, cc AS (SELECT *, CAST({CONFIDENCE_OF_SEQ} AS VARCHAR) AS c FROM props),
+concepts AS (SELECT seq, 'claim_' || seq AS uuid, 'Claim' AS prototype, subject || ' ' || predicate || ' ' || object AS text, c AS confidence, subject, predicate, object FROM cc
+UNION ALL SELECT seq, 'verification_' || seq, 'Verification_result', 'verified ' || c || ' kb 0.0', c, NULL, NULL, NULL FROM cc
+UNION ALL SELECT seq, 'source_' || seq, 'Source', 'kb src' || (seq % 7) || ' ' || c, NULL, NULL, NULL, NULL FROM cc),
+asked AS (SELECT n_nationkey, n_name || ' is part of somewhere' AS text FROM nation)"""
+
+
+def searched(least: float) -> str:
+    """CTEs ending in found(n_nationkey, uuid, similarity, rank, subject, predicate, object)."""
+    return f"""qe AS (SELECT n_nationkey, {SHA.format(c="text")} AS q FROM asked), ce AS (SELECT *, {SHA.format(c="text")} AS e FROM concepts),
+found AS (SELECT n_nationkey, uuid, similarity, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY round(similarity, 12) DESC, uuid) AS INTEGER) AS rank, subject, predicate, object
+FROM (SELECT n_nationkey, uuid, {cosine("q", "e")} AS similarity, subject, predicate, object FROM qe, ce) WHERE similarity >= {least} QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY round(similarity, 12) DESC, uuid) <= 5)"""
+
+
+def made_in_order(pairs: str, nodes: str) -> str:
+    """CTEs ending in made(n): of nodes(n), in order, those without an earlier made partner in pairs(a, b)."""
+    return f"""adj AS (SELECT b, list(a) AS earlier FROM {pairs} GROUP BY b), ord AS (SELECT n, row_number() OVER (ORDER BY n) AS pos, coalesce(earlier, []) AS earlier FROM {nodes} LEFT JOIN adj ON b = n),
+step(pos, done) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT ord.pos, CASE WHEN len(list_intersect(done, earlier)) = 0 THEN list_append(done, n) ELSE done END FROM step JOIN ord ON ord.pos = step.pos + 1),
+made AS (SELECT unnest(done) AS n FROM step WHERE pos = (SELECT max(pos) FROM step))"""
+
+
+def texted(reports: str) -> str:
+    rule = lambda c: f"repeat('{c}', 80)"
+    return f"""rc AS (SELECT p.text_id, p.claim_idx, '[Claim ' || (p.claim_idx + 1) || ']' || chr(10) || '  Raw: ' || coalesce(c.raw, t.text) || chr(10) || '  Triple: (' || p.subject || ', ' || p.predicate || ', ' || p.object || ')' || chr(10)
+|| '  Verdict: ' || verdict || ' (score=' || format('{{:.3f}}', CAST(score AS DOUBLE)) || ')' || CASE WHEN matched <> '' THEN chr(10) || '  Matched: (' || replace(string_split(matched, ';')[1], '|', ', ') || ')' ELSE '' END || chr(10) || '  Reason: ' || reason AS t
+FROM probed p LEFT JOIN claims c ON c.text_id = p.text_id AND c.claim_idx = p.claim_idx JOIN texts t ON t.text_id = p.text_id),
+rl AS (SELECT text_id, string_agg(t, chr(10) || chr(10) ORDER BY claim_idx) AS claims FROM rc GROUP BY text_id), rr AS ({reports})
+SELECT rr.text_id, concat_ws(chr(10), {rule("=")}, 'CONSISTENCY REPORT', {rule("=")}, 'Text: ' || CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END, 'Claims extracted: ' || claims_extracted, 'Overall score: ' || format('{{:.3f}}', overall_score),
+'Pass rate: ' || format('{{:.1f}}', pass_rate * 100) || '%', {rule("-")}, rl.claims, {rule("=")}) AS report FROM rr JOIN rl USING (text_id) JOIN texts USING (text_id)"""
+
+
+REPORTS = "SELECT text_id, CAST(sum(CAST(verdict <> 'UNKNOWN' AS BIGINT)) AS BIGINT) AS claims_extracted, round(avg(score), 4) AS overall_score, round(avg(CAST(verdict IN ('PASS', 'SOFT_PASS') AS DOUBLE)), 4) AS pass_rate FROM probed GROUP BY text_id"
+GEXF = '<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="directed" mode="static"><attributes class="node" mode="static"><attribute id="0" title="kind" type="string"/></attributes><attributes class="edge" mode="static"><attribute id="1" title="role" type="string"/></attributes>'
+BY_SAMPLE = "rk AS (SELECT text_id || ':' || sample AS key, reply FROM replies)"
+
 ORACLE = {
     "sentence_split": f"WITH s AS (SELECT doc_id, {sentence_list('text')} AS x FROM documents) SELECT doc_id, CAST(unnest(range(len(x))) AS INTEGER) AS idx, unnest(x) AS sentence FROM s",
     "norm_text": f"SELECT conv_id, turn, {norm('text')} AS norm FROM conversations",
@@ -253,7 +290,7 @@ UNION ALL SELECT rn.event_id, CAST(row_number() OVER (PARTITION BY rn.event_id O
     "soft_match_topk": f"{PROBED} SELECT subject, predicate, object, CAST(rank AS INTEGER) AS rank, fact_seq, round(score, 6) AS score FROM ranked WHERE rank <= 3 AND score >= CAST(0.7 AS DOUBLE)",
     "closest_fact": f"{PROBED} SELECT subject, predicate, object, rel_id, round(score, 6) AS score FROM ranked WHERE rank = 1",
     "probe_verdicts": f"{PROBED} SELECT text_id, claim_idx, subject, predicate, object, verdict, round(score, 6) AS score, matched, reason FROM probed",
-    "probe_report": f"{PROBED} SELECT text_id, CAST(sum(CAST(verdict <> 'UNKNOWN' AS BIGINT)) AS BIGINT) AS claims_extracted, round(avg(score), 4) AS overall_score, round(avg(CAST(verdict IN ('PASS', 'SOFT_PASS') AS DOUBLE)), 4) AS pass_rate FROM probed GROUP BY text_id",
+    "probe_report": f"{PROBED} {REPORTS}",
     "proof_subgraph": f"{PROBED}, rel AS (SELECT DISTINCT proof_rel FROM probed WHERE proof_rel IS NOT NULL) SELECT 'ent:' || s_norm AS src, rel_id AS dst, 'subj' AS role FROM facts JOIN rel ON rel_id = proof_rel UNION ALL SELECT rel_id, 'ent:' || o_norm, 'obj' FROM facts JOIN rel ON rel_id = proof_rel",
     "proof_json": f"""{PROBED}, rel AS (SELECT DISTINCT proof_rel FROM probed WHERE proof_rel IS NOT NULL) SELECT rel_id,
 '{{"nodes":[{{"id":"ent:' || s_norm || '","kind":"entity","label":"' || s_label || '"}},{{"id":"' || rel_id || '","kind":"relation","label":"' || p_canon || '"}},{{"id":"ent:' || o_norm || '","kind":"entity","label":"' || o_label || '"}}],"edges":[{{"source":"ent:' || s_norm || '","target":"' || rel_id || '","role":"subj"}},{{"source":"' || rel_id || '","target":"ent:' || o_norm || '","role":"obj"}}]}}' AS json FROM facts JOIN rel ON rel_id = proof_rel""",
@@ -264,7 +301,7 @@ UNION ALL SELECT rn.event_id, CAST(row_number() OVER (PARTITION BY rn.event_id O
     "memory_retrieve_keyword": f"WITH {MEMORY}, {hits('documents', 'doc_id')} SELECT doc_id, claim_id, round(score, 6) AS score, rank FROM hits",
     "memory_retrieve_vector": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS claim_id, {cosine('q.v', 'e.v')} AS score FROM e q, e WHERE q.vec_id % 20 = 0)
 SELECT query_id, claim_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) <= 5""",
-    "rag_context": f"WITH {MEMORY}, firsts AS (SELECT conv_id, text FROM conversations WHERE turn = 0), {hits('firsts', 'conv_id')} SELECT conv_id, 'Verified facts:' || chr(10) || string_agg('- ' || subject || ' ' || predicate || ' ' || object || ' (confidence: ' || CAST(round(confidence * 100) AS INTEGER) || '%)', chr(10) ORDER BY rank) AS context FROM hits JOIN memory USING (claim_id) GROUP BY conv_id",
+    "rag_context": f"WITH {MEMORY}, turns AS (SELECT conv_id || ':' || turn AS key, text FROM conversations), {hits('turns', 'key')} SELECT key, 'Verified facts:' || chr(10) || string_agg('- ' || subject || ' ' || predicate || ' ' || object || ' (confidence: ' || CAST(round(confidence * 100) AS INTEGER) || '%)', chr(10) ORDER BY rank) AS context FROM hits JOIN memory USING (claim_id) GROUP BY key",
     "agent_verify": f"""{PROBED}, {MEMORY}, {hits('texts', 'text_id', 3, 0.8)}, ca AS (SELECT DISTINCT text_id AS cached_id FROM hits),
 pr AS (SELECT text_id, {STATUS} AS st, {CONFIDENCE} AS cf, {cid('subject', 'predicate', 'object')} AS claim_id, cached_id IS NOT NULL AS cached FROM probed LEFT JOIN ca ON cached_id = text_id WHERE claim_idx = 0)
 SELECT text_id, CASE WHEN st = 'unverifiable' AND text_id % 2 = 0 THEN 'verified' ELSE st END AS status, round(CASE WHEN st = 'unverifiable' AND text_id % 2 = 0 THEN 0.8 ELSE cf END, 6) AS confidence, CASE WHEN st = 'verified' THEN claim_id END AS stored,
@@ -294,14 +331,14 @@ SELECT a.name, 'entity_' || min(n_nationkey) AS uuid FROM a LEFT JOIN m USING (n
 SELECT text_id, CASE WHEN t = samples THEN 'PASS' WHEN f = samples THEN 'FAIL' WHEN t > f THEN 'SOFT_PASS' WHEN f > t THEN 'FAIL' ELSE 'UNKNOWN' END AS verdict, round(CASE WHEN t = samples OR f = samples THEN 1.0 WHEN t > f THEN t / samples WHEN f > t THEN f / samples ELSE 0.5 END, 6) AS confidence, samples FROM n""",
     "cross_model": f"WITH {TEXTS}, {REPLIES}, n AS (SELECT text_id, avg(CAST(contains(upper(reply), 'TRUE') AS INTEGER)) AS a, count(reply) AS valid FROM replies GROUP BY text_id) SELECT text_id, CASE WHEN a >= 0.8 THEN 'PASS' WHEN a <= 0.2 THEN 'FAIL' ELSE 'UNKNOWN' END AS verdict, round(CASE WHEN a IS NULL THEN 0.0 ELSE abs(a - 0.5) * 2 END, 6) AS confidence, valid FROM n",
     "mock_judge": f"WITH {CASE_ROWS} SELECT case_id, {mock('text')} AS reply FROM cases",
-    "hybrid_strategy": f"""{PROBED}, {REPLIES}, r0 AS (SELECT text_id, reply FROM replies WHERE sample = 0), {judgement('text_id', 'r0')}
-SELECT p.text_id, CASE WHEN p.verdict IN ('PASS', 'SOFT_PASS', 'CONTRADICT') THEN p.verdict ELSE j.verdict END AS verdict, round(CASE WHEN p.verdict IN ('PASS', 'SOFT_PASS', 'CONTRADICT') THEN p.c ELSE j.confidence * 0.8 END, 6) AS confidence, CASE WHEN p.verdict IN ('PASS', 'SOFT_PASS', 'CONTRADICT') THEN 'kb' ELSE 'judge' END AS decided_by
-FROM (SELECT text_id, verdict, {CONFIDENCE} AS c FROM probed WHERE claim_idx = 0) p JOIN judged j ON j.text_id = p.text_id""",
+    "hybrid_strategy": f"""{PROBED}, {REPLIES}, {BY_SAMPLE}, {judgement('key', 'rk')}, p AS (SELECT text_id || ':' || sample AS key, verdict, {CONFIDENCE} AS c FROM probed, (VALUES (0), (1), (2)) AS s(sample) WHERE claim_idx = 0)
+SELECT p.key, CASE WHEN p.verdict IN ('PASS', 'SOFT_PASS', 'CONTRADICT') THEN p.verdict ELSE j.verdict END AS verdict, round(CASE WHEN p.verdict IN ('PASS', 'SOFT_PASS', 'CONTRADICT') THEN p.c ELSE j.confidence * 0.8 END, 6) AS confidence, CASE WHEN p.verdict IN ('PASS', 'SOFT_PASS', 'CONTRADICT') THEN 'kb' ELSE 'judge' END AS decided_by
+FROM p JOIN judged j ON j.key = p.key""",
     "external_verify": f"WITH {CASE_ROWS}, {external('case_id', 'cases')} SELECT case_id, status, confidence, reason FROM ext",
-    "cascade": f"""{PROBED}, {REPLIES}, r0 AS (SELECT text_id, reply FROM replies WHERE sample = 0), {judgement('text_id', 'r0')}, {external('text_id', 'texts')}, l AS (SELECT text_id, {STATUS} AS status, {CONFIDENCE} AS confidence FROM probed WHERE claim_idx = 0)
-SELECT l.text_id, CASE WHEN l.status <> 'unverifiable' THEN l.status WHEN e.status <> 'unverifiable' THEN e.status WHEN j.verdict = 'PASS' THEN 'verified' WHEN j.verdict = 'FAIL' THEN 'refuted' ELSE 'unverifiable' END AS status,
+    "cascade": f"""{PROBED}, {REPLIES}, {BY_SAMPLE}, {judgement('key', 'rk')}, {external('text_id', 'texts')}, l AS (SELECT text_id, text_id || ':' || sample AS key, {STATUS} AS status, {CONFIDENCE} AS confidence FROM probed, (VALUES (0), (1), (2)) AS s(sample) WHERE claim_idx = 0)
+SELECT l.key, CASE WHEN l.status <> 'unverifiable' THEN l.status WHEN e.status <> 'unverifiable' THEN e.status WHEN j.verdict = 'PASS' THEN 'verified' WHEN j.verdict = 'FAIL' THEN 'refuted' ELSE 'unverifiable' END AS status,
 round(CASE WHEN l.status <> 'unverifiable' THEN l.confidence WHEN e.status <> 'unverifiable' THEN e.confidence ELSE j.confidence END, 6) AS confidence, CASE WHEN l.status <> 'unverifiable' THEN 'local_kb' WHEN e.status <> 'unverifiable' THEN 'external' ELSE 'llm_judge' END AS source
-FROM l JOIN ext e ON e.text_id = l.text_id JOIN judged j ON j.text_id = l.text_id""",
+FROM l JOIN ext e ON e.text_id = l.text_id JOIN judged j ON j.key = l.key""",
     "semantic_cache": f"""WITH c AS (SELECT event_id, {strip("lower(' User ' || user_id || ' ' || upper(event_type))")} AS k, CASE WHEN value > 50 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM events), f AS (SELECT k, min(event_id) AS s, min_by(verdict, event_id) AS v FROM c GROUP BY k)
 SELECT event_id, v AS verdict, event_id > s AS hit, round(CASE WHEN event_id > s THEN CAST(0.8 AS DOUBLE) * 0.95 ELSE 0.8 END, 6) AS confidence, CASE WHEN event_id > s THEN 0 ELSE 1 END AS external_calls FROM c JOIN f USING (k)""",
     "eval_verdicts": f"{EVALUATED} SELECT algo, case_id, verdict, passed FROM results",
@@ -311,7 +348,43 @@ SELECT event_id, v AS verdict, event_id > s AS hit, round(CASE WHEN event_id > s
 SELECT algo, round(a, 6) AS accuracy, round(a * 40 + cap * 40 + dom * 20, 4) AS score, CASE WHEN a >= 0.9 THEN 'EXCELLENT' WHEN a >= 0.7 THEN 'GOOD' WHEN a >= 0.5 THEN 'MODERATE' WHEN a >= 0.3 THEN 'WEAK' ELSE 'MINIMAL' END AS level, {', '.join(f'detects_{t}' for t in TYPE_WEIGHTS)} FROM g""",
     "eval_failures": f"""{EVALUATED}, f AS (SELECT *, row_number() OVER (PARTITION BY algo, h_type ORDER BY case_id) AS k FROM results WHERE NOT passed)
 SELECT f.algo, f.h_type, count(*) AS failed, string_agg(text, ' | ' ORDER BY case_id) FILTER (k <= 3) AS examples, any_value(t.types) AS types FROM f JOIN (SELECT algo, string_agg(h_type, ',' ORDER BY h_type) AS types FROM (SELECT DISTINCT algo, h_type FROM f) GROUP BY algo) t ON t.algo = f.algo GROUP BY f.algo, f.h_type""",
-    "eval_priorities": f"{EVALUATED} SELECT 'HIGH' AS priority, CASE h_type WHEN 'false_attr' THEN 'Fix false attribution' ELSE 'Fix contradiction detection' END AS task, count(*) AS failures FROM results WHERE algo = 'kb_probe' AND NOT passed AND h_type IN ('false_attr', 'contradiction') GROUP BY h_type",
+    "eval_priorities": f"""{EVALUATED} SELECT 'HIGH' AS priority, CASE h_type WHEN 'false_attr' THEN 'Fix false attribution' ELSE 'Fix contradiction detection' END AS task, count(*) AS failures, '1-2 hours' AS time, CASE h_type WHEN 'false_attr' THEN 'Match with regard to the subject' ELSE 'Add facts: birth places, locations, capitals' END AS action FROM results WHERE NOT passed AND h_type IN ('false_attr', 'contradiction') GROUP BY h_type
+UNION ALL SELECT 'MEDIUM', 'Deploy the ground-truth store', 0, '4-8 hours', 'Set up its server'""",
     "label_metrics": f"""WITH r AS (SELECT lang AS set_key, CASE WHEN quality = 1 THEN 'true_fact' ELSE 'fabrication' END AS h_type, coalesce(len(list_filter({sentence_list('text')}, lambda s: regexp_matches(s, '(?i)\\s(is|was|are|were)\\s'))) > 0, false) = (quality = 1) AS passed FROM labels JOIN documents USING (doc_id))
 SELECT CASE grouping_id(set_key, h_type) WHEN 1 THEN 'set' WHEN 2 THEN 'type' ELSE 'all' END AS level_of, set_key, h_type, count(*) AS tested, CAST(sum(CAST(passed AS BIGINT)) AS BIGINT) AS passed, round(sum(CAST(passed AS BIGINT)) / count(*), 6) AS rate FROM r GROUP BY GROUPING SETS ((set_key), (h_type), ())""",
+    "no_encoding": f"SELECT p_partkey, CAST(0.0 AS DOUBLE) AS encoded, {norm('p_name')} AS compared FROM part",
+    "report_text": f"{PROBED}, {texted(REPORTS)}",
+    "proof_gexf": f"""{PROBED}, rel AS (SELECT DISTINCT proof_rel FROM probed WHERE proof_rel IS NOT NULL) SELECT rel_id, '{GEXF}<nodes><node id="ent:' || s_norm || '" label="' || s_label || '"><attvalues><attvalue for="0" value="entity"/></attvalues></node><node id="' || rel_id || '" label="' || p_canon || '"><attvalues><attvalue for="0" value="relation"/></attvalues></node>'
+|| '<node id="ent:' || o_norm || '" label="' || o_label || '"><attvalues><attvalue for="0" value="entity"/></attvalues></node></nodes><edges><edge id="0" source="ent:' || s_norm || '" target="' || rel_id || '"><attvalues><attvalue for="1" value="subj"/></attvalues></edge><edge id="1" source="' || rel_id || '" target="ent:' || o_norm || '"><attvalues><attvalue for="1" value="obj"/></attvalues></edge></edges></graph></gexf>' AS xml FROM facts JOIN rel ON rel_id = proof_rel""",
+    "consensus_vote": f"""WITH {ROWS}, said AS (SELECT model, subject, predicate, CASE WHEN (fact_seq * 5 + model * 2) % 7 = 0 THEN 'nowhere' ELSE object END AS object FROM fact_rows, (VALUES (0), (1), (2)) AS m(model) WHERE (fact_seq + model) % 4 <> 0),
+ag AS (SELECT subject, predicate, object FROM said GROUP BY ALL HAVING count(DISTINCT model) * 2 > 3), g AS (SELECT subject, predicate, CASE WHEN fact_seq % 3 = 1 THEN object ELSE 'elsewhere' END AS go FROM fact_rows WHERE fact_seq % 3 <> 0)
+SELECT ag.subject, ag.predicate, ag.object, CASE WHEN go IS NULL THEN 'llm_generated' WHEN go = ag.object THEN 'verified' ELSE 'contested' END AS status, CAST(CASE WHEN go IS NULL THEN 0.5 WHEN go = ag.object THEN 0.7 ELSE 0.6 END AS DOUBLE) AS confidence, CASE WHEN go <> ag.object THEN ag.object END AS alternative,
+CASE WHEN go IS NULL THEN '[llm_consensus] 3 LLMs agreed (conf=0.50)' WHEN go = ag.object THEN '[confirmation] vote (conf=0.90)' ELSE '[llm_consensus] vote (conf=0.50)' END AS provenance FROM ag LEFT JOIN g ON g.subject = ag.subject AND g.predicate = ag.predicate""",
+    "entity_resolve_in_order": f"""WITH RECURSIVE nm AS (SELECT s_suppkey * 2 AS seq, s_name AS name FROM supplier UNION ALL SELECT s_suppkey * 2 + 1, upper(s_name) FROM supplier WHERE s_suppkey % 2 = 0),
+ne AS (SELECT name, {SHA.format(c="name")} AS e FROM (SELECT DISTINCT name FROM nm)), te AS (SELECT *, {SHA.format(c="n_name")} AS f, 'supplier#' || lpad(CAST(n_nationkey * 3 AS VARCHAR), 9, '0') AS alias FROM nation),
+giv AS (SELECT name, min(n_nationkey) AS k FROM ne, te WHERE lower(name) IN (lower(n_name), alias) OR {cosine("e", "f")} > 0.9 GROUP BY name),
+hd AS (SELECT lower(name) AS k, min(seq) AS n FROM nm WHERE name NOT IN (SELECT name FROM giv) GROUP BY lower(name)), he AS (SELECT n, {SHA.format(c="k")} AS e FROM hd),
+pr AS (SELECT x.n AS a, y.n AS b FROM he x, he y WHERE x.n < y.n AND {cosine("x.e", "y.e")} > 0.9), {made_in_order("pr", "hd")},
+mk AS (SELECT hd.k, coalesce(min(a) FILTER (a IN (SELECT n FROM made)), hd.n) AS maker FROM hd LEFT JOIN pr ON b = hd.n GROUP BY hd.k, hd.n)
+SELECT nm.seq, nm.name, CASE WHEN giv.k IS NOT NULL THEN 'entity_' || giv.k ELSE 'entity_new_' || maker END AS uuid, giv.k IS NULL AND nm.seq = maker AS created FROM nm LEFT JOIN giv ON giv.name = nm.name LEFT JOIN mk ON mk.k = lower(nm.name)""",
+    "concept_store": f"WITH {CONCEPTS} SELECT uuid, CAST(1 AS INTEGER) AS version, prototype, text, confidence FROM concepts",
+    "concept_links": f"WITH {ROWS}, {PROPS} SELECT 'claim_' || seq AS uuid, t.type AS type, t.kind || '_' || seq AS to, round({CONFIDENCE_OF_SEQ}, 6) AS weight FROM props, (VALUES ('verified_by', 'verification'), ('derived_from', 'source')) AS t(type, kind)",
+    "concept_history": f"""WITH {CONCEPTS} SELECT uuid, CAST(v AS INTEGER) AS version, prototype, CASE WHEN v = 2 THEN replace(text, 'verified', 'refuted') ELSE text END AS text, CASE WHEN v = 2 THEN text END AS replaced FROM concepts, (VALUES (1), (2)) AS t(v) WHERE prototype = 'Verification_result' AND seq % 3 = 0""",
+    "concept_search": f"WITH {CONCEPTS}, {searched(0.7)} SELECT n_nationkey, uuid, round(similarity, 6) AS similarity, rank FROM found",
+    "concept_context": f"WITH {CONCEPTS}, {searched(0.5)} SELECT n_nationkey, 'Verified facts from knowledge graph:' || chr(10) || string_agg('- ' || coalesce(subject, '?') || ' ' || coalesce(predicate, '?') || ' ' || coalesce(object, '?') || ' (similarity: ' || CAST(round_even(similarity * 100, 0) AS INTEGER) || '%)', chr(10) ORDER BY rank) AS context FROM found GROUP BY n_nationkey",
+    "kb_strategy": f"{PROBED} SELECT text_id, verdict, round({CONFIDENCE}, 6) AS confidence FROM probed WHERE claim_idx = 0",
+    "external_cached": f"""WITH {CASE_ROWS}, {external('case_id', 'cases')}, calls AS (SELECT case_id AS call_id, lower(text) AS k FROM cases UNION ALL SELECT case_id + 100, lower(text) FROM cases),
+er AS (SELECT lower(text) AS k, case_id, status, confidence FROM ext JOIN cases USING (case_id)), pinned AS (SELECT k, min_by(status, case_id) AS status, min_by(confidence, case_id) AS confidence FROM er GROUP BY k), fk AS (SELECT k, min(call_id) AS first FROM calls GROUP BY k)
+SELECT call_id, status, confidence, confidence > 0 AND (k IN (SELECT k FROM er WHERE case_id % 3 = 0 AND confidence > 0) OR call_id > first) AS hit FROM calls JOIN pinned USING (k) JOIN fk USING (k)""",
+    "external_cache_after": f"WITH {CASE_ROWS}, {external('case_id', 'cases')} SELECT lower(text) AS cache_key, text AS claim, status, confidence FROM ext JOIN cases USING (case_id) WHERE confidence > 0 QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY case_id) = 1",
+    "item_search": """WITH items AS (SELECT 'N' || n_nationkey AS item_id, n_name AS label, n_nationkey AS row_seq FROM nation UNION ALL SELECT 'C' || c_custkey, c_name, c_custkey + 1000 FROM customer),
+f AS (SELECT lower(label) AS k, min_by(item_id, row_seq) AS item_id FROM items GROUP BY lower(label)), n AS (SELECT upper(c_name) AS name FROM customer UNION SELECT n_name || 'x' FROM nation UNION SELECT label FROM items)
+SELECT name, item_id FROM n LEFT JOIN f ON k = lower(name)""",
+    "item_values": """SELECT 'N' || c_nationkey AS item_id, 'inhabitant' AS property, CAST(row_number() OVER w AS INTEGER) AS rank, c_name AS value_label FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation) WINDOW w AS (PARTITION BY c_nationkey ORDER BY -c_acctbal, c_custkey) QUALIFY row_number() OVER w <= 10""",
+    "semantic_cache_vectors": f"""WITH RECURSIVE e AS (SELECT vec_id AS n, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT n, v, sqrt(list_dot_product(v, v)) AS m FROM e),
+pr AS (SELECT x.n AS a, y.n AS b, round(list_dot_product(x.v, y.v) / (x.m * y.m), 12) AS sim FROM l x, l y WHERE x.n < y.n AND x.m * y.m > 0 AND round(list_dot_product(x.v, y.v) / (x.m * y.m), 12) >= 0.9), {made_in_order("pr", "e")},
+best AS (SELECT b, a FROM pr WHERE a IN (SELECT n FROM made) QUALIFY row_number() OVER (PARTITION BY b ORDER BY sim DESC, a) = 1)
+SELECT e.n AS vec_id, CASE WHEN o.label % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, best.a IS NOT NULL AS hit, o.n AS of, round(CASE WHEN best.a IS NOT NULL THEN CAST(0.8 AS DOUBLE) * 0.95 ELSE 0.8 END, 6) AS confidence, CASE WHEN best.a IS NOT NULL THEN 0 ELSE 1 END AS external_calls
+FROM e LEFT JOIN best ON b = e.n JOIN e o ON o.n = coalesce(best.a, e.n)""",
+    "eval_statuses": "SELECT * FROM (VALUES ('external', 'available'), ('ground_store', 'unavailable'), ('judge', 'mock_only'), ('kb_probe', 'available'), ('memory', 'available'), ('self_consistency', 'mock_only')) AS t(algo, availability)",
 }

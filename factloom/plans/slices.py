@@ -24,7 +24,7 @@ def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_facts(fact_rows(spark, sf_dir)).persist()
+    return build_facts(fact_rows(spark, sf_dir))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,21 @@ def inventors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "item_label string, value_label string, row_seq long")
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, label, row_seq: nations and customers as items of an external knowledge base."""
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("item_id"), F.col("n_name").alias("label"), F.col("n_nationkey").cast("long").alias("row_seq"))
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("item_id"), F.col("c_name").alias("label"), (F.col("c_custkey") + 1000).alias("row_seq"))
+    return n.unionByName(c)
+
+
+def item_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, property, value_label, row_seq: the customers of each nation, richest first, and each one's segment."""
+    c = read(spark, sf_dir, "customer")
+    lives = c.select(F.concat(F.lit("N"), "c_nationkey").alias("item_id"), F.lit("inhabitant").alias("property"), F.col("c_name").alias("value_label"), F.struct((-F.col("c_acctbal")).alias("b"), "c_custkey").alias("row_seq"))
+    works = c.select(F.concat(F.lit("C"), "c_custkey").alias("item_id"), F.lit("segment").alias("property"), F.col("c_mktsegment").alias("value_label"), F.struct(F.lit(0.0).alias("b"), "c_custkey").alias("row_seq"))
+    return lives.unionByName(works)
+
+
 def json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, text, reply: JSON lists of claims, empty lists, malformed ones and plain words."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import similarity as sim
 from factloom.functions import text as tx
-from factloom.operators import evaluate, extract, ground, kb, memory, probe, strategies
+from factloom.operators import evaluate, extract, ground, kb, memory, mirror, probe, store, strategies
 from factloom.plans import slices
 from factloom.plans.oracles import ORACLE
 from factloom.plans.slices import THRESHOLD, read
-from factloom.sources import fixtures
+from factloom.sources import fixtures, io
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -74,9 +74,14 @@ def sha_embed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def string_similarity(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").select("p_name").distinct()
-    pairs = p.join(p.withColumnRenamed("p_name", "other"), F.substring_index("p_name", " ", 1) == F.substring_index("other", " ", 1))
-    return pairs.select("p_name", "other", F.round(sim.text_ratio(F.col("p_name"), F.col("other")), 6).alias("ratio"))
+    p = read(spark, d, "part")
+    return p.select("p_partkey", F.round(sim.text_ratio(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 6).alias("ratio"))
+
+
+@query
+def no_encoding(spark: SparkSession, d: str) -> DataFrame:
+    """What stands for embeddings where there is no encoder, and what is compared instead."""
+    return read(spark, d, "part").select("p_partkey", F.element_at(sim.no_encoding(), 1).alias("encoded"), tx.norm_text(F.col("p_name")).alias("compared"))
 
 
 @query
@@ -197,6 +202,18 @@ def proof_json(spark: SparkSession, d: str) -> DataFrame:
     return kb.proof_json(slices.facts(spark, d), found)
 
 
+@query
+def proof_gexf(spark: SparkSession, d: str) -> DataFrame:
+    found = _probed(spark, d).filter("proof_rel IS NOT NULL").select(F.col("proof_rel").alias("rel_id"))
+    return io.proof_gexf(slices.facts(spark, d), found)
+
+
+@query
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    found = _probed(spark, d)
+    return io.report_text(found, probe.report(found, "text_id"), slices.texts(spark, d), "text_id")
+
+
 # ---- memory --------------------------------------------------------------------------------------------------------
 
 
@@ -239,8 +256,8 @@ def memory_retrieve_vector(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rag_context(spark: SparkSession, d: str) -> DataFrame:
     m = slices.memory(spark, d)
-    asked = read(spark, d, "conversations").filter("turn = 0").select("conv_id", "text")
-    return memory.rag_context(memory.retrieve_keyword(asked, "conv_id", m), "conv_id", m)
+    asked = read(spark, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text")
+    return memory.rag_context(memory.retrieve_keyword(asked, "key", m), "key", m)
 
 
 @query
@@ -258,6 +275,17 @@ def consensus_ingest(spark: SparkSession, d: str) -> DataFrame:
     return memory.consensus(r.select("subject", "predicate", "object"), known).select("subject", "predicate", "object", "status", F.round("confidence", 6).alias("confidence"), "alternative")
 
 
+@query
+def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
+    """Three models state the facts, each with its own gaps and errors; what most of them state meets a graph."""
+    r, seq = slices.fact_rows(spark, d), F.col("fact_seq")
+    said = r.select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("model"), "subject", "predicate", "object", "fact_seq")
+    said = said.filter((seq + F.col("model")) % 4 != 0).select("model", "subject", "predicate", F.when((seq * 5 + F.col("model") * 2) % 7 == 0, "nowhere").otherwise(F.col("object")).alias("object"))
+    known = r.filter("fact_seq % 3 <> 0").select("subject", "predicate", F.when(seq % 3 == 1, F.col("object")).otherwise("elsewhere").alias("object"), F.lit(0.6).alias("confidence"), F.lit("verified").alias("status"))
+    out = memory.consensus(memory.agreed(said, 3), known, source="vote", models=3)
+    return out.select("subject", "predicate", "object", "status", F.round("confidence", 6).alias("confidence"), "alternative", memory.provenance_chain(F.array("provenance")).alias("provenance"))
+
+
 @query
 def trust_report(spark: SparkSession, d: str) -> DataFrame:
     return memory.trust_report(consensus_ingest(spark, d)).withColumn("trust_ratio", F.round("trust_ratio", 6))
@@ -312,6 +340,55 @@ def entity_resolve(spark: SparkSession, d: str) -> DataFrame:
     return ground.resolve_entities(asked, entities)
 
 
+@query
+def entity_resolve_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' names meet the nations as entities; every second one comes again in another spelling."""
+    c, k = read(spark, d, "supplier"), F.col("s_suppkey")
+    seen = c.select((k * 2).alias("seq"), F.col("s_name").alias("name")).unionByName(c.filter("s_suppkey % 2 = 0").select((k * 2 + 1).alias("seq"), F.upper("s_name").alias("name")))
+    s = read(spark, d, "nation").select(F.concat(F.lit("entity_"), "n_nationkey").alias("uuid"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("at"), F.array(F.concat(F.lit("Supplier#"), F.lpad((F.col("n_nationkey") * 3).cast("string"), 9, "0"))).alias("aliases"))
+    return ground.resolve_in_order(seen, s)
+
+
+def _stored(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    r = _propositions(spark, d)
+    return store.store_verified(r.select("seq", "subject", "predicate", "object", "raw_text", F.lit("verified").alias("status"), ((F.col("seq") % 10 + 1) / 10.0).alias("confidence"), F.lit("kb").alias("source_type"), F.concat(F.lit("src"), (F.col("seq") % 7).cast("string")).alias("source_id")))
+
+
+def _asked_nations(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "nation").select("n_nationkey", F.concat(F.col("n_name"), F.lit(" is part of somewhere")).alias("text"))
+
+
+@query
+def concept_store(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d)["concepts"].select("uuid", "version", "prototype", "text", F.try_element_at("props", F.lit("confidence")).alias("confidence"))
+
+
+@query
+def concept_links(spark: SparkSession, d: str) -> DataFrame:
+    t = _stored(spark, d)
+    asked = t["concepts"].filter("prototype = 'Claim'")
+    return store.associations_of(asked, t["associations"]).select("uuid", "type", "to", F.round("weight", 6).alias("weight"))
+
+
+@query
+def concept_history(spark: SparkSession, d: str) -> DataFrame:
+    """Every third claim is stored again, as refuted, and all versions are read."""
+    t = _stored(spark, d)
+    again = t["concepts"].filter("prototype = 'Verification_result'").withColumn("seq", F.regexp_extract("uuid", r"(\d+)$", 1).cast("long")).filter("seq % 3 = 0")
+    grown = store.add_concepts(t["concepts"], again.select("seq", "uuid", "prototype", F.replace("text", F.lit("verified"), F.lit("refuted")).alias("text"), "props"))
+    return store.history(grown, again)
+
+
+@query
+def concept_search(spark: SparkSession, d: str) -> DataFrame:
+    return store.search(_asked_nations(spark, d), "n_nationkey", store.latest(_stored(spark, d)["concepts"])).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def concept_context(spark: SparkSession, d: str) -> DataFrame:
+    return store.context(store.retrieve(_asked_nations(spark, d), "n_nationkey", _stored(spark, d)), "n_nationkey")
+
+
 # ---- strategies ----------------------------------------------------------------------------------------------------
 
 
@@ -336,18 +413,25 @@ def mock_judge(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.cases(spark).select("case_id", strategies.mock_judge(F.col("text")).alias("reply"))
 
 
+def _by_sample(df: DataFrame) -> DataFrame:
+    """A row per text and sample of the judge's replies, keyed text_id:sample."""
+    each = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return each.withColumn("key", F.concat_ws(":", F.col("text_id").cast("string"), F.col("sample").cast("string"))).drop("text_id", "sample")
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return strategies.judge(slices.judged_texts(spark, d).filter("sample = 0"), "text_id")
+    return strategies.judge(slices.judged_texts(spark, d).withColumn("key", F.concat_ws(":", F.col("text_id").cast("string"), F.col("sample").cast("string"))), "key")
 
 
-def _kb_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    p = _probed(spark, d).filter("claim_idx = 0")
-    return p.select("text_id", "verdict", memory.confidence_of(F.col("verdict"), F.col("score")).alias("confidence"))
+@query
+def kb_strategy(spark: SparkSession, d: str) -> DataFrame:
+    return memory.kb_strategy(_probed(spark, d), "text_id").withColumn("confidence", F.round("confidence", 6))
 
 
 @query
 def hybrid_strategy(spark: SparkSession, d: str) -> DataFrame:
-    return strategies.hybrid(_kb_verdicts(spark, d), _judged(spark, d), "text_id").withColumn("confidence", F.round("confidence", 6))
+    own = _by_sample(memory.kb_strategy(_probed(spark, d), "text_id"))
+    return strategies.hybrid(own, _judged(spark, d), "key").withColumn("confidence", F.round("confidence", 6))
 
 
 @query
@@ -355,11 +439,40 @@ def external_verify(spark: SparkSession, d: str) -> DataFrame:
     return strategies.external_verify(fixtures.cases(spark), "case_id", slices.inventors(spark))
 
 
+@query
+def external_cached(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled cases asked twice, against a cache that holds a third of them."""
+    cases, inv = fixtures.cases(spark), slices.inventors(spark)
+    before = cases.filter("case_id % 3 = 0").select(F.col("case_id").alias("call_id"), "text")
+    _, cache = mirror.verify_cached(before, "call_id", "call_id", inv, spark.createDataFrame([], mirror.CACHE))
+    calls = cases.select(F.explode(F.array(F.struct(F.col("case_id").alias("call_id"), "text"), F.struct((F.col("case_id") + 100).alias("call_id"), F.concat(F.lit(" "), F.lower("text")).alias("text")))).alias("c")).select("c.*")
+    return mirror.verify_cached(calls, "call_id", "call_id", inv, cache)[0].select("call_id", "status", "confidence", "hit")
+
+
+@query
+def external_cache_after(spark: SparkSession, d: str) -> DataFrame:
+    cases = fixtures.cases(spark).select(F.col("case_id").alias("call_id"), "text")
+    return mirror.verify_cached(cases, "call_id", "call_id", slices.inventors(spark), spark.createDataFrame([], mirror.CACHE))[1].select("cache_key", "claim", "status", "confidence")
+
+
+@query
+def item_search(spark: SparkSession, d: str) -> DataFrame:
+    items = slices.items(spark, d)
+    names = read(spark, d, "customer").select(F.upper("c_name").alias("name")).unionByName(read(spark, d, "nation").select(F.concat(F.col("n_name"), F.lit("x")).alias("name"))).unionByName(items.select(F.col("label").alias("name")))
+    return mirror.search_items(names, items)
+
+
+@query
+def item_values(spark: SparkSession, d: str) -> DataFrame:
+    asked = slices.items(spark, d).filter("item_id LIKE 'N%'").select("item_id", F.lit("inhabitant").alias("property"))
+    return mirror.item_values(asked, slices.item_values(spark, d))
+
+
 @query
 def cascade(spark: SparkSession, d: str) -> DataFrame:
-    local = memory.prove(slices.texts(spark, d), slices.facts(spark, d), "text_id").select("text_id", "status", "confidence")
-    ext = strategies.external_verify(slices.texts(spark, d), "text_id", slices.inventors(spark))
-    return strategies.cascade(local, ext, _judged(spark, d), "text_id").withColumn("confidence", F.round("confidence", 6))
+    local = _by_sample(memory.prove(slices.texts(spark, d), slices.facts(spark, d), "text_id").select("text_id", "status", "confidence"))
+    ext = _by_sample(strategies.external_verify(slices.texts(spark, d), "text_id", slices.inventors(spark)))
+    return strategies.cascade(local, ext, _judged(spark, d), "key").withColumn("confidence", F.round("confidence", 6))
 
 
 @query
@@ -369,17 +482,33 @@ def semantic_cache(spark: SparkSession, d: str) -> DataFrame:
     return strategies.semantic_cache(calls, "event_id", "event_id").withColumn("confidence", F.round("confidence", 6))
 
 
+@query
+def semantic_cache_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    calls = e.select("vec_id", "embedding", F.when(F.col("label") % 2 == 0, "PASS").otherwise("FAIL").alias("verdict"), F.lit(0.8).alias("confidence"))
+    return strategies.semantic_cache_vectors(calls, "vec_id").withColumn("confidence", F.round("confidence", 6))
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 
 def _results(spark: SparkSession) -> DataFrame:
-    """The labelled cases under three algorithms; latencies are parameters, not measured."""
+    """The labelled cases under the algorithms that have an SQL form; latencies are parameters, not measured."""
     cases, facts = fixtures.cases(spark), kb.build_facts(fixtures.evaluation_facts(spark))
     lat = lambda x: F.lit(x).alias("latency_ms")
+    samples = cases.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(2))), strategies.mock_judge(F.col("text")).alias("reply"))
+    con = strategies.self_consistency(samples, "case_id").select(F.lit("self_consistency").alias("algo"), "case_id", "verdict", evaluate.as_bool(F.col("verdict"), "self_consistency").alias("actual"), lat(500.0))
     kbp = probe.probe_texts(cases, facts, "case_id", threshold=THRESHOLD).filter("claim_idx = 0").select(F.lit("kb_probe").alias("algo"), "case_id", "verdict", evaluate.as_bool(F.col("verdict"), "kb_probe").alias("actual"), lat(1.0))
     jud = strategies.judge(cases.select("case_id", strategies.mock_judge(F.col("text")).alias("reply")), "case_id").select(F.lit("judge").alias("algo"), "case_id", "verdict", evaluate.as_bool(F.col("verdict"), "judge").alias("actual"), lat(200.0))
     ext = strategies.external_verify(cases, "case_id", slices.inventors(spark)).select(F.lit("external").alias("algo"), "case_id", F.col("status").alias("verdict"), evaluate.as_bool(F.col("status"), "external").alias("actual"), lat(130.0))
-    return evaluate.judged_cases(cases, kbp.union(jud).union(ext))
+    return evaluate.judged_cases(cases, kbp.union(jud).union(ext).union(con))
+
+
+def evaluated(spark: SparkSession) -> DataFrame:
+    """The results of all algorithms, the memory's too."""
+    cases, facts = fixtures.cases(spark), kb.build_facts(fixtures.memory_facts(spark))
+    got = memory.prove(cases, facts, "case_id", similar="ratio").select(F.lit("memory").alias("algo"), "case_id", F.col("status").alias("verdict"), evaluate.as_bool(F.col("status"), "memory").alias("actual"), F.lit(0.6).alias("latency_ms"))
+    return _results(spark).unionByName(evaluate.judged_cases(cases, got))
 
 
 @query
@@ -404,7 +533,18 @@ def eval_failures(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def eval_priorities(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.priorities(_results(spark).filter("algo = 'kb_probe'"))
+    return evaluate.priorities(_results(spark), evaluate.statuses(spark))
+
+
+@query
+def eval_statuses(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.statuses(spark)
+
+
+@query
+def eval_memory(spark: SparkSession, d: str) -> DataFrame:
+    """The memory algorithm: its own facts, and string ratios in place of embeddings; the ratio has no SQL form."""
+    return evaluated(spark).filter("algo = 'memory'").select("case_id", "verdict", "passed")
 
 
 @query

@@ -90,6 +90,38 @@ CASES = {
 }
 TYPES = {"T": "true_fact", "A": "false_attr", "C": "contradiction", "F": "fabrication"}
 
+# The memory algorithm's knowledge base, as (subject, predicate, object) in order.
+MEMORY_FACTS = [
+    ("Alexander Graham Bell", "invented", "the telephone"),
+    ("Thomas Edison", "invented", "the light bulb"),
+    ("Guglielmo Marconi", "invented", "the radio"),
+    ("Albert Einstein", "discovered", "the theory of relativity"),
+    ("Marie Curie", "discovered", "radium"),
+    ("Isaac Newton", "discovered", "gravity"),
+    ("Charles Darwin", "proposed", "the theory of evolution"),
+    ("The Eiffel Tower", "located_in", "Paris"),
+    ("The Great Wall", "located_in", "China"),
+    ("The Statue of Liberty", "located_in", "New York"),
+    ("The Colosseum", "located_in", "Rome"),
+    ("Tokyo", "capital_of", "Japan"),
+    ("Paris", "capital_of", "France"),
+    ("Berlin", "capital_of", "Germany"),
+    ("Albert Einstein", "born_in", "Germany"),
+    ("Isaac Newton", "born_in", "England"),
+    ("Bill Gates", "founded", "Microsoft"),
+    ("Steve Jobs", "founded", "Apple"),
+    ("Mark Zuckerberg", "founded", "Facebook"),
+    ("Guido van Rossum", "created", "Python"),
+    ("George Washington", "was", "the first US president"),
+    ("Shakespeare", "wrote", "Hamlet"),
+    ("Beethoven", "composed", "the 9th Symphony"),
+]
+
+
+def memory_facts(spark: SparkSession) -> DataFrame:
+    """fact_seq, subject, predicate, object of the memory algorithm."""
+    return spark.createDataFrame([(k, *f) for k, f in enumerate(MEMORY_FACTS)], "fact_seq long, subject string, predicate string, object string")
+
 
 def evaluation_facts(spark: SparkSession) -> DataFrame:
     """fact_seq, subject, predicate, object."""
