@@ -1,29 +1,32 @@
 """Exact dedup (4): sharded cuckoo-filter index of live text digests.
 
 Two texts are equal when they are identical after lower-casing A-Z; null counts as empty. A shard is a range of digest
-hashes; its filter answers most misses, and each hit is verified against the full SHA-256 and byte length kept in the
-shard's buckets. Rows are combined by digest within each scan task before they are dealt to shards, so a group of
-copies of any size reaches its shard as one row a task.
+hashes, and there are as many as the table's size asks for; a shard's filter answers the misses, and each hit is verified
+against the full SHA-256 and byte length kept in the shard's sorted blocks. Rows are combined by digest within each scan
+task before they are dealt to shards, so a group of copies of any size reaches its shard as one row a task.
 
 Null doc_id: the row counts in group_size and is never chosen unless all ids of its group are null (keep_id null, kept
-false). Repeated rows (same id and text) all count and share the same flag. Empty table: empty result. Other columns
-are ignored.
+false). Repeated rows (same id and text) all count and share the same flag; there are no other ties. Very long texts are
+hashed whole. Empty table: empty result. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, filled, fresh_path, materialize, raw, rows, spread_lookup, table
-from factloom.llm.cuckoo import CuckooIndex
+from factloom.llm.common import filled, materialize, raw, rows, spread_lookup, table
+from factloom.llm.cuckoo import SHARD_KEYS, ShardedIndex, shard_count, through_index
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64())])
-GROUPS = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+WIDTH = 40  # bytes of a key: a SHA-256 and the text's length
+GROUPS = [("key", pa.binary()), ("keep", pa.int64()), ("known", pa.int64()), ("size", pa.int64())]
+MERGES = [np.maximum, np.maximum, np.add]
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -37,96 +40,52 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, n_bytes long")
 
 
-def _merge(index: CuckooIndex, digest: bytes, n_bytes: int, keep, size: int) -> None:
-    key = digest + n_bytes.to_bytes(8, "little")
-    found = index.get(key)
-    if found is not None:
-        keep, size = max(x for x in (keep, found[0], -(2**63)) if x is not None) if keep is not None or found[0] is not None else None, size + found[1]
-    index.put(key, (keep, size))
+def _key() -> Column:
+    return F.concat("digest", F.unhex(F.lpad(F.hex("n_bytes"), 16, "0")))
 
 
-def _drain(index: CuckooIndex):
-    items = list(index.content.items())
-    for k in range(0, len(items), 50_000):
-        part = items[k : k + 50_000]
-        yield rows({"digest": [x[:32] for x, _ in part], "n_bytes": [int.from_bytes(x[32:], "little") for x, _ in part], "keep_id": [v[0] for _, v in part], "group_size": [v[1] for _, v in part]}, GROUPS)
-
-
-def _through_index(flush_at: int | None):
-    def run(batches):
-        index = CuckooIndex()
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("digest", "n_bytes", "keep_id", "group_size")), strict=True):
-                _merge(index, *row)
-            if flush_at and len(index) >= flush_at:
-                yield from _drain(index)
-                index = CuckooIndex()
-        yield from _drain(index)
-
-    return run
-
-
-def groups(digest_rows: DataFrame) -> DataFrame:
+def groups(digest_rows: DataFrame, total: int | None = None) -> DataFrame:
     """One row per distinct text: digest, n_bytes, keep_id, group_size, through the sharded index."""
-    ddl = "digest binary, n_bytes long, keep_id long, group_size long"
-    single = digest_rows.select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return single.mapInArrow(_through_index(200_000), ddl).repartition(F.col("digest")).mapInArrow(_through_index(None), ddl)
+    ddl = "key binary, keep long, known long, size long"
+    total = digest_rows.count() if total is None else total
+    single = digest_rows.select(_key().alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("keep"), F.col("doc_id").isNotNull().cast("long").alias("known"), F.lit(1).cast("long").alias("size"))
+    met = single.mapInArrow(through_index(GROUPS, WIDTH, MERGES, SHARD_KEYS), ddl).repartition(shard_count(total, digest_rows.sparkSession), F.col("key"))
+    found = met.mapInArrow(through_index(GROUPS, WIDTH, MERGES, None), ddl)
+    return found.select(F.substring("key", 1, 32).alias("digest"), F.conv(F.hex(F.substring("key", 33, 8)), 16, 10).cast("long").alias("n_bytes"), F.when(F.col("known") > 0, F.col("keep")).alias("keep_id"), F.col("size").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
     each = materialize(digests(docs), "digests")
     total = each.count()
-    found = materialize(groups(each), "digest-groups")
+    found = materialize(groups(each, total), "digest-groups")
     out = spread_lookup(each, found, ["digest", "n_bytes"], "group_size", total, F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 class LiveDigestIndex:
-    """A stored index of live digests, for feeds that add and withdraw documents.
-
-    The state is a table of live rows (doc_id, digest, n_bytes) in numbered versions; each change writes the next
-    version, so a lost executor never leaves half an update. `insert` and `delete` change it, `lookup` answers for
-    new documents which live document holds the same text (null if none)."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.version = spark, path or fresh_path(spark, "digest-index"), 0
-        spark.createDataFrame([], "doc_id long, digest binary, n_bytes long").write.parquet(f"{self.path}/v0")
-
-    def live(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+    """A stored index of live digests, for feeds that add and withdraw documents: the digests' shards have a cuckoo filter
+    each, which insertions and deletions change. `lookup` answers for new documents which live document holds the same text
+    (the largest doc_id, null if none)."""
 
-    def _next(self, df: DataFrame) -> None:
-        df.write.parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+    def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 64):
+        self.index = ShardedIndex(spark, WIDTH, path, shards)
 
-    def insert(self, docs: DataFrame) -> None:
-        self._next(self.live().unionByName(digests(docs)))
+    def insert(self, docs: DataFrame) -> list[int]:
+        """The shards that were touched. Documents without an id are not held."""
+        return self.index.change(digests(docs).filter("doc_id IS NOT NULL").select(_key().alias("key"), "doc_id"), 1)
 
-    def delete(self, ids: DataFrame) -> None:
-        self._next(self.live().join(ids.select("doc_id").distinct(), "doc_id", "left_anti"))
+    def delete(self, ids: DataFrame) -> list[int]:
+        """Withdraws documents by doc_id; with their text too (doc_id, text), only the texts' shards are read."""
+        if "text" in ids.columns:
+            return self.index.change(digests(ids).select(_key().alias("key"), "doc_id"), -1)
+        return self.index.change(self.index.live().join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), -1)
 
     def lookup(self, docs: DataFrame) -> DataFrame:
-        """doc_id and copy_of (largest live doc_id with an equal text), by probing each shard's filter."""
-        mark = F.lit(0).cast("long")
-        asked = digests(docs).select("digest", "n_bytes", "doc_id", (mark + 1).alias("ask"))
-        live = groups(self.live()).select("digest", "n_bytes", F.col("keep_id").alias("doc_id"), mark.alias("ask"))
-
-        def run(batches):
-            index, found = CuckooIndex(), {"doc_id": [], "copy_of": []}
-            for b in batches:
-                for digest, n, doc, ask in zip(*(b.column(c).to_pylist() for c in ("digest", "n_bytes", "doc_id", "ask")), strict=True):
-                    key = digest + n.to_bytes(8, "little")
-                    if ask:
-                        found["doc_id"].append(doc)
-                        found["copy_of"].append(index.get(key))
-                    else:
-                        index.put(key, doc)
-                yield rows(found, pa.schema([("doc_id", pa.int64()), ("copy_of", pa.int64())]))
-                found = {"doc_id": [], "copy_of": []}
-
-        return live.unionByName(asked).repartition(F.col("digest")).sortWithinPartitions("ask").mapInArrow(run, "doc_id long, copy_of long")
+        """doc_id and copy_of of every row of docs."""
+        asked = digests(docs).select("doc_id", _key().alias("key"))
+        return asked.join(self.index.lookup(asked).select("key", F.col("last_id").alias("copy_of")), "key", "left").select("doc_id", "copy_of")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

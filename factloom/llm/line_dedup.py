@@ -5,24 +5,26 @@ A line's key is the line stripped of [\\x20\\x09-\\x0D] at both ends with A-Z lo
 it. The reference table keeps, for each key, the number of documents and the smallest and largest of them; it is
 derived from postings (key, doc_id), so inserting and deleting documents are both reversible.
 
-Null or empty text: one empty line. Null doc_id: holds no references, and its lines stay. Rows repeated with one
-doc_id are one document. Keys are compared by 128-bit BLAKE2b digests. Empty table: empty result.
+Null or empty text: one empty line. Very long texts are cut whole. Null doc_id: holds no references, and its lines stay.
+Rows repeated with one doc_id are one document; there are no other ties. Keys are compared by 128-bit BLAKE2b digests.
+Empty table: empty result. Columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, fresh_path, materialize, rows, spread_lookup, table
-from factloom.llm.cuckoo import CuckooIndex
+from factloom.llm.common import materialize, rows, spread_lookup, table
+from factloom.llm.cuckoo import SHARD_KEYS, ShardedIndex, shard_count, through_index
 
 SPACE, MIN_CHARS = " \t\n\x0b\x0c\r", 10
-REFS = pa.schema([("key", pa.binary()), ("refs", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
-REFS_DDL = "key binary, refs long, first_id long, last_id long"
+REFS = [("key", pa.binary()), ("refs", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]
+REFS_DDL, MERGES, WIDTH = "key binary, refs long, first_id long, last_id long", [np.add, np.minimum, np.maximum], 16
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -50,41 +52,21 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key binary, doc_id long")
 
 
-def _count(flush_at: int | None, least: int):
-    """Merge reference rows by key; a filter miss inserts, a verified hit adds to the exact counts."""
-
-    def drain(index):
-        kept = [(k, v) for k, v in index.content.items() if v[0] >= least]
-        for n in range(0, len(kept), 50_000):
-            part = kept[n : n + 50_000]
-            yield rows({"key": [k for k, _ in part], "refs": [v[0] for _, v in part], "first_id": [v[1] for _, v in part], "last_id": [v[2] for _, v in part]}, REFS)
-
-    def run(batches):
-        index = CuckooIndex()
-        for b in batches:
-            for key, refs, first, last in zip(*(b.column(c).to_pylist() for c in REFS.names), strict=True):
-                found = index.get(key)
-                index.put(key, (refs, first, last) if found is None else (refs + found[0], min(first, found[1]), max(last, found[2])))
-            if flush_at and len(index) >= flush_at:
-                yield from drain(index)
-                index = CuckooIndex()
-        yield from drain(index)
-
-    return run
-
-
-def references(post: DataFrame, least: int = 1) -> DataFrame:
+def references(post: DataFrame, least: int = 1, total: int | None = None) -> DataFrame:
     """key, refs, first_id, last_id of keys held by at least `least` postings. Rows meet in their scan task first."""
+    total = post.count() if total is None else total
     single = post.select("key", F.lit(1).cast("long").alias("refs"), F.col("doc_id").alias("first_id"), F.col("doc_id").alias("last_id"))
-    return single.mapInArrow(_count(200_000, 1), REFS_DDL).repartition(F.col("key")).mapInArrow(_count(None, least), REFS_DDL)
+    met = single.mapInArrow(through_index(REFS, WIDTH, MERGES, SHARD_KEYS), REFS_DDL).repartition(shard_count(total, post.sparkSession), F.col("key"))
+    return met.mapInArrow(through_index(REFS, WIDTH, MERGES, None, lambda refs, *_: refs >= least), REFS_DDL)
 
 
-def drop_lines(docs: DataFrame, post: DataFrame | None = None, min_chars: int = MIN_CHARS, with_text: bool = True) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 (and kept_text) for every row of docs."""
+def drop_lines(docs: DataFrame, shared: DataFrame | None = None, min_chars: int = MIN_CHARS, with_text: bool = True) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 (and kept_text) for every row of docs. shared: references of their lines, if
+    they come from an index; else those of docs themselves."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    post = post if post is not None else materialize(postings(docs, min_chars), "line-postings")
+    post = materialize(postings(docs, min_chars), "line-postings")
     total = post.count()
-    shared = materialize(references(post, 2).filter("first_id <> last_id"), "line-refs")
+    shared = materialize((references(post, 2, total) if shared is None else shared).filter("first_id <> last_id"), "line-refs")
     hits = spread_lookup(post, shared, ["key"], "refs", total, F.col("doc_id")).filter(F.col("first_id") < F.col("doc_id"))
     drops = hits.select("doc_id", "key").groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
     fields = [("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text
@@ -112,27 +94,25 @@ def drop_lines(docs: DataFrame, post: DataFrame | None = None, min_chars: int =
 
 
 class LineIndex:
-    """Stored postings in numbered versions: documents are inserted and deleted, and `clean` answers by what is live."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS):
-        self.spark, self.path, self.version, self.min_chars = spark, path or fresh_path(spark, "line-index"), 0, min_chars
-        spark.createDataFrame([], "key binary, doc_id long").write.parquet(f"{self.path}/v0")
-
-    def live(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+    """A stored index of lines: shards of postings, each with a cuckoo filter, that documents enter and leave. `clean` answers
+    by what is live; a document's own lines need not be in the index."""
 
-    def _next(self, df: DataFrame) -> None:
-        df.write.parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS, shards: int = 64):
+        self.index, self.min_chars = ShardedIndex(spark, WIDTH, path, shards), min_chars
 
-    def insert(self, docs: DataFrame) -> None:
-        self._next(self.live().unionByName(postings(docs, self.min_chars)))
+    def insert(self, docs: DataFrame) -> list[int]:
+        """The shards that were touched."""
+        return self.index.change(postings(docs, self.min_chars), 1)
 
-    def delete(self, ids: DataFrame) -> None:
-        self._next(self.live().join(ids.select("doc_id").distinct(), "doc_id", "left_anti"))
+    def delete(self, ids: DataFrame) -> list[int]:
+        """Withdraws documents by doc_id; with their text too (doc_id, text), only the lines' shards are read."""
+        if "text" in ids.columns:
+            return self.index.change(postings(ids, self.min_chars), -1)
+        return self.index.change(self.index.live().join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), -1)
 
     def clean(self, docs: DataFrame) -> DataFrame:
-        return drop_lines(docs, self.live(), self.min_chars)
+        held = self.index.lookup(postings(docs, self.min_chars).select("key"))
+        return drop_lines(docs, held, self.min_chars)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from factloom.llm import embedding_dedup, exact_dedup, graph, jaccard_join, line_dedup
-from factloom.llm.cuckoo import CuckooFilter, CuckooIndex
+from factloom.llm.cuckoo import CuckooFilter, CuckooIndex, ShardedIndex, filter_of
 
 DOCS = "doc_id long, text string, lang string, source string, digest string"
 EDGE = ["Same Text", "same text", None, "", "é É", "É é", "x" * 200_000, "x" * 200_000, "Same Text", " \t\n"]
@@ -39,16 +39,49 @@ def components(ids, links):
 
 
 def test_cuckoo_filter_and_index():
-    keys = [hashlib.sha256(str(k).encode()).digest() for k in range(5000)]
+    keys = np.frombuffer(b"".join(hashlib.sha256(str(k).encode()).digest() for k in range(5000)), np.uint64).reshape(-1, 4)
     f = CuckooFilter(8000)
-    assert all(f.insert(k) for k in keys) and all(f.contains(k) for k in keys)
-    assert all(f.remove(k) for k in keys[:2500]) and all(f.contains(k) for k in keys[2500:])
-    assert sum(f.contains(k) for k in keys[:2500]) < 50
-    index = CuckooIndex(4)
-    for n, k in enumerate(keys):
-        index.put(k, n)
-    assert index.resized and [index.get(k) for k in keys] == list(range(5000))
-    assert index.delete(keys[0]) and not index.delete(keys[0]) and index.get(keys[0]) is None and len(index) == 4999
+    assert not len(f.insert(keys)) and f.contains(keys).all() and len(f) == 5000
+    assert not len(f.remove(keys[:2500])) and f.contains(keys[2500:]).all()
+    assert f.contains(keys[:2500]).sum() < 50
+    index = CuckooIndex([np.maximum, np.add], 4)
+    for k in range(0, 5000, 700):
+        index.put(keys[k : k + 700], [np.arange(k, min(k + 700, 5000)), np.ones(len(keys[k : k + 700]), np.int64)])
+    index.put(keys[::2], [np.zeros(2500, np.int64), np.ones(2500, np.int64)])
+    held, (most, times) = index.get(keys)
+    assert index.resized and held.all() and (most == np.arange(5000)).all() and (times == 1 + (np.arange(5000) % 2 == 0)).all()
+    assert index.delete(keys[:1]).all() and not index.delete(keys[:1]).any() and not index.get(keys[:1])[0].any() and index.count == 4999
+    # keys that share a first word are told apart by the others
+    twins = np.array([[7, 1, 1, k] for k in range(6)], np.uint64)
+    index.put(twins, [np.arange(6), np.ones(6, np.int64)])
+    assert index.get(twins)[1][0].tolist() == list(range(6)) and index.delete(twins[2:3]).all() and index.get(twins)[0].tolist() == [True, True, False, True, True, True]
+
+
+def test_filter_overflow_keeps_what_it_holds():
+    keys = np.frombuffer(b"".join(hashlib.sha256(str(k).encode()).digest() for k in range(400)), np.uint64).reshape(-1, 4)
+    f = CuckooFilter(64)
+    lost = f.insert(keys)
+    assert len(lost) and np.delete(f.contains(keys), lost).all()
+    assert filter_of(keys).contains(keys).all()
+
+
+def test_sharded_index_touches_only_its_shards(spark):
+    key = lambda k: hashlib.blake2b(str(k).encode(), digest_size=16).digest()
+    post = lambda pairs: spark.createDataFrame([(key(k), d) for k, d in pairs], "key binary, doc_id long")
+    index = ShardedIndex(spark, 16, shards=8)
+    first = index.change(post([(k, k % 7) for k in range(300)]), 1)
+    assert len(first) == 8
+    filters = dict(index.filters)
+    one = index.change(post([(5, 900)]), 1)
+    assert len(one) == 1 and [s for s in filters if index.filters[s] != filters[s]] == one
+    found = lambda ks: {bytes(r.key): (r.refs, r.first_id, r.last_id) for r in index.lookup(post([(k, 0) for k in ks])).collect()}
+    assert found([5, 6, 1000]) == {key(5): (2, 5, 900), key(6): (1, 6, 6)}
+    assert index.change(post([(5, 5), (6, 6), (6, 1)]), -1) and found([5, 6]) == {key(5): (1, 900, 900)}
+    # the filter itself has forgotten the key that is gone, and holds the other
+    assert {bytes(r.key) for r in index.passing(post([(5, 0), (6, 0)]).select("key")).collect()} == {key(5)}
+    assert index.change(post([(6, 6), (5, 900)]), 1) and found([5, 6]) == {key(5): (1, 900, 900), key(6): (1, 6, 6)}
+    more = index.change(post([(k, 1) for k in range(1000, 4000)]), 1)  # overflows the small filters
+    assert len(more) == 8 and len(found(range(1000, 4000))) == 3000 and found([5, 6])[key(6)] == (1, 6, 6)
 
 
 def test_exact(spark):
@@ -215,6 +248,30 @@ def test_embeddings_of_each_length_link(spark):
     assert got == {k: (5, 0) for k in range(6)} | {k: (3, 6) for k in range(6, 10)} | {10: (0, 10), 11: (0, 11)}
 
 
+def test_embeddings_of_any_magnitude_link(spark):
+    rows = [[1e200, 2e200, 3e200], [1e-200, 2e-200, 3e-200], [1.0, 2.0, 3.0], [1e-310, 2e-310, 3.0001e-310], [-1e300, 0.0, 0.0], [-1.0, 1e-9, 0.0]]
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert got == {k: (3, 0) for k in range(4)} | {4: (1, 4), 5: (1, 4)}
+
+
+def test_embedding_lists_asked_are_measured(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(600, 16))
+    rows = np.concatenate([base, base + rng.normal(size=base.shape) * 0.25])
+    df = spark.createDataFrame([(k, list(map(float, v)), 0) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    groups = embedding_dedup.classes(df)[1]
+    lists = 40
+    model = spark.sparkContext.broadcast(embedding_dedup.fitted(groups, 16, 1200, lists))
+    asked = embedding_dedup.asked_lists(groups, 16, model, 0.9)
+    x = {r.rep_id: np.frombuffer(bytes(r.v)) for r in groups.collect()}
+    v = np.stack([x[k] for k in sorted(x)])
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.9, 1))
+    near = embedding_dedup._nearest(v, model.value.coarse, asked)
+    found = (near[i] == near[j, :1]).any(1) | (near[j] == near[i, :1]).any(1)
+    assert 1 <= asked <= lists and found.mean() >= 0.95
+
+
 def test_embedding_probes_keep_recall_as_lists_grow():
     rng = np.random.default_rng(5)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
