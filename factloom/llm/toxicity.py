@@ -35,7 +35,7 @@ from factloom.llm.common import blocks_of, discard, filled, held_out, materializ
 
 PER_CLASS, NEIGHBOURS, EVIDENCE, BLOCK, PRIOR_WEIGHT, STEMS = 3000, 25, 3, 64, 0.05, (4, 5, 7)
 #: Of the search: postings of terms in one of so many examples are a matrix; blocks that a query visits first; queries at once.
-HEAVY, FIRST_BLOCKS, QUERIES_AT_ONCE = 16, 4, 256
+HEAVY, FIRST_BLOCKS, QUERIES_AT_ONCE = 16, 4, 128
 #: Bytes of text that a worker holds as terms at a time; document frequencies travel in blocks of so many.
 SLICE, STEP = 2 << 20, 4096
 _OUTER = string.punctuation + "“”„«»¿¡…–—"
@@ -88,59 +88,74 @@ class BlockMaxIndex:
     least one in `HEAVY` examples has are kept as rows of a matrix, the others as lists of postings."""
 
     def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, terms: int):
-        self.count, self.blocks = count, max(1, -(-count // BLOCK))
+        self.blocks = max(1, -(-count // BLOCK))
         heavy = np.bincount(term, minlength=terms) * HEAVY >= max(count, HEAVY)
         self.row = np.where(heavy, np.cumsum(heavy) - 1, -1).astype(np.int32)
         many = heavy[term]
-        self.dense = np.zeros((int(heavy.sum()), self.blocks * BLOCK))
-        self.dense[self.row[term[many]], owner[many]] = weight[many]
+        dense = np.zeros((int(heavy.sum()), self.blocks * BLOCK))
+        dense[self.row[term[many]], owner[many]] = weight[many]
+        # like examples share blocks: their places go by the leading components of the matrix
+        self.example = self._by_likeness(dense, count)
+        place = np.empty(len(self.example), np.int32)
+        place[self.example] = np.arange(len(self.example), dtype=np.int32)
+        self.dense = dense[:, self.example]
+        del dense
         self.dense_top = self.dense.reshape(len(self.dense), self.blocks, BLOCK).max(2)
         order = np.flatnonzero(~many)
-        order = order[np.lexsort((owner[order], term[order]))]
-        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
-        key = term[order].astype(np.int64) * self.blocks + self.owner // BLOCK
-        del order, many
-        start = np.flatnonzero(np.diff(key, prepend=-1))  # of each pair of a term and a block
-        self.block = (key[start] % self.blocks).astype(np.int32)
-        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.pairs = np.searchsorted(key[start], np.arange(terms + 1) * self.blocks).astype(np.int32)
-        self.start = np.append(start, len(key)).astype(np.int32)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.place, self.weight = place[owner[order]], weight[order]
+        self.start = np.searchsorted(term[order], np.arange(terms + 1)).astype(np.int32)
+
+    @staticmethod
+    def _by_likeness(dense: np.ndarray, count: int, components: int = 5) -> np.ndarray:
+        """All places in an order that keeps like columns together: by which side of the median they lie on in each of
+        the leading components, then along the last. Empty places come last."""
+        base = np.random.default_rng(3).normal(size=(dense.shape[1], components))
+        for _ in range(8):
+            base = np.linalg.qr(dense.T @ (dense @ base))[0] if len(dense) else base
+        sides = [base[:, k] > np.median(base[:count, k]) for k in range(1, components - 1)]
+        return np.lexsort((base[:, -1], *sides[::-1], np.arange(dense.shape[1]) >= count))
+
+    def light(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the terms of one query that have lists add to the cosines of all examples."""
+        n = self.start[term + 1] - self.start[term]
+        at = _ranges(self.start[term], n)
+        return np.bincount(self.place[at], self.weight[at] * np.repeat(weight, n), minlength=self.blocks * BLOCK)
+
+    def place_of(self, example: np.ndarray) -> np.ndarray:
+        return np.argsort(self.example)[example]
 
     def nearest(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, k: int = NEIGHBOURS, skip: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of `count` queries (owner, term, weight): the k examples of largest cosine, to 12 decimals (ties: smaller number),
-        only those above 0, as (query, example, cosine) by query and rank. Every query visits its blocks of largest
-        bound first, then each block whose bound reaches its k-th cosine. skip: pairs (query, example) left out."""
+        only those above 0, as (query, example, cosine) by query and rank. Lists are added up whole; a block's bound is
+        its largest sum so far and what its largest weights of the matrix's terms could add. Every query visits its
+        blocks of largest bound first, then each whose bound reaches its k-th cosine. skip: pairs (query, example) left
+        out."""
         row = self.row[term]
         some = row >= 0
         queries = np.zeros((count, len(self.dense)))
         queries[owner[some], row[some]] = weight[some]
-        light = np.flatnonzero(~some)
-        n = self.pairs[term[light] + 1] - self.pairs[term[light]]
-        pairs, by, w = _ranges(self.pairs[term[light]], n), np.repeat(owner[light], n), np.repeat(weight[light], n)
-        cell = by * self.blocks + self.block[pairs]
-        bound = queries @ self.dense_top + np.bincount(cell, w * self.top[pairs], minlength=count * self.blocks).reshape(count, -1)
-        scores = np.zeros((count, self.blocks * BLOCK))
+        cuts = np.searchsorted(owner, np.arange(count + 1))
+        scores = np.stack([self.light(term[i:j][~some[i:j]], weight[i:j][~some[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+        bound = queries @ self.dense_top + scores.reshape(count, self.blocks, BLOCK).max(2)
+        done = np.full(scores.shape, -1.0)
         first = min(self.blocks, FIRST_BLOCKS)
         visit = bound >= np.partition(bound, self.blocks - first, axis=1)[:, [self.blocks - first]]
         for again in (False, True):
             if again:
-                least = np.partition(scores, -k, axis=1)[:, [-k]] if k < scores.shape[1] else 0.0
+                least = np.partition(done, -k, axis=1)[:, [-k]] if k < done.shape[1] else 0.0
                 visit = (bound >= least - 1e-9) & ~visit
-            visit &= bound > 0
-            now = visit.reshape(-1)[cell]
-            p = pairs[now]
-            n = self.start[p + 1] - self.start[p]
-            at = _ranges(self.start[p], n)
-            scores += np.bincount(np.repeat(by[now], n) * scores.shape[1] + self.owner[at], self.weight[at] * np.repeat(w[now], n), minlength=scores.size).reshape(scores.shape)
             for b in np.flatnonzero(visit.any(0)):
-                own = np.flatnonzero(visit[:, b])
-                scores[own, b * BLOCK : (b + 1) * BLOCK] += queries[own] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+                own, at = np.flatnonzero(visit[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                if 2 * len(own) > count:  # cheaper for all than for a copy of most
+                    own = slice(None)
+                done[own, at] = scores[own, at] + queries[own] @ self.dense[:, at]
             if skip is not None:
-                scores[skip] = 0.0
-        scores = np.round(scores, 12)
-        least = np.partition(scores, -k, axis=1)[:, [-k]] if k < scores.shape[1] else np.zeros((count, 1))
-        q, e = np.nonzero((scores >= least) & (scores > 0))
-        cos = scores[q, e]
+                done[skip[0], self.place_of(skip[1])] = -1.0
+        done = np.round(done, 12)
+        least = np.partition(done, -k, axis=1)[:, [-k]] if k < done.shape[1] else np.zeros((count, 1))
+        q, e = np.nonzero((done >= least) & (done > 0))
+        cos, e = done[q, e], self.example[e]
         order = np.lexsort((e, -cos, q))
         q, e, cos = q[order], e[order], cos[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -160,13 +175,19 @@ class Model:
         self.term, self.count, self.cuts, self.built = term, count, cuts, False
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in vars(self).items() if k not in ("idf", "index", "order")} | {"built": False}
+        if self.built:
+            raise ValueError("a model travels before its index is built")
+        return vars(self)
 
     def build(self) -> None:
         owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.cuts))
         self.idf = np.log((1.0 + self.documents) / (1.0 + self.frequency)) + 1.0
-        weight = _unit(owner, (1 + np.log(self.count.astype(np.float64))) * self.idf[self.term], len(self.ids))
-        self.index, self.order, self.built = BlockMaxIndex(owner, self.term, weight, len(self.ids), len(self.wanted)), np.argsort(self.ids, kind="stable"), True
+        weight = np.log(self.count.astype(np.float64))
+        weight += 1
+        weight *= self.idf[self.term]
+        self.index, self.order = BlockMaxIndex(owner, self.term, _unit(owner, weight, len(self.ids)), len(self.ids), len(self.wanted)), np.argsort(self.ids, kind="stable")
+        self.term = self.count = None  # the index has them now
+        self.built = True
 
     def votes(self, texts: pa.Array, own_ids: np.ndarray | None = None):
         """Each text's vote, and its neighbours as (text, example, cosine), a block of texts at a time. own_ids: examples of
