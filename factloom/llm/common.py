@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many bytes, so a worker's memory does not follow the Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SCOPES: list[list[DataFrame]] = []
 

@@ -6,12 +6,15 @@ all units of one length advance together: rolling substring hashes probe the sor
 bitmap), and vectorised maxima keep the best score and a back-pointer per position. Characters that are in no piece
 become byte pieces, so decoding gives back every text exactly, whatever it holds.
 
-The segmentation maximises the sum of the model's piece scores. For a unigram model that is the library's own result.
-A BPE model's scores are merge ranks, no log probabilities; they are turned into Zipf's -log(rank + RANK_SHIFT). The
-library replays merges for such models, so some words are cut otherwise there; the README gives the agreement.
-Ties: the shorter last piece.
-
-Null or empty text: no pieces. Null doc_id and repeated rows: each row is encoded. Texts are taken whole, in slices.
+The segmentation maximises the sum of the model's piece scores and of what two pieces in a row allow. For a unigram model
+any pieces may follow each other, and the scores decide (ties: the shorter last piece). A BPE model's scores are merge
+ranks, no log probabilities: there a piece may follow another if merging the two pieces' text gives just these two, which
+the library is asked once for each pair that occurs. A text has exactly one way through such pairs, the one that merging
+finds (a prefix's merged pieces do not depend on what follows, but for the last), so the ids are the library's own - but
+for the character that stands for a space in pieces, which the library turns into a space, and which is kept here.
+
+Null or empty text: no pieces. Null doc_id and repeated rows: each row is encoded. Texts are taken whole, however long, in
+slices. Empty table: empty result. Columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,7 +33,71 @@ from factloom.llm.common import filled, raw, rows, table, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, PRIME, BITS = "▁", np.uint64(0x9E3779B97F4A7C15), 20
 BLOCK = 300_000
-RANK_SHIFT = 300.0
+#: The pairs of pieces that a worker remembers are at most two to this power.
+PAIR_BITS = 21
+#: A character that no piece holds, so nothing merges with it.
+BREAK = "\U000F0000"
+_LOADED: dict[bytes, Pieces] = {}
+
+
+def is_bpe(model: bytes) -> bool:
+    """Whether the model's own training settings (field 2) call it BPE (their field 3 is 2)."""
+
+    def fields(data: bytes):
+        at = 0
+
+        def varint():
+            nonlocal at
+            out = shift = 0
+            while True:
+                x = data[at]
+                at, out, shift = at + 1, out | (x & 127) << shift, shift + 7
+                if x < 128:
+                    return out
+
+        while at < len(data):
+            tag = varint()
+            if tag & 7 == 2:
+                size = varint()
+                yield tag >> 3, data[at : at + size]
+                at += size
+            elif tag & 7:
+                at += 4 if tag & 7 == 5 else 8
+            else:
+                yield tag >> 3, varint()
+
+    return any(n == 2 and any(k == 3 and v == 2 for k, v in fields(x)) for n, x in fields(model))
+
+
+class Joins:
+    """Which pieces of a BPE model may follow which: asked of the library once a pair, and remembered in a table of fixed
+    size (a pair that has lost its place there is asked again)."""
+
+    def __init__(self, sp, texts: list[str], ids: np.ndarray):
+        self.sp, self.texts, self.ids = sp, texts, ids
+        self.codes, self.values = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.lead = len(sp.encode(BREAK))
+        if not all(sp.is_byte(i) for i in sp.encode(BREAK)[1:]) or self.lead != 5:
+            raise ValueError(f"the model has a piece for {BREAK!r}")
+        #: Pieces that merging can make at all.
+        self.made = np.array([x[self.lead :] == [i] for x, i in zip(sp.encode([BREAK + t for t in texts], num_threads=1), ids.tolist(), strict=True)])
+
+    def ok(self, prior: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether piece key may follow piece prior (places in the sorted pieces; prior below 0: nothing to merge with)."""
+        out, asked = self.made[key], np.flatnonzero((prior >= 0) & self.made[key])
+        code = prior[asked].astype(np.int64) * len(self.ids) + key[asked]
+        slot = ((code.astype(np.uint64) * PRIME) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        known = self.codes[slot] == code
+        out[asked[known]] = self.values[slot[known]]
+        if not known.all():
+            new, back = np.unique(code[~known], return_inverse=True)
+            a, b = np.divmod(new, len(self.ids))
+            got = self.sp.encode([BREAK + self.texts[i] + self.texts[j] for i, j in zip(a, b, strict=True)], num_threads=1)
+            value = np.array([x[self.lead :] == [i, j] for x, i, j in zip(got, self.ids[a].tolist(), self.ids[b].tolist(), strict=True)])
+            at = ((new.astype(np.uint64) * PRIME) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+            self.codes[at], self.values[at] = new, value
+            out[asked[~known]] = value[back]
+        return out
 
 
 class Pieces:
@@ -42,9 +109,6 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         ids = range(sp.get_piece_size())
         self.plain = {sp.id_to_piece(i).replace(SPACE, " "): (i, sp.get_score(i)) for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        normal = [x for _, x in self.plain.values() if x > -1e8]
-        if all(x == int(x) for x in normal) and len(set(normal)) == len(normal) > 1:
-            self.plain = {w: (i, -float(np.log(min(-x, 1e6) + RANK_SHIFT))) for w, (i, x) in self.plain.items()}
         by_byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         if len(by_byte) != 256:
             raise ValueError("the model needs byte pieces, else decoding would lose characters")
@@ -61,6 +125,7 @@ class Pieces:
             raise ValueError("two pieces share a hash")
         self.ids = np.array([self.plain[w][0] for w in words], np.int32)[order]
         self.scores = np.array([self.plain[w][1] for w in words], np.float64)[order]
+        self.joins = Joins(sp, [words[k] for k in order], self.ids) if is_bpe(model) else None
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[self.keys >> np.uint64(64 - BITS)] = True
         text = [b""] * len(ids)
@@ -94,7 +159,7 @@ def _segment(m: Pieces, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = np.full((n + 1, count), -np.inf)
     best[0] = 0.0
     back = np.zeros((n + 1, count), np.int16)
-    last = np.full((n + 1, count), -1, np.int32)
+    last = np.full((n + 1, count), -1, np.int32)  # the last piece's place among the sorted ones, -1 for none
     step = cps.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
     found, h = [], np.zeros((count, n), np.uint64)
     for size in range(1, min(m.longest, n) + 1):
@@ -107,20 +172,26 @@ def _segment(m: Pieces, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for end in range(1, n + 1):
         score, prior, ident = best[end], back[end], last[end]
         score[:], prior[:] = best[end - 1] + m.unknown, 1
-        for size in range(1, min(m.longest, end) + 1):
-            unit, key, cuts = found[size - 1]
-            a, b = cuts[end - size], cuts[end - size + 1]
-            if a == b:
-                continue
-            unit, key = unit[a:b], key[a:b]
-            gain = best[end - size, unit] + m.scores[key]
-            better = (gain > score[unit]) | ((size == 1) & (ident[unit] < 0))
-            unit, key = unit[better], key[better]
-            score[unit], prior[unit], ident[unit] = gain[better], size, m.ids[key]
+        own = [found[size - 1] + (size,) for size in range(1, min(m.longest, end) + 1)]
+        own = [(unit[a:b], key[a:b], size) for unit, key, cuts, size in own if (a := cuts[end - size]) < (b := cuts[end - size + 1])]
+        if not own:
+            continue
+        unit, key = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+        size = np.repeat([x[2] for x in own], [len(x[0]) for x in own])
+        gain = best[end - size, unit] + m.scores[key]
+        if m.joins is not None:
+            gain = np.where(m.joins.ok(last[end - size, unit], key), 0.0, -np.inf)
+        # of each unit the largest gain, the shortest piece of equals; a character that is a piece is no unknown one
+        order = np.lexsort((size, -gain, unit))
+        first = order[np.concatenate([[True], unit[order][1:] != unit[order][:-1]])]
+        single = np.zeros(count, bool)
+        single[unit[size == 1]] = True
+        first = first[(gain[first] > score[unit[first]]) | single[unit[first]]]
+        score[unit[first]], prior[unit[first]], ident[unit[first]] = gain[first], size[first], key[first]
     at, path = np.full(count, n), []
     units = np.arange(count)
     while (live := at > 0).any():
-        ident = np.where(live, last[at, units], -2)
+        ident = np.where(live, np.where(last[at, units] >= 0, m.ids[last[at, units]], -1), -2)
         char = np.where(ident == -1, cps[units, np.maximum(at - 1, 0)], 0)
         path.append((ident, char))
         at = np.where(live, at - back[at, units], 0)
@@ -198,6 +269,14 @@ def decode(m: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [text[i + 1 : j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
+def loaded(model: bytes) -> Pieces:
+    """The tables of a model; a worker makes them once."""
+    key = hashlib.sha256(model).digest()
+    if key not in _LOADED:
+        _LOADED[key] = Pieces(model)
+    return _LOADED[key]
+
+
 def load(model: str = MODEL) -> bytes:
     with open(model, "rb") as f:
         return f.read()
@@ -209,7 +288,7 @@ def encoded(docs: DataFrame, model: str = MODEL, with_ids: bool = True) -> DataF
     fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches):
-        m, schema = Pieces(proto.value), pa.schema(fields)
+        m, schema = loaded(proto.value), pa.schema(fields)
         for b in batches:
             for part in text_slices(b):
                 texts = filled(part.column("text"))
