@@ -5,17 +5,22 @@ A document's set is its distinct `k`-word shingles (64-bit hashes). Equal sets f
 Order: shingles are ordered by a count sketch over all documents (a fixed 2^20 counters), then by hash, so rare ones
 come first. The order decides only how many candidates there are, never the answer: prefixes are valid under any order.
 
-Answer skipping: sets that share a minhash are first compared with the most central set of their group (the one with
-the fewest rare shingles); the components that follow hold the computed answers of highly similar sets, and sets of one
-component are not compared again - only pairs whose answer is still open are.
-
-Index skipping: prefix postings are sorted by (shingle, size); a list whose entries all have one component is skipped
-as a block, the others are cut into blocks of `BLOCK` entries, and within a pair of blocks the size range, the position
-bound and a parity bitmap (a lower bound of the symmetric difference) skip what cannot reach the threshold. What is left
-is verified with whole sets. Every filter is lossless.
+Index skipping: prefix postings are grouped by shingle; a list whose entries all have one component is skipped. Lists are
+cut into blocks of `BLOCK` entries of like size, ordered by position; a pair of blocks is skipped if their sizes, or the
+elements that are left behind their best positions, cannot reach the threshold, and so is a pair of entries, by its own
+sizes, positions and a parity bitmap (a lower bound of the symmetric difference). Lists that may be longer than `LONG_LIST`
+are never gathered: their entries are counted by (size, position) cells, and the pairs of cells that are left are dealt out
+in blocks.
+
+Answer skipping: sets that share a minhash are first compared with the most central set of their group (the one with the
+fewest rare shingles), which leads them if they are similar. A pair that is still open is answered from its leaders' pair:
+that is compared once, and |a n b| differs from it by no more than a and b differ from their leaders. Only pairs that these
+bounds leave open are compared themselves; sets that are known to be in one component are not compared again. Every filter
+is lossless.
 
 Null or wordless text: n_shingles 0, own component. Fewer than k words: the whole sequence is the one shingle. Null
-doc_id: component null, no links. Rows repeated with one doc_id and text get one answer. Empty table: empty result.
+doc_id: component null, no links. Rows repeated with one doc_id and text get one answer; ties are links like any other. Very
+long texts are shingled whole. Empty table: empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from factloom.llm.graph import components
 
 K, PERCENT = 4, 85
 SKETCH_BITS, SKETCH_BLOCK, FILTER_BITS, SIG_WORDS, BLOCK = 20, 1 << 14, 24, 8, 512
+#: Lists of shingles that more documents may hold than these are dealt out by cells; sizes and positions of a cell are within CELL.
+LONG_LIST, CELL, PARTS = 4096, 1.1, 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _KEYS = [np.uint64(x) for x in (1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -87,9 +94,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def described(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest (null for empty sets), keys (minhashes), rarity, prefix (ordered hashes), sig (parity bits)."""
+    """doc_id, n, digest (null for empty sets), keys (minhashes), rarity, prefix (ordered hashes), short (how many of them are
+    in short lists only), sig (parity bits)."""
     counted = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("rarity", pa.float64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("rarity", pa.float64()), ("prefix", pa.list_(pa.int64())), ("short", pa.int32()), ("sig", pa.binary())])
 
     def run(batches):
         order = counted.value
@@ -99,7 +107,7 @@ def described(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
                 for s in shingle_sets(filled(part.column("text")), k):
                     out["n"].append(len(s))
                     if not len(s):
-                        for c in ("digest", "keys", "rarity", "prefix", "sig"):
+                        for c in ("digest", "keys", "rarity", "prefix", "short", "sig"):
                             out[c].append(None)
                         continue
                     c = order[_bucket(s)]
@@ -110,14 +118,18 @@ def described(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
                     out["rarity"].append(float((1.0 / c).mean()))
                     # a bucket that counts one document holds no shared shingle
                     out["prefix"].append(np.where(c[first] > 1, s[first], np.uint64(0)).view(np.int64))
+                    out["short"].append(int((c[first] <= LONG_LIST).sum()))
                     out["sig"].append(np.packbits(bits.astype(np.uint8)).tobytes())
                 yield rows({"doc_id": part.column("doc_id")} | out, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, rarity double, prefix array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, rarity double, prefix array<long>, short int, sig binary")
+
+
+ANSWERS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("linked", pa.bool_())])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Only documents that a fixed 2 MB bitmap of the pairs' ids may
+    """The pairs (a, b) with both (elements in common), n_a, n_b and linked (whether they reach the threshold). Only documents that a fixed 2 MB bitmap of the pairs' ids may
     hold are read out; each pair meets its two sets by joins on the ids."""
     place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -154,13 +166,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = K, percent: int = PERCE
                 small, large = (own, other) if len(own) < len(other) else (other, own)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(own) + len(other) - both):
-                    out.append((x, y))
-            yield rows({"a": [x for x, _ in out], "b": [y for _, y in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                out.append((x, y, both, len(own), len(other), 100 * both >= percent * (len(own) + len(other) - both)))
+            yield rows({f.name: [r[k] for r in out] for k, f in enumerate(ANSWERS)}, ANSWERS)
 
     one = pairs.join(sets.withColumnsRenamed({"id": "b", "s": "t"}), "b")
     two = one.join(sets.withColumnRenamed("id", "a"), "a")
-    out = materialize(two.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long"), "links")
+    out = materialize(two.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long, both long, n_a long, n_b long, linked boolean"), "answers")
     discard(sets)
     return out
 
@@ -173,12 +184,32 @@ def star_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     return materialize(each.join(lead, ["k", "key"]).filter((F.col("doc_id") != F.col("lead.doc_id")) & near).select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "star-pairs")
 
 
+def long_lists(post: DataFrame, percent: int) -> DataFrame:
+    """Of postings (h, doc_id, n, pos, comp) of long lists: entries in pairs of blocks (h, x, y, side, ...), as open_pairs
+    has them. What is gathered are counts by cell; a block has about BLOCK entries of a cell."""
+    behind, log = F.col("n") - F.col("pos"), lambda c: F.floor(F.log(c) / F.lit(float(np.log(CELL)))).cast("long")
+    held = materialize(post.select("h", "doc_id", "n", "pos", "comp", (log(F.col("n")) * 1000 + log(behind)).alias("cell")), "long-lists")
+    cells = materialize(held.groupBy("h", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(behind).alias("behind"), F.min("comp").alias("low"), F.max("comp").alias("high")), "cells")
+    names = ("cell", "parts", "least", "most", "behind", "low", "high")
+    a, b = (cells.select("h", *[F.col(c).alias(c + side) for c in names]) for side in "xy")
+    need = F.ceil((F.col("leastx") + F.col("leasty")) * percent / F.lit(100 + percent))
+    one = (F.least("lowx", "lowy") == F.greatest("highx", "highy"))
+    fits = (F.col("cellx") >= F.col("celly")) & (F.least("behindx", "behindy") >= need) & (F.greatest("leastx", "leasty") * percent <= F.least("mostx", "mosty") * 100) & ~one
+    part = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    pairs = a.join(b, "h").filter(fits).withColumn("px", part("partsx")).withColumn("py", part("partsy")).filter("cellx <> celly OR px >= py")
+    pairs = materialize(pairs.select("h", (F.col("cellx") * PARTS + F.col("px")).alias("x"), (F.col("celly") * PARTS + F.col("py")).alias("y")), "cell-pairs")
+    block = F.col("cell") * PARTS + F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    dealt = held.join(cells.select("h", "cell", "parts"), ["h", "cell"]).select("h", block.alias("block"), "doc_id", "n", "pos", "comp")
+    sides = [dealt.withColumnRenamed("block", own).join(of, ["h", own]).select("h", "x", "y", F.lit(k).alias("side"), "doc_id", "n", "pos", "comp") for k, (own, of) in enumerate((("x", pairs), ("y", pairs.filter("x <> y"))))]
+    return sides[0].unionByName(sides[1])
+
+
 def open_pairs(reps: DataFrame, comps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs of different components, through the prefix index."""
     own = F.coalesce("component_id", "doc_id").alias("comp")
-    known = materialize(reps.select("doc_id", "n", "prefix", "sig").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "prefix", "sig", own), "prefixes")
-    post = known.select("doc_id", "n", "comp", F.posexplode("prefix").alias("pos", "h")).filter("h <> 0")
-    entry = pa.schema([("h", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("side", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("comp", pa.int64())])
+    known = materialize(reps.select("doc_id", "n", "prefix", "short", "sig").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "prefix", "short", "sig", own), "prefixes")
+    post = known.select("doc_id", "n", "comp", "short", F.posexplode("prefix").alias("pos", "h")).filter("h <> 0")
+    entry = pa.schema([("h", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("comp", pa.int64())])
 
     def lists(batches):
         """Entries of lists with more than one component, cut into pairs of blocks."""
@@ -201,14 +232,19 @@ def open_pairs(reps: DataFrame, comps: DataFrame, percent: int = PERCENT) -> Dat
         size = np.diff([*start, len(col["h"])])
         mixed = np.minimum.reduceat(col["comp"], start) != np.maximum.reduceat(col["comp"], start)
         for first, m in zip(start[mixed], size[mixed], strict=True):
-            parts = -(-m // BLOCK)
+            parts, at = -(-m // BLOCK), np.arange(first, first + m)
+            if parts > 1:
+                at = at[np.lexsort((col["pos"][at], (np.log(col["n"][at]) / np.log(CELL)).astype(np.int64)))]
+            blocks = np.array_split(at, parts)
+            least, most = (np.array([f(col["n"][k]) for k in blocks]) for f in (np.min, np.max))
+            behind = np.array([(col["n"][k] - col["pos"][k]).max() for k in blocks])
             for x in range(parts):
-                for y in range(x + 1):
-                    if x != y and col["n"][first + min(m, (y + 1) * BLOCK) - 1] * 100 < col["n"][first + x * BLOCK] * percent:
-                        continue
+                need = -(-percent * (least[x] + least[: x + 1]) // (100 + percent))
+                fits = (np.minimum(behind[x], behind[: x + 1]) >= need) & (np.maximum(least[x], least[: x + 1]) * percent <= np.minimum(most[x], most[: x + 1]) * 100)
+                for y in np.flatnonzero(fits):
                     for side, z in ((0, x), (1, y)) if x != y else ((0, x),):
-                        at = np.arange(first + z * BLOCK, first + min(m, (z + 1) * BLOCK))
-                        yield rows({"h": col["h"][at], "x": np.full(len(at), x), "y": np.full(len(at), y), "side": np.full(len(at), side)} | {c: col[c][at] for c in ("doc_id", "n", "pos", "comp")}, entry)
+                        k = blocks[z]
+                        yield rows({"h": col["h"][k], "x": np.full(len(k), x), "y": np.full(len(k), y), "side": np.full(len(k), side)} | {c: col[c][k] for c in ("doc_id", "n", "pos", "comp")}, entry)
 
     def merged(it):
         held, count = [], 0
@@ -221,8 +257,12 @@ def open_pairs(reps: DataFrame, comps: DataFrame, percent: int = PERCENT) -> Dat
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    ordered = post.repartition("h").sortWithinPartitions("h", "n", "doc_id").select("h", "doc_id", "n", "pos", "comp")
-    entries = materialize(ordered.mapInArrow(lambda it: merged(lists(it)), "h long, x int, y int, side int, doc_id long, n long, pos int, comp long"), "postings")
+    ordered = post.filter("pos < short").repartition("h").sortWithinPartitions("h", "n", "doc_id").select("h", "doc_id", "n", "pos", "comp")
+    entries = ordered.mapInArrow(lambda it: merged(lists(it)), "h long, x long, y long, side int, doc_id long, n long, pos int, comp long")
+    long_ones = post.filter("pos >= short")
+    if not long_ones.isEmpty():
+        entries = entries.unionByName(long_lists(long_ones, percent))
+    entries = materialize(entries, "postings")
     full = entries.join(known.select("doc_id", "sig"), "doc_id").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "side")
 
     def pairs(batches):
@@ -269,16 +309,43 @@ def open_pairs(reps: DataFrame, comps: DataFrame, percent: int = PERCENT) -> Dat
     return out
 
 
+def answers(pairs: DataFrame, near: DataFrame, comps: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links (a, b) among open pairs that join components. near: links of leaders (a) to the sets that they lead (b),
+    with what they have in common; comps: the components that these make."""
+    led = near.groupBy(F.col("b").alias("s")).agg(F.max(F.struct("both", "a", "n_a", "n_b")).alias("l"))
+    led = led.select("s", F.col("l.a").alias("lead"), (F.col("l.n_b") - F.col("l.both")).alias("more"), (F.col("l.n_a") - F.col("l.both")).alias("less"))
+    of = lambda c: led.withColumnsRenamed({"s": c, "lead": f"lead_{c}", "more": f"more_{c}", "less": f"less_{c}"})
+    each = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    each = each.select("a", "b", F.coalesce("lead_a", "a").alias("p"), F.coalesce("lead_b", "b").alias("q"), *[zero(f"{x}_{c}") for x in ("more", "less") for c in "ab"])
+    each = materialize(each.withColumns({"p": F.least("p", "q"), "q": F.greatest("p", "q")}), "pairs-and-leaders")
+    led_pairs = verified(each.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), docs, k, percent)
+    linked = led_pairs.filter("linked").select("a", "b")
+    now = materialize(components(comps.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(linked)), "leaders-components")
+    own = lambda c: now.select(F.col("node").alias(c), F.col("component_id").alias(f"c_{c}"))
+    size = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"))
+    rest = each.filter("NOT ((a = p AND b = q) OR (a = q AND b = p))").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    rest = rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).join(size("a"), "a").join(size("b"), "b")
+    rest = rest.join(led_pairs.select(F.col("a").alias("p"), F.col("b").alias("q"), "both"), ["p", "q"])
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
+    most = F.least(F.col("both") + F.col("more_a") + F.col("more_b"), F.col("n_a"), F.col("n_b"))
+    least = F.col("both") - F.col("less_a") - F.col("less_b")
+    rest = materialize(rest.filter(most >= need).select("a", "b", (least >= need).alias("sure")), "undecided")
+    out = linked.union(rest.filter("sure").select("a", "b"))
+    open_ = rest.filter("NOT sure").select("a", "b")
+    return out if open_.isEmpty() else out.union(verified(open_, docs, k, percent).filter("linked").select("a", "b"))
+
+
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     base = materialize(described(docs, k, percent), "shingled")
     classes = materialize(base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("size")), "set-classes")
     reps = materialize(base.join(classes.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "set-reps")
-    near = verified(star_pairs(reps, percent), docs, k, percent)
-    first = materialize(components(near), "first-components")
-    more = verified(open_pairs(reps, first, percent), docs, k, percent)
-    whole = first.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more.select("a", "b"))
+    near = verified(star_pairs(reps, percent), docs, k, percent).filter("linked")
+    first = materialize(components(near.select("a", "b")), "first-components")
+    more = answers(open_pairs(reps, first, percent), near, first, reps.select("doc_id", "n"), docs, k, percent)
+    whole = first.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more)
     comps = components(whole).withColumnRenamed("node", "rep_id")
     found = materialize(classes.join(comps, "rep_id", "left").select("digest", "size", F.coalesce("component_id", "rep_id").alias("root")), "set-components")
     discard(reps)

@@ -160,8 +160,11 @@ def plain_sets(texts, k=4):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_jaccard(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "long_list"), [(4, 85, None), (5, 80, 2)])
+def test_jaccard(spark, monkeypatch, k, percent, long_list):
+    if long_list:  # nearly all lists are dealt out by cells, in small blocks
+        monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+        monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=3))
     texts = []
@@ -182,6 +185,22 @@ def test_jaccard(spark, k, percent):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_long_lists_are_dealt_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    rng = random.Random(3)
+    rows = [(7, k, n := rng.randint(20, 400), rng.randint(0, n // 5), k) for k in range(3000)]
+    post = spark.createDataFrame(rows, "h long, doc_id long, n long, pos int, comp long")
+    out = jaccard_join.long_lists(post, 85).toPandas()
+    sizes = out.groupby(["x", "y", "side"]).size()
+    assert sizes.max() <= 3 * 32
+    met = set()
+    for _, own in out.groupby(["x", "y"]):
+        left, right = own[own.side == 0].doc_id.tolist(), own[own.side == 1].doc_id.tolist()
+        met |= {(min(a, b), max(a, b)) for a in left for b in (right or left) if a != b}
+    could = {(a[1], b[1]) for i, a in enumerate(rows) for b in rows[i + 1 :] if min(a[2] - a[3], b[2] - b[3]) >= -(-85 * (a[2] + b[2]) // 185)}
+    assert could and could <= met and len(met) < 3000 * 2999 / 2
+
+
 def test_jaccard_null_ids_and_empty(spark):
     got = jaccard_join.jaccard_components(docs(spark, ["a b c d e", "a b c d e", "a b c d e", "a b c d e"], [None, 4, 4, 2])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("2", "2"), ("4", "2"), ("4", "2"), ("None", "None")]
