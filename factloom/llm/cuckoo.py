@@ -67,12 +67,15 @@ class CuckooFilter:
         return np.sort(np.concatenate(without)) if without else left
 
     def insert(self, words: np.ndarray) -> np.ndarray:
-        """Numbers of the keys that found no place."""
+        """Numbers of the keys that found no place: those from the first on for which moving others was of no use."""
         mark, a, b = self._places(words)
         none = np.zeros_like(mark)
         left = self._change(mark, a, np.arange(len(words)), none, mark)
         left = self._change(mark, b, left, none, mark)
-        return np.array([k for k in left if not self._kick(mark[k], int(b[k]))], np.int64)
+        for n, k in enumerate(left):
+            if not self._kick(mark[k], int(b[k])):
+                return left[n:]
+        return left[:0]
 
     def _kick(self, mark: np.uint16, at: int) -> bool:
         """Moves others from bucket to bucket until one has room; all go back if none has."""
@@ -81,7 +84,7 @@ class CuckooFilter:
             slot = kick % SLOTS
             moved.append((at, slot, self.slots[at, slot]))
             mark, self.slots[at, slot] = self.slots[at, slot], mark
-            at = int(self._other(np.array([mark]), np.array([at]))[0])
+            at ^= int(mark) * 0x5BD1E995 & (self.buckets - 1)
             free = np.flatnonzero(self.slots[at] == 0)
             if len(free):
                 self.slots[at, free[0]] = mark
@@ -169,7 +172,7 @@ class CuckooIndex:
             if len(self.blocks) > BLOCKS:
                 merged = grouped(np.concatenate([b[0] for b in self.blocks]), [np.concatenate(c) for c in zip(*(b[1] for b in self.blocks), strict=True)], self.merges)
                 self.blocks = [merged]
-            if len(self.filter.insert(words[new])):
+            if self.count > LOAD * self.filter.slots.size or len(self.filter.insert(words[new])):
                 self.resized += 1
                 self.filter = filter_of(np.concatenate([b[0] for b in self.blocks]), 2 * self.count)
 
