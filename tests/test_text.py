@@ -78,3 +78,39 @@ def test_json_claims(spark):
     df = spark.createDataFrame(rows, "k int, text string, reply string")
     got = {(r.k, r.subject, r.predicate, r.object, r.confidence) for r in extract.with_fallback(df, "k", "text", "reply").collect()}
     assert got == {(0, "s", "unknown", "", 0.8), (1, "Ann", "wrote", "Bob", 0.7), (3, "Ann", "wrote", "Bob", 0.7)}
+
+
+def test_every_verb(spark):
+    """One sentence per verb, in the order tried, with the triple that is expected of it."""
+    want = {
+        "The mill is situated in Ghent.": ("The mill", "located_in", "Ghent"),
+        "Acme was founded in 1901.": ("Acme", "founded_in", "1901"),
+        "Ann was born in Rome.": ("Ann", "born_in", "Rome"),
+        "Ann died in Oslo.": ("Ann", "died_in", "Oslo"),
+        "Ann discovered radon.": ("Ann", "discovered", "radon"),
+        "Ann invented a lamp.": ("Ann", "invented", "a lamp"),
+        "Ann proposed a law.": ("Ann", "proposed", "a law"),
+        "Ann developed an engine.": ("Ann", "developed", "an engine"),
+        "Ann created Loom.": ("Ann", "created", "Loom"),
+        "Ann wrote Hamlet.": ("Ann", "wrote", "Hamlet"),
+        "Ann published it all.": ("Ann", "published", "it all"),
+        "Rome is the capital of Italy.": ("Rome", "capital_of", "Italy"),
+        "Gent is part of Flanders.": ("Gent", "part_of", "Flanders"),
+        "Ann is a member of the club.": ("Ann", "member_of", "the club"),
+        "Ann has a cat.": ("Ann", "has", "a cat"),
+        "Milk contains fat.": ("Milk", "contains", "fat"),
+        "Ann announced a plan.": ("Ann", "announced", "a plan"),
+        "Prices went up by 3%.": ("Prices", "increased_by", "3%"),
+        "Prices fell by 4 points.": ("Prices", "decreased_by", "4 points"),
+        "Water is a liquid.": ("Water", "is_a", "liquid"),
+        "Snow is white.": ("Snow", "is", "white"),
+        "Snow was white.": ("Snow", "was", "white"),
+    }
+    assert [p for _, p, _ in want.values()] == [p for p, _ in extract.VERBS]
+    got = {r.raw: (r.subject, r.predicate, r.object) for r in extract.extract_claims(spark.createDataFrame([(0, " ".join(want))], "k int, text string"), "k").collect()}
+    assert got == want
+
+
+def test_white_space_is_unicode(spark):
+    assert column(spark, ["\u00a0 a\u2003b \u3000\n", "\x0b\x85x"], tx.strip(F.col("c"))) == ["a\u2003b", "x"]
+    assert column(spark, ["One.\u00a0Two!\u2003 Three?Four"], tx.sentences(F.col("c"))) == [["One.", "Two!", "Three?Four"]]
