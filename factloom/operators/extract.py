@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import SPACE, json_array, sentences, signature, strip
-
 # Predicates and the verb phrases that state them, in the order in which they are tried.
 VERBS = [
     ("located_in", r"(?:is|are|was|were)\s+(?:located|situated)\s+in"),

@@ -45,7 +45,7 @@ def ranked(triples: DataFrame, facts: DataFrame, top_k: int, least: float, simil
     """subject, predicate, object, rank, rel_id, fact_seq, fact, score: the top_k facts of each distinct triple among
     those of at least the score `least`, best first, ties in order of the facts. similar: cosines of hash embeddings, or
     "ratio", the strings' ratios."""
-    t, facts = cut(triples.select(*TRIPLE).distinct()), cut(facts.select("fact_seq", "rel_id", "s_label", "p_canon", "p_canon2", "o_label"))
+    t = cut(triples.select(*TRIPLE).distinct())
     form = hash_bag if similar == "hash" else norm_text
     measure = (lambda a, b: integer_cosines(bag_matrix(a), bag_matrix(b))) if similar == "hash" else string_ratios
     asked = t.select(*TRIPLE, form(F.col("subject")).alias("s"), form(canon_predicate(F.col("predicate"))).alias("p"), form(F.col("object")).alias("o"))
@@ -80,7 +80,11 @@ def closest(triples: DataFrame, facts: DataFrame, similar: str = "hash") -> Data
 def probe_claims(claims: DataFrame, facts: DataFrame, keys: list[str], threshold: float = THRESHOLD, contradiction_check: bool = True, similar: str = "hash") -> DataFrame:
     """claims with verdict, score, matched_facts, rel_id (the proof's relation) and reason. Scores are worked out once,
     for the claims that neither match nor contradict."""
-    claims, facts = cut(claims), cut(facts)
+    return _probed(cut(claims), cut(facts), keys, threshold, contradiction_check, similar)
+
+
+def _probed(claims: DataFrame, facts: DataFrame, keys: list[str], threshold: float, contradiction_check: bool, similar: str) -> DataFrame:
+    """probe_claims of tables that are worked out."""
     c = exact_matches(claims, facts)
     if contradiction_check:
         c = c.join(contradictions(claims, facts, keys), keys, "left")
@@ -106,8 +110,8 @@ def probe_claims(claims: DataFrame, facts: DataFrame, keys: list[str], threshold
 
 def probe_texts(texts: DataFrame, facts: DataFrame, key: str, column: str = "text", threshold: float = THRESHOLD, contradiction_check: bool = True, similar: str = "hash") -> DataFrame:
     """Probe every claim of every text; a text without claims gives one UNKNOWN row."""
-    claims = extract_claims(texts, key, column)
-    found = probe_claims(claims, facts, [key, "claim_idx"], threshold, contradiction_check, similar)
+    claims = cut(extract_claims(texts, key, column))
+    found = _probed(claims, cut(facts), [key, "claim_idx"], threshold, contradiction_check, similar)
     empty = texts.join(claims.select(key).distinct(), key, "left_anti")
     unknown = empty.select(key, F.lit(0).alias("claim_idx"), F.lit("").alias("subject"), F.lit("unknown").alias("predicate"), F.lit("").alias("object"), F.col(column).alias("raw"), F.lit(1.0).alias("confidence"), F.lit("UNKNOWN").alias("verdict"), F.lit(0.0).alias("score"), F.array().cast("array<struct<subject:string,predicate:string,object:string>>").alias("matched_facts"), F.lit(None).cast("string").alias("proof_rel"), F.lit("No claims could be extracted from text.").alias("reason"))
     return found.unionByName(unknown)

@@ -14,6 +14,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for work on rows that costs far more than moving them: dealt to all cores if it is read in fewer parts than
+    there are. A table of many files is left as it is."""
+    df, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers are located in nations, nations are part of regions."""
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
@@ -87,7 +94,7 @@ def item_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, text, reply: JSON lists of claims, empty lists, malformed ones and plain words."""
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    e = dealt(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     k = F.col("event_id") % 5
     user = F.concat(F.lit("user "), F.col("user_id").cast("string"))
     reply = (

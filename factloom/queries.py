@@ -10,7 +10,7 @@ from factloom.functions import text as tx
 from factloom.operators import evaluate, extract, ground, kb, memory, mirror, probe, store, strategies
 from factloom.plans import slices
 from factloom.plans.oracles import ORACLE
-from factloom.plans.slices import THRESHOLD, read
+from factloom.plans.slices import THRESHOLD, dealt, read
 from factloom.sources import fixtures, io
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -28,7 +28,7 @@ def query(f):
 
 @query
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("idx", "sentence"))
+    return dealt(spark, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("idx", "sentence"))
 
 
 @query
@@ -97,12 +97,12 @@ def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extract_claims_documents(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract_claims(read(spark, d, "documents"), "doc_id")
+    return extract.extract_claims(dealt(spark, d, "documents"), "doc_id")
 
 
 @query
 def extract_claims_conversations(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations").withColumn("key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    c = dealt(spark, d, "conversations").withColumn("key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     return extract.extract_claims(c, "key")
 
 
@@ -241,7 +241,7 @@ def memory_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def memory_retrieve_keyword(spark: SparkSession, d: str) -> DataFrame:
-    hits = memory.retrieve_keyword(read(spark, d, "documents").select("doc_id", "text"), "doc_id", slices.memory(spark, d))
+    hits = memory.retrieve_keyword(dealt(spark, d, "documents").select("doc_id", "text"), "doc_id", slices.memory(spark, d))
     return hits.select("doc_id", "claim_id", F.round("score", 6).alias("score"), "rank")
 
 
