@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import queries
 from factloom.operators import evaluate
+from factloom.shipping import ship
 
 
 def main(args: list[str] | None = None) -> str:
@@ -20,6 +21,7 @@ def main(args: list[str] | None = None) -> str:
     parser.add_argument("--export", "-e", metavar="FILE", help="write the report as Markdown")
     asked = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
+    ship(spark)
     results, available = queries.evaluated(spark), evaluate.statuses(spark)
     if asked.algorithm != "all":
         results, available = results.filter(F.col("algo") == asked.algorithm), available.filter(F.col("algo") == asked.algorithm)
