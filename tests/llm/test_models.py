@@ -234,6 +234,48 @@ def test_lm_base_and_score(spark):
     assert (got.score < 0).all() and got[~got.held_out].score.sum() > got[~got.held_out].base_score.sum()
 
 
+def test_lm_score_equals_plain_loops(spark, monkeypatch):
+    """The score of each text, from the fitted tables, one id and one word at a time."""
+    rng = random.Random(9)
+    pool = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(40)]
+    texts = [" ".join(rng.choices(pool, weights=range(40, 0, -1), k=n)) for n in (1, 3, 9, 25, 70, 140)] + ["", "é日本 zzzz Unseen"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fit, kept = lm.fit, {}
+    monkeypatch.setattr(lm, "fit", lambda train, frequent, *a: kept.update(m=fit(train, frequent, *a), f=frequent) or kept["m"])
+    monkeypatch.setattr(lm, "HOT", 20)  # so that some words are frequent and others are not
+    train = d.filter("doc_id < 6")
+    got = {r.doc_id: r for r in lm.score(d, train).collect()}
+    m, frequent, encoder = kept["m"], kept["f"], lm.Encoder(lm.load())
+    c = Counter(w for t in texts[:6] for w in t.split())
+    n_all, ends = sum(c.values()) + 6, 6
+    hot = {w: int(frequent.find(hashes(pa.array([w])))[0]) for w in c if c[w] >= max(2, n_all // 20)}
+    assert 0 < len(hot) < len(c)
+    unseen = min(0.5, max(1e-3, sum(x == 1 for x in c.values()) / n_all))
+    share = (sum(c[w] for w in hot) + ends) / n_all
+    begins = m.u[encoder.begins].sum(0)
+    for k, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", az(t))
+        ids, first = [encoder.end], []
+        for w in words:
+            first.append(len(ids))
+            ids += encoder.bpe.encode_ordinary(" " + w)
+        ids.append(encoder.end)
+        g = [None]
+        for to in range(1, len(ids)):
+            j = to - 1
+            keys = range(max(0, (j // lm.STRIDE - 1) * lm.STRIDE), j + 1)
+            a = np.array([np.exp(float(m.q[ids[j]] @ m.k[ids[i]]) + float(m.distance[j - i])) for i in keys])
+            z = (a[:, None] * np.stack([m.v[ids[i]] for i in keys])).sum(0) / a.sum() + m.r[ids[j]]
+            g.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        total = 0.0
+        for w, at, stop in zip([*words, None], [*first, len(ids) - 1], [*first[1:], len(ids) - 1, None], strict=False):
+            spelled = np.prod([g[i] @ m.u[ids[i]] for i in range(at, stop if w else at + 1)]) / (g[at] @ begins) * (g[stop] @ begins if w else 1.0)
+            whole = frequent.end if w is None else hot.get(w)
+            counted = share * (g[at] @ m.w[whole]) if whole is not None else c[w] / n_all
+            total += np.log10((1 - unseen) * counted + unseen * spelled)
+        assert got[k].score == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
 def test_lm_edges(spark):
     d = edge_docs(spark).select("doc_id", "text")
     out = lm.score(d, d).collect()
@@ -346,6 +388,57 @@ def test_language_mixture_and_edges(spark):
     assert kept.columns == edge_docs(spark).columns and {r.doc_id for r in kept.collect()} >= {4, 5, None}
 
 
+def plain_languages(text, logp, rounds=8, penalty=3.0):
+    """Proportions by plain loops: words of letters' bytes, their trigrams, expectation-maximisation, penalised sets."""
+    data = [x if chr(x).isascii() and chr(x).isalpha() or x >= 128 else 32 for x in text.lower().encode()]
+    buf = [32, *data, 32]
+    words, own = [], None
+    for i in range(1, len(buf) - 1):
+        if buf[i] == 32:
+            own = None
+            continue
+        code = buf[i - 1] | buf[i] << 8 | buf[i + 1] << 16
+        if own is None:
+            own = np.zeros(logp.shape[1])
+            words.append(own)
+        own += logp[(code * 0x9E3779B1 & 0xFFFFFFFF) >> 16]
+    p = [np.exp(w - w.max()) + 1e-4 for w in words]
+
+    def em(langs):
+        pi = np.array([1.0 / len(langs) if k in langs else 0.0 for k in range(logp.shape[1])])
+        for _ in range(rounds):
+            pi = np.mean([x * pi / (x @ pi) for x in p], axis=0)
+        return pi, sum(np.log(x @ pi) for x in p)
+
+    start, _ = em(set(range(logp.shape[1])))
+    order = sorted(range(logp.shape[1]), key=lambda k: (-start[k], k))
+    best, value = np.eye(logp.shape[1])[order[0]], sum(np.log(x[order[0]]) for x in p)
+    for k in range(2, logp.shape[1] + 1):
+        if start[order[k - 1]] <= 0.01:
+            break
+        pi, like = em(set(order[:k]))
+        gain = like - penalty * (k - 1) * np.log(len(p) + 1.0)
+        if gain > value:
+            best, value = pi, gain
+    return best
+
+
+def test_language_equals_plain_loops(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, logp = langid.fit_documents(d)
+    rows = d.filter("n_chars BETWEEN 50 AND 600").orderBy("doc_id").limit(12).collect()
+    texts = [r.text for r in rows] + [rows[0].text + " " + rows[1].text, "Ünï còdé", "one", "a b c"]
+    got = langid.infer(pa.array(texts, pa.large_string()), logp)
+    for t, pi in zip(texts, got, strict=True):
+        assert pi == pytest.approx(plain_languages(t, logp.astype(np.float64)), abs=1e-3)
+
+
+def test_language_ties_go_to_the_first(spark):
+    d = spark.createDataFrame([(k, "la la la", lang, "s", 0) for k, lang in enumerate(["b", "a"] * 8)], DOCS)
+    langs, logp = langid.fit(d)
+    assert langs == ["a", "b"] and {r.lang_pred for r in langid.predict(d, langs, logp).collect()} == {"a"}
+
+
 def test_language_mixture_of_four(spark):
     d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
     langs, logp = langid.fit_documents(d)
@@ -378,6 +471,40 @@ def test_warc_round_trip(spark):
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 
 
+def plain_sample(docs):
+    """doc_ids that mixing keeps, by plain loops over cells."""
+
+    def topic(t):
+        marks = [(" | ", "table"), ("!!", "shout"), ("###", "symbols"), ("***", "symbols")]
+        return next((n for m, n in marks if m in t), "licensed" if "licens" in t.lower() else "paragraphs" if "\n" in t else "line")
+
+    of = {i: (r.source, r.lang, topic(r.text)) for i, r in docs.items()}
+    tokens = Counter()
+    for i, r in docs.items():
+        tokens[of[i]] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    whole = sum(tokens.values())
+    w, full = {c: n / whole for c, n in tokens.items()}, {c: n / whole / mixing.SHARE for c, n in tokens.items()}
+    target = []
+    for k, dim in enumerate(mixing.DIMS):
+        sums = Counter()
+        for c, n in tokens.items():
+            sums[c[k]] += n
+        total = sum(x ** mixing.TARGETS[dim] for x in sums.values())
+        target.append({v: x ** mixing.TARGETS[dim] / total for v, x in sums.items()})
+    for _ in range(mixing.SWEEPS):
+        for k in range(3):
+            for v, t in target[k].items():
+                own = [c for c in w if c[k] == v]
+                margin, loose = sum(w[c] for c in own), sum(w[c] for c in own if w[c] < full[c])
+                for c in own:
+                    w[c] = w[c] * t / margin if t <= margin else min(full[c], w[c] * (t - margin + loose) / loose) if w[c] < full[c] else full[c]
+    scale = 1.0
+    for _ in range(200):
+        scale *= (1.0 / sum(min(full[c], w[c] * scale) for c in w)) ** 0.5 if sum(full.values()) > 1 else 1.0
+    draw = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32
+    return {i for i in docs if draw(i) < min(1.0, w[of[i]] * scale / full[of[i]])}
+
+
 def test_pipeline_equals_plain_version(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     alive = {i: r for i, r in docs.items() if re.search(r"[^\W\d_]", r.text or "")}
@@ -388,8 +515,7 @@ def test_pipeline_equals_plain_version(spark):
     sets = dict(zip(ids, plain_sets([docs[i].text for i in ids], 5).values(), strict=True))
     links = [(a, b) for a in ids for b in ids if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     ids = [i for i, c in components(ids, links).items() if i == c]
-    left = spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("doc_id").isin(ids))
-    want = {r.doc_id for r in mixing.mix(left).filter("sampled").collect()}
+    want = plain_sample({i: docs[i] for i in ids})
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == want and len(got) == len(want)
     m = pieces.Pieces(pieces.load())
@@ -398,9 +524,15 @@ def test_pipeline_equals_plain_version(spark):
 
 
 def test_pipeline_stages_keep_columns(spark):
-    docs = edge_docs(spark)
+    """Columns of any name come through with their values, also those that look like an operator's own."""
+    odd = ["a.b", "__sha", "__source", "row", "id", "sha", "c0", "text_sha256", "component_id", "topic", "Prob", "n_tokens", "sp ace", "back`tick"]
+    docs = first = edge_docs(spark).select("*", *[F.concat(F.lit(f"{x} "), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).alias(x) for x in odd if x.lower() not in ("prob",)])
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
-        assert docs.columns == edge_docs(spark).columns, name
+        assert docs.columns == first.columns, name
+        for r in docs.collect():
+            own = r.asDict()
+            assert all(own[x] == f"{x} {-1 if r.doc_id is None else r.doc_id}" for x in odd if x in own), name
+        assert stage(spark, first.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
     assert {r.doc_id for r in docs.collect()} <= {4, 5, 6, 7, None}
