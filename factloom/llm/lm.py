@@ -12,9 +12,15 @@ its first id is drawn from those that begin a word, the others follow, and the w
 one, so the spellings of all words and the end add up to 1. The weight of spelling is the Good-Turing share of unseen
 words; a word's probability is the sum.
 
-Training: the attention weights are fitted on a sample of at most `FIT_WINDOWS` spans (documented bound). The emissions
-U and W are then re-estimated by an expectation step over all windows of every training text, and word and subword
-counts cover all training texts, so what is gathered grows with the corpus.
+Training has no sample: every window of every training text counts in the attention weights, the emissions U and W and
+the word and subword counts. A task takes Adagrad steps over the windows of its texts and re-estimates U on the way (EM
+over a running mean); the tasks' weights are then averaged, each id's by how often a task had it, and their expectations
+added up. The texts are dealt to rounds by a hash, each `ROUND` times as large as the one before, so that tasks that
+learn at a time start from what all have learnt so far; a pass has each text in one round. U and W are made from the
+expectations of the whole last pass, each taken under the weights of its time. Small corpora are passed over as often as
+`ENOUGH` words hold them (once at least, `PASSES` times at most). A task has about `LESSON` words or more, as far as
+there are, since a few steps from different texts do not average well. The weights depend on how the rows are dealt to
+tasks.
 
 The base score is the add-one unigram model over words and ends. Words with at least 1/HOT of all tokens (so at most
 `HOT` of them, whatever the corpus) are the frequent ones and are broadcast; all others are joined by a 64-bit hash.
@@ -27,6 +33,7 @@ is 0, and the model is untrained but proper. Empty table: empty result. Columns
 from __future__ import annotations
 
 import base64
+import copy
 import re
 from itertools import chain
 
@@ -36,10 +43,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_of, filled, hashes, held_out, materialize, raw, reduced, rows, table, text_slices, words_of
+from factloom.llm.common import filled, hashes, held_out, materialize, raw, rows, table, text_slices, words_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-CONTEXT, STRIDE, WIDTH, MIX, FIT_WINDOWS, SPAN, HOT = 16, 16, 16, 16, 3000, 64, 150_000
+CONTEXT, STRIDE, WIDTH, MIX, HOT = 16, 16, 16, 16, 150_000
+#: Training: words of a task, growth of the rounds, words of a first round at most, words that several passes
+#: together have at most, passes at most.
+LESSON, ROUND, FIRST, ENOUGH, PASSES = 2 << 20, 16, 6 << 20, 2 << 20, 6
+#: Strides of a step of training, steps between two estimates of U, rows of a block that is sent.
+BLOCK, TURN, ROWS = 512, 16, 128
 #: Bytes of text that a worker holds as ids at a time.
 SLICE = 2 << 20
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
@@ -90,24 +102,38 @@ def _spread(values: np.ndarray, first: np.ndarray, codes: np.ndarray) -> tuple[n
     return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[codes] - ends + n, n)], ends
 
 
-def _scatter(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, and the sum of each one's rows of values (an even number of float32 columns)."""
+    if len(ids) and ids.max() < 1 << 16:
+        ids = ids.astype(np.uint16)  # sorted by radix
     order = np.argsort(ids, kind="stable")
-    own = ids[order]
+    own = ids[order].astype(np.int64)
     first = np.flatnonzero(np.diff(own, prepend=-1))
-    return own[first], np.add.reduceat(values[order], first, axis=0)
+    # two columns at once, as the parts of a complex number
+    return own[first], np.add.reduceat(np.take(values, order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
 
 
 class AttentionLM:
+    """Queries, keys, mixture weights of the current id and values are columns of one table, whose last row stands for
+    places outside a text."""
+
     def __init__(self, size: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         f = lambda n, s: rng.normal(0, s, (size, n)).astype(np.float32)
-        self.q, self.k, self.v, self.r = f(WIDTH, 0.1), f(WIDTH, 0.1), f(MIX, 0.1), f(MIX, 0.3)
-        self.u = np.exp(f(MIX, 1.0))
-        self.u /= self.u.sum(0)
+        self.p = np.zeros((size + 1, 2 * WIDTH + 2 * MIX), np.float32)
+        self.p[:-1] = np.concatenate([f(WIDTH, 0.1), f(WIDTH, 0.1), f(MIX, 0.3), f(MIX, 0.1)], 1)
+        self.running = np.exp(f(MIX, 1.0))
+        self.u = self.running / self.running.sum(0)
+        self.running *= np.float32(0.05)
         span = CONTEXT + STRIDE
         self.distance = np.zeros(span, np.float32)
         self.back = np.arange(CONTEXT, span)[:, None] - np.arange(span)[None, :]
-        self.grown = {n: np.full(getattr(self, n).shape, 1e-3, np.float32) for n in ("q", "k", "v", "r", "distance")}
+        self.grown, self.grown_distance = np.full((size + 1, 4), 1e-3, np.float32), np.full(span, 1e-3, np.float32)
+
+    q = property(lambda self: self.p[:-1, :WIDTH])
+    k = property(lambda self: self.p[:-1, WIDTH : 2 * WIDTH])
+    r = property(lambda self: self.p[:-1, 2 * WIDTH : 2 * WIDTH + MIX])
+    v = property(lambda self: self.p[:-1, 2 * WIDTH + MIX :])
 
     @staticmethod
     def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,19 +161,19 @@ class AttentionLM:
         g /= g.sum(2, keepdims=True)
         return a, g, keys, values, queries
 
-    def ready(self, starts: np.ndarray) -> None:
-        """Tables for scoring: a last row for places outside a text, the factor of each distance, and each component's
-        share of ids that begin a word (or end the text)."""
-        pad = lambda x: np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
-        self.tables = pad(self.q), pad(self.k), pad(self.v), pad(self.r)
+    def closeness(self) -> None:
+        """The factor of each distance."""
         self.near = np.where(self.back >= 0, np.exp(self.distance)[np.maximum(self.back, 0)], 0.0).astype(np.float32)
+
+    def ready(self, starts: np.ndarray) -> None:
+        """For scoring: the factor of each distance, and each component's share of ids that begin a word (or end the text)."""
+        self.closeness()
         self.begins = self.u[starts].sum(0)
 
-    def mixtures(self, ids: np.ndarray, bounds: np.ndarray, block: int = 1024):
-        """For sequences between bounds, block by block: mixture weights (not yet divided by their sum) and places of the
-        ids that they predict. Texts are laid out in strides, each after a stride of places that count nothing, so
+    def strides(self, ids: np.ndarray, bounds: np.ndarray, block: int):
+        """For sequences between bounds, block by block: input ids, places of the ids that they predict (-1: none), and
+        which strides begin a text. Texts are laid out in strides, each after a stride of places that count nothing, so
         a window is a stride and the one before it, and neighbours share their rows."""
-        q, k, v, r = self.tables
         n = np.maximum(0, np.diff(bounds) - 1)
         strides = -(-n // STRIDE)
         first = np.cumsum(strides + 1) - strides
@@ -157,20 +183,33 @@ class AttentionLM:
         alone[first] = True
         x, to = np.full(total * STRIDE, len(self.u), np.int32), np.full(total * STRIDE, -1, np.int64)
         x[place], to[place] = ids[target - 1], target
-        ones = np.ones(2 * STRIDE, np.float32)
         for i in range(1, total, block):
             own = x[(i - 1) * STRIDE : (i + block) * STRIDE]
-            count = len(own) // STRIDE - 1
-            shape = lambda t: np.lib.stride_tricks.as_strided(t, (count, 2 * STRIDE, t.shape[1]), (STRIDE * t.strides[0], *t.strides))
-            a = np.take(q, own[STRIDE:], axis=0).reshape(count, STRIDE, -1) @ shape(np.take(k, own, axis=0)).transpose(0, 2, 1)
-            np.exp(np.minimum(a, 30.0, out=a), out=a)
-            a *= self.near
-            a[np.flatnonzero(alone[i : i + count]), :, :STRIDE] = 0.0
-            s = np.flatnonzero(to[i * STRIDE : (i + count) * STRIDE] >= 0)
-            g = np.take((a @ shape(np.take(v, own, axis=0))).reshape(-1, MIX), s, axis=0)
-            g /= ((a.reshape(-1, 2 * STRIDE) @ ones)[s] + np.float32(1e-20))[:, None]
-            g += np.take(r, own[STRIDE:][s], axis=0)
-            yield np.exp(np.minimum(g, 60.0, out=g), out=g), to[i * STRIDE : (i + count) * STRIDE][s]
+            yield own, to[i * STRIDE : (i - 1) * STRIDE + len(own)], np.flatnonzero(alone[i : i - 1 + len(own) // STRIDE])
+
+    def attend(self, own: np.ndarray, alone: np.ndarray):
+        """Attention (not yet divided by its sums), its sums, the values it gives, mixture weights (not yet divided by
+        their sums), queries, keys and values of strides that follow each other."""
+        rows, count = np.take(self.p, own, axis=0), len(own) // STRIDE - 1
+        windows = np.lib.stride_tricks.as_strided(rows, (count, 2 * STRIDE, rows.shape[1]), (STRIDE * rows.strides[0], *rows.strides))
+        current = rows[STRIDE:].reshape(count, STRIDE, -1)
+        q, k, v = current[:, :, :WIDTH], windows[:, :, WIDTH : 2 * WIDTH], windows[:, :, 2 * WIDTH + MIX :]
+        a = q @ k.transpose(0, 2, 1)
+        np.exp(np.minimum(a, 30.0, out=a), out=a)
+        a *= self.near
+        a[alone, :, :STRIDE] = 0.0
+        sums = a.reshape(-1, 2 * STRIDE) @ np.ones(2 * STRIDE, np.float32) + np.float32(1e-20)
+        given = (a @ v).reshape(-1, MIX)
+        given /= sums[:, None]
+        g = given + rows[STRIDE:, 2 * WIDTH : 2 * WIDTH + MIX]
+        return a, sums, given, np.exp(np.minimum(g, 60.0, out=g), out=g), q, k, v
+
+    def mixtures(self, ids: np.ndarray, bounds: np.ndarray, block: int = 1024):
+        """For sequences between bounds, block by block: mixture weights (not yet divided by their sum) and places of the
+        ids that they predict."""
+        for own, to, alone in self.strides(ids, bounds, block):
+            some = np.flatnonzero(to >= 0)
+            yield np.take(self.attend(own, alone)[3], some, axis=0), to[some]
 
     def log10(self, ids: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each id given what precedes it (0 for each start), the same of any id that begins a word
@@ -186,15 +225,69 @@ class AttentionLM:
         spelled[first] = begins[first] = 1.0
         return np.log10(spelled + 1e-30), np.log10(begins + 1e-30), emitted
 
-    def expect(self, ids: np.ndarray, bounds: np.ndarray, whole: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
-        """Adds the expected emissions of the sequences, up to the factor u or w of each, to sums (ids, words)."""
-        column = np.arange(MIX)
-        for g, to in self.mixtures(ids, bounds):
-            some = np.flatnonzero(whole[to] >= 0)
-            for out, emit, weights, what in ((sums[0], self.u, g, ids[to]), (sums[1], self.w, g[some], whole[to[some]])):
-                share = weights / (np.einsum("ij,ij->i", weights, np.take(emit, what, axis=0))[:, None] + np.float32(1e-30))
-                # the view has numpy's own float32, not a copy of it that came with the broadcast: add.at is fast with that only
-                np.add.at(out.reshape(-1), (what[:, None] * MIX + column).ravel(), share.ravel().view(np.float32))
+    def pupil(self, words: int) -> AttentionLM:
+        """A copy that learns, and counts what it has learnt from; words: how many frequent ones there are."""
+        out = copy.copy(self)
+        out.p, out.grown, out.distance, out.grown_distance, out.running = (x.copy() for x in (self.p, self.grown, self.distance, self.grown_distance, self.running))
+        out.fresh, out.expected, out.words = np.zeros_like(self.u), np.zeros_like(self.u), np.zeros((words, MIX), np.float32)
+        out.seen, out.steps, out.turns = np.zeros(len(self.u), np.int64), 0, 0
+        out.closeness()
+        out.turn()
+        return out
+
+    def turn(self) -> None:
+        """U from a running mean of the expectations, in which later ones weigh more."""
+        self.expected += self.fresh
+        if self.steps:
+            self.running *= np.float32(1 - 2 / (self.turns + 3))
+            self.running += self.fresh
+            self.turns += 1
+        self.fresh[:] = 0.0
+        u = self.running + np.float32(1e-3)
+        self.u = u / u.sum(0)
+
+    def learn(self, ids: np.ndarray, bounds: np.ndarray, whole: np.ndarray, rate: float = 0.15) -> None:
+        """A step for each block of strides: the expected emissions are added up (ids; and frequent words, named by whole
+        at the place of their first id), the weights follow the gradient of the log probability of the ids."""
+        self.seen += np.bincount(ids, minlength=len(self.u))
+        ones, causal, columns = np.ones(MIX, np.float32), self.back >= 0, np.arange(MIX)
+        for own, to, alone in self.strides(ids, bounds, BLOCK):
+            a, sums, given, g, q, k, v = self.attend(own, alone)
+            count, some = len(a), np.flatnonzero(to >= 0)
+            g /= (g @ ones)[:, None]
+            mixed, what = np.take(g, some, axis=0), to[some]
+            post = mixed * np.take(self.u, ids[what], axis=0)
+            post /= (post @ ones)[:, None] + np.float32(1e-30)
+            at, total = _sums(ids[what], post)
+            self.fresh[at] += total
+            named = np.flatnonzero(whole[what] >= 0)
+            # the view has numpy's own float32, not a copy of it that came with the broadcast: add.at is fast with that only
+            np.add.at(self.words.reshape(-1), (whole[what[named]].astype(np.int64)[:, None] * MIX + columns).ravel(), mixed[named].ravel().view(np.float32))
+            d = np.zeros_like(g)
+            d[some] = mixed - post
+            grad = np.zeros((count + 1, STRIDE, self.p.shape[1]), np.float32)
+            grad[1:, :, 2 * WIDTH : 2 * WIDTH + MIX] = d.reshape(count, STRIDE, MIX)
+            d /= sums[:, None]
+            shared = d.reshape(count, STRIDE, MIX)
+            ds = shared @ v.transpose(0, 2, 1)
+            ds -= ((d * given) @ ones).reshape(count, STRIDE, 1)
+            ds *= a
+            grad[1:, :, :WIDTH] = ds @ k
+            for x, columns_ in ((ds.transpose(0, 2, 1) @ q, slice(WIDTH, 2 * WIDTH)), (a.transpose(0, 2, 1) @ shared, slice(2 * WIDTH + MIX, None))):
+                grad[1:, :, columns_] = x[:, STRIDE:]
+                grad[:-1, :, columns_] += x[:, :STRIDE]
+            at, total = _sums(own, grad.reshape(len(own), -1))
+            inner = slice(0, int(np.searchsorted(at, len(self.u))))  # without the places outside a text
+            at, total = at[inner], total[inner].reshape(-1, 4, WIDTH)
+            self.grown[at] += np.einsum("ijk,ijk->ij", total, total) / np.float32(WIDTH)
+            self.p[at] -= (total * (np.float32(rate) / np.sqrt(self.grown[at]))[:, :, None]).reshape(len(at), -1)
+            near = np.bincount(self.back[causal], ds.sum(0)[causal], minlength=len(self.distance)).astype(np.float32)
+            self.grown_distance += near * near
+            self.distance -= np.float32(rate) * near / np.sqrt(self.grown_distance)
+            self.closeness()
+            self.steps += 1
+            if self.steps % TURN == 0 or self.steps in (1, 2, 4, 8):
+                self.turn()
 
     def start_words(self, counts: np.ndarray) -> None:
         """W before its expectation step: the same in every component, in proportion to the counts."""
@@ -211,34 +304,6 @@ class AttentionLM:
         u = expected + weight * prior[:, None]
         self.u = (u / u.sum(0)).astype(np.float32)
 
-    def train(self, ids: np.ndarray, bounds: np.ndarray, unigram: np.ndarray, epochs: int = 6, rate: float = 0.15, block: int = 512) -> None:
-        at, inside, scored = self.windows(bounds)
-        rng = np.random.default_rng(11)
-        self.emit(np.exp(rng.normal(0, 1.0, self.u.shape)) * (unigram[:, None] + 0.01), unigram)
-        for _ in range(epochs):
-            expected = np.zeros_like(self.u)
-            for i in np.array_split(rng.permutation(len(at)), max(1, len(at) // block)):
-                x, s = ids[at[i]], scored[i]
-                a, g, keys, values, queries = self.forward(x, inside[i])
-                to = ids[np.minimum(at[i][:, CONTEXT:] + 1, len(ids) - 1)]
-                post = g * self.u[to]
-                post /= post.sum(2, keepdims=True) + np.float32(1e-30)
-                d = np.where(s[:, :, None], g - post, 0).astype(np.float32)
-                own, sums = _scatter(to[s], post[s])
-                expected[own] += sums
-                da = d @ values.transpose(0, 2, 1)
-                ds = a * (da - (a * da).sum(2, keepdims=True))
-                steps = {"r": (x[:, CONTEXT:], d), "v": (x, a.transpose(0, 2, 1) @ d), "q": (x[:, CONTEXT:], ds @ keys), "k": (x, ds.transpose(0, 2, 1) @ queries)}
-                for name, (where, grad) in steps.items():
-                    own, sums = _scatter(where.ravel(), grad.reshape(-1, grad.shape[-1]))
-                    self.grown[name][own] += sums * sums
-                    getattr(self, name)[own] -= rate * sums / np.sqrt(self.grown[name][own])
-                near = self.back >= 0
-                sums = np.bincount(self.back[near], ds.sum(0)[near], minlength=len(self.distance)).astype(np.float32)
-                self.grown["distance"] += sums * sums
-                self.distance -= rate * sums / np.sqrt(self.grown["distance"])
-            self.emit(expected, unigram)
-
 
 def _encoded(encoder: Encoder, flat: pa.Array, bounds: np.ndarray):
     """Of texts' flat words: codes, bounds of texts in them, distinct words, ids with a start and an end, bounds of texts
@@ -277,57 +342,90 @@ class Frequent:
         return out
 
 
-def fit(train: DataFrame, frequent: Frequent, vocabulary: str = VOCABULARY) -> AttentionLM:
-    """Attention weights from the bounded sample, emissions from the whole text of every row of train (doc_id, text)."""
-    spark = train.sparkSession
-    ranks = spark.sparkContext.broadcast(load(vocabulary))
-    total = train.count()
-    share = min(1.0, 1.3 * FIT_WINDOWS / max(1, total))
+def taught(texts: DataFrame, lm: AttentionLM, frequent: Frequent, ranks, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lets lm learn from the whole text of every row of texts, in `tasks` tasks at most. Expected emissions of ids and of
+    frequent words, and how often each id is there."""
+    spark = texts.sparkSession
+    held, known = spark.sparkContext.broadcast(lm), spark.sparkContext.broadcast(frequent)
+    size, whole, wide, last = len(lm.u), len(frequent.c), MIX + 1 + lm.grown.shape[1], 2**31 - 1
+    id_blocks, word_blocks = -(-size // ROWS), -(-whole // ROWS)
+    schema = pa.schema([("block", pa.int32()), ("data", pa.binary())])
 
-    def spans(batches):
-        encoder = Encoder(ranks.value)
-        for b in batches:
-            for part in text_slices(b, limit=SLICE):
-                *_, ids, cuts, _ = _encoded(encoder, *words_of(filled(part.column("text"))))
-                lead = np.array(part.column("at").to_numpy(zero_copy_only=False) % np.maximum(1, np.diff(cuts) - SPAN * 4), np.int64)
-                yield rows({"rank": part.column("rank"), "ids": [ids[i + k : min(j, i + k + SPAN * 4)] for i, j, k in zip(cuts[:-1], cuts[1:], lead, strict=True)]}, pa.schema([("rank", pa.int64()), ("ids", pa.list_(pa.int32()))]))
-
-    rank = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
-    drawn = train.select("text", rank.alias("rank"), F.pmod(F.hash("doc_id"), F.lit(1 << 20)).alias("at")).filter(F.col("rank") < share * (1 << 20))
-    got = [np.array(r.ids, np.int32) for r in drawn.mapInArrow(spans, "rank long, ids array<int>").orderBy("rank", "ids").limit(FIT_WINDOWS).collect()]
-    size = len(ranks.value) + 1
-    lm = AttentionLM(size)
-    if got:
-        ids, bounds = np.concatenate(got), np.concatenate([[0], np.cumsum([len(x) for x in got])])
-        lm.train(ids, bounds, np.bincount(ids, minlength=size).astype(np.float64))
-    del lm.grown  # the workers need no training state
-    lm.ready(begins(ranks.value))
-    held = spark.sparkContext.broadcast(lm)
-    known = spark.sparkContext.broadcast(frequent)
-    step, whole = 512, len(frequent.c)
-    pads = [-(-size // step) * step, -(-whole // step) * step]
-
-    def expect(batches):
-        encoder, lm, frequent = Encoder(ranks.value), held.value, known.value
-        sums, seen = (np.zeros((pads[0], MIX), np.float32), np.zeros((pads[1], MIX), np.float32)), np.zeros(size, np.int64)
-        lm.start_words(frequent.c)
+    def run(batches):
+        encoder, start, frequent = Encoder(ranks.value), held.value, known.value
+        lm = start.pupil(whole)
         for b in batches:
             for part in text_slices(b, limit=SLICE):
                 codes, _, words, ids, cuts, starts = _encoded(encoder, *words_of(filled(part.column("text"))))
-                place = frequent.find(hashes(words))
-                lm.expect(ids, cuts, frequent.whole(len(ids), place, codes, starts, cuts), sums)
-                seen += np.bincount(ids, minlength=size)
-        sums[0][:size] *= lm.u
-        sums[1][:whole] *= lm.w
-        out = np.zeros((sum(pads), MIX + 1), np.float32)
-        out[: pads[0], :MIX], out[pads[0] :, :MIX], out[:size, MIX] = *sums, seen
-        yield blocks_of(out, step * (MIX + 1))
-
-    counted = reduced(train.select("text").mapInArrow(expect, "block int, data binary"), sum(pads) // step, step * (MIX + 1), kind="float").reshape(-1, MIX + 1)
+                lm.learn(ids, cuts, frequent.whole(len(ids), frequent.find(hashes(words)), codes, starts, cuts))
+        lm.turn()
+        out = []
+        for i in range(0, size, ROWS):
+            own = slice(i, min(i + ROWS, size))
+            if lm.seen[own].any():
+                counted = np.concatenate([lm.expected[own], lm.seen[own, None], lm.grown[own] - start.grown[own]], 1, dtype=np.float32)
+                out.append((i // ROWS, counted.tobytes() + (lm.p[own] - start.p[own]).astype(np.float16).tobytes()))
+        out += [(id_blocks + i // ROWS, lm.words[i : i + ROWS].tobytes()) for i in range(0, whole, ROWS) if lm.words[i : i + ROWS].any()]
+        n = float(lm.seen.sum())
+        out.append((last, np.concatenate([[n], n * (lm.distance - start.distance), lm.grown_distance - start.grown_distance]).astype(np.float64).tobytes()))
+        yield rows({"block": [k for k, _ in out], "data": [x for _, x in out]}, schema)
+
+    def add(batches):
+        """Sums of the blocks; the steps of an id's weights count as often as the task had the id."""
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                raw_, n = data.as_buffer(), (min(ROWS, size - k * ROWS) if k < id_blocks else 0)
+                got = np.frombuffer(raw_, np.float64 if k == last else np.float32, n * wide if n else -1)
+                if n:
+                    counted, steps = got.reshape(n, wide), np.frombuffer(raw_, np.float16, offset=got.nbytes).reshape(n, -1)
+                    got = np.concatenate([counted, steps * counted[:, MIX : MIX + 1]], 1, dtype=np.float32).ravel()
+                sums[k] = sums[k] + got if k in sums else got.copy()
+        yield rows({"block": list(sums), "data": [x.tobytes() for x in sums.values()]}, schema)
+
+    counted, steps = np.zeros((id_blocks * ROWS, wide), np.float32), np.zeros((id_blocks * ROWS, lm.p.shape[1]), np.float32)
+    words = np.zeros((word_blocks * ROWS, MIX), np.float32)
+    ddl = "block int, data binary"
+    for r in texts.select("text").coalesce(tasks).mapInArrow(run, ddl).repartition("block").mapInArrow(add, ddl).collect():
+        if r.block == last:
+            n, *more = np.frombuffer(bytes(r.data), np.float64)
+            to, grown = np.array(more, np.float32).reshape(2, -1)
+            lm.distance, lm.grown_distance = lm.distance + to / np.float32(max(n, 1.0)), lm.grown_distance + grown
+        elif r.block < id_blocks:
+            got = np.frombuffer(bytes(r.data), np.float32).reshape(-1, wide + lm.p.shape[1])
+            own = slice(r.block * ROWS, r.block * ROWS + len(got))
+            counted[own], steps[own] = got[:, :wide], got[:, wide:]
+        else:
+            got, i = np.frombuffer(bytes(r.data), np.float32).reshape(-1, MIX), (r.block - id_blocks) * ROWS
+            words[i : i + len(got)] = got
+    held.destroy()
+    lm.p[:-1] += steps[:size] / np.maximum(counted[:size, MIX : MIX + 1], 1.0)
+    lm.grown[:-1] += counted[:size, MIX + 1 :]
+    return counted[:size, :MIX], words[:whole], counted[:size, MIX]
+
+
+def fit(train: DataFrame, frequent: Frequent, vocabulary: str = VOCABULARY, tokens: int = 0) -> AttentionLM:
+    """All weights, from the whole text of every row of train (doc_id, text); tokens: about how many it has, for the number
+    of rounds and tasks."""
+    ranks = train.sparkSession.sparkContext.broadcast(load(vocabulary))
+    lm = AttentionLM(len(ranks.value) + 1)
     lm.start_words(frequent.c)
-    if counted.any():
-        lm.emit(counted[:size, :MIX], counted[:size, MIX])
-        lm.emit_words(counted[pads[0] : pads[0] + whole, :MIX])
+    levels = 0
+    while tokens > FIRST * ROUND**levels:
+        levels += 1
+    dealt, bounds = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUND**levels)), [0, *(ROUND**k for k in range(levels + 1))]
+    for _ in range(min(PASSES, max(1, ENOUGH // max(1, tokens)))):
+        sums = None
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            texts = train.filter((dealt >= low) & (dealt < high)) if levels else train
+            got = taught(texts, lm, frequent, ranks, max(1, round(tokens * (high - low) / ROUND**levels / LESSON)))
+            sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
+            if sums[0].any():
+                lm.running = sums[0] * np.float32(min(1.0, (1 << 20) / sums[0].sum(dtype=np.float64)))
+    if sums[0].any():
+        lm.emit(sums[0], sums[2])
+        lm.emit_words(sums[1])
+    del lm.grown, lm.running  # scoring needs no training state
     lm.ready(begins(ranks.value))
     return lm
 
@@ -363,7 +461,7 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str = VOCABULARY) -> Da
     unseen = min(0.5, max(1e-3, once / max(1, n_all)))
     share = (frequent.c[:-1].sum() + ends) / max(1, n_all)
     known_words, ranks = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(load(vocabulary))
-    model = spark.sparkContext.broadcast(fit(train, frequent, vocabulary))
+    model = spark.sparkContext.broadcast(fit(train, frequent, vocabulary, n_all))
     per_end = float(np.log10(ends + 1.0))
     fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("part", pa.float64()), ("score", pa.float64()), ("h", pa.int64())]
     ddl = "row long, doc_id long, n_tokens long, n_known long, part double, score double, h long"

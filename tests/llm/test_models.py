@@ -303,6 +303,62 @@ def test_lm_emissions_cover_every_word(spark, monkeypatch):
     assert seen["expected"] == pytest.approx(len(ids) + 3, rel=1e-4) and seen["words"] == pytest.approx(2305 + 3, rel=1e-4)
 
 
+def test_lm_weights_follow_every_text_and_window(spark):
+    """The weights of each id move, wherever it is: 3500 texts, and one long text."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 6)))
+    long = [word() for _ in range(3000)]
+    texts = [f"{word()} {word()}" for _ in range(3500)] + [" ".join(long)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, encoder = lm.fit(d, lm.Frequent(np.zeros(0, np.int64), np.zeros(0, np.int64), len(texts))), lm.Encoder(lm.load())
+    start = lm.AttentionLM(encoder.end + 1)
+    ids = np.unique(encoder.words(pa.array(" ".join(texts).split()))[0])
+    for name in "qkrv":
+        moved = (getattr(got, name) != getattr(start, name)).any(1)
+        assert moved[ids].all() and moved.sum() == len(ids) + 1, name  # and the start
+    assert (got.distance != 0).all()
+
+
+def test_lm_rounds_have_each_text_once(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"a{i % 7} b{i % 5}") for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "FIRST", 10)
+    sizes, taught = [], lm.taught
+    monkeypatch.setattr(lm, "taught", lambda texts, *a: (sizes.append(texts.count()), taught(texts, *a))[1])
+    monkeypatch.setattr(lm, "PASSES", 1)
+    seen, emit = {}, lm.AttentionLM.emit
+    monkeypatch.setattr(lm.AttentionLM, "emit", lambda self, e, unigram: (seen.update(ends=unigram[-1]), emit(self, e, unigram))[1])
+    lm.fit(d, lm.Frequent(np.zeros(0, np.int64), np.zeros(0, np.int64), 400), lm.VOCABULARY, 1200)
+    assert len(sizes) == 3 and sum(sizes) == 400 and seen["ends"] == 800
+
+
+def test_lm_step_follows_the_gradient(monkeypatch):
+    m = lm.AttentionLM(20, seed=5)
+    rng = np.random.default_rng(2)
+    ids, bounds = rng.integers(0, 20, 90).astype(np.int32), np.array([0, 50, 51, 90])
+    m.running = m.running * 100
+    own = m.pupil(1)
+    m.u = own.u.copy()
+    m.start_words(np.ones(1))
+
+    def loss():
+        m.ready(np.ones(20, bool))
+        return m.log10(ids, bounds, np.full(90, -1))[0].sum() * np.log(10)
+
+    before = m.p.copy()
+    own.learn(ids, bounds, np.full(90, -1))
+    for i in (3, 11):
+        for part in range(4):
+            columns = np.arange(16 * part, 16 * part + 16)
+            slope = np.zeros(16)
+            for j, c in enumerate(columns):
+                for step in (0.02, -0.02):
+                    m.p[i, c] = before[i, c] + step
+                    slope[j] += loss() * np.sign(step)
+                m.p[i, c] = before[i, c]
+            change = own.p[i, columns] - before[i, columns]
+            assert change @ slope / np.linalg.norm(change) / np.linalg.norm(slope) > 0.995, (i, part)
+
+
 # ---- SentencePiece -------------------------------------------------------------------------------------------------
 
 
