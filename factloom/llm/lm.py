@@ -52,8 +52,10 @@ CONTEXT, STRIDE, WIDTH, MIX, HOT = 16, 16, 16, 16, 150_000
 LESSON, ROUND, FIRST, ENOUGH, PASSES = 2 << 20, 16, 6 << 20, 2 << 20, 6
 #: Strides of a step of training, steps between two estimates of U, rows of a block that is sent.
 BLOCK, TURN, ROWS = 512, 16, 128
-#: Bytes of text that a worker holds as ids at a time.
-SLICE = 2 << 20
+#: Numbers from one stride's attention to the next one's; rows that are added up at a time.
+BAND, GROUP, ONES = 2 * STRIDE * STRIDE + STRIDE, 8, np.ones(MIX, np.float32)
+#: Bytes of text that a worker holds as ids at a time, and of which it encodes each word once.
+SLICE, ENCODED = 2 << 20, 8 << 20
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
 OTHER_SPACE = re.compile(r"[^\S ]")
 
@@ -113,6 +115,45 @@ def _sums(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own[first], np.add.reduceat(np.take(values, order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
 
 
+def _row_sums(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_sums for wide rows, of which values has one more than there are ids, all zero: rows of an id are first added up in
+    groups, filled up with that row."""
+    order = np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")
+    own = ids[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    n = np.diff(first, append=len(own))
+    groups = -(-n // GROUP)
+    start = np.cumsum(groups) - groups
+    place = np.full((GROUP, int(groups.sum())), len(ids))
+    at = np.arange(len(own)) + np.repeat(start * GROUP - first, n)
+    place[at % GROUP, at // GROUP] = order
+    sums = np.take(values, place[0], axis=0)
+    more = np.empty_like(sums)
+    for p in place[1:]:
+        sums += np.take(values, p, axis=0, out=more, mode="clip")
+    return own[first], np.add.reduceat(sums.view(np.complex64), start, axis=0).view(np.float32)
+
+
+class Room:
+    """Arrays that blocks of at most `count` strides use in turn. Strides of a block have places 1 to n; 0 is the stride
+    before them, n + 1 one that counts nothing. Attention is kept in bands: the weights of a stride's places on the places of
+    the one before it and its own (`by_queries`), laid out so that the weights on a stride's places, by its own and the next
+    one's places (`by_keys`), are as regular. Products read and write these arrays where they are, without copies."""
+
+    def __init__(self, count: int, columns: int):
+        self.rows, self.grad = np.zeros((2, count + 2, STRIDE, columns), np.float32)
+        self.given, self.mixed, self.shared = np.zeros((3, count + 2, STRIDE, MIX), np.float32)
+        self.attention, self.steps = np.zeros((2, (count + 2) * BAND + STRIDE), np.float32)
+        view = np.lib.stride_tricks.as_strided
+        self.pairs, self.shared_pairs = (view(x, (count + 1, 2 * STRIDE, x.shape[2]), x.strides) for x in (self.rows, self.shared))
+        self.by_queries, self.steps_by_queries = (view(x, (count + 2, STRIDE, 2 * STRIDE), (4 * BAND, 8 * STRIDE, 4)) for x in (self.attention, self.steps))
+        self.by_keys, self.steps_by_keys = (view(x[STRIDE:], (count + 1, STRIDE, 2 * STRIDE), (4 * BAND, 4, 8 * STRIDE)) for x in (self.attention, self.steps))
+
+    def close(self, count: int) -> None:
+        """Nothing is given by the places after stride count, nor to them."""
+        self.by_queries[count + 1] = self.steps_by_queries[count + 1] = self.shared[count + 1] = self.grad[count + 1] = 0.0
+
+
 class AttentionLM:
     """Queries, keys, mixture weights of the current id and values are columns of one table, whose last row stands for
     places outside a text."""
@@ -162,8 +203,9 @@ class AttentionLM:
         return a, g, keys, values, queries
 
     def closeness(self) -> None:
-        """The factor of each distance."""
-        self.near = np.where(self.back >= 0, np.exp(self.distance)[np.maximum(self.back, 0)], 0.0).astype(np.float32)
+        """The factor of each distance, for a stride of a band."""
+        self.near = np.zeros(BAND, np.float32)
+        self.near[:-STRIDE] = np.where(self.back >= 0, np.exp(self.distance)[np.maximum(self.back, 0)], 0.0).ravel()
 
     def ready(self, starts: np.ndarray) -> None:
         """For scoring: the factor of each distance, and each component's share of ids that begin a word (or end the text)."""
@@ -187,29 +229,35 @@ class AttentionLM:
             own = x[(i - 1) * STRIDE : (i + block) * STRIDE]
             yield own, to[i * STRIDE : (i - 1) * STRIDE + len(own)], np.flatnonzero(alone[i : i - 1 + len(own) // STRIDE])
 
-    def attend(self, own: np.ndarray, alone: np.ndarray):
-        """Attention (not yet divided by its sums), its sums, the values it gives, mixture weights (not yet divided by
-        their sums), queries, keys and values of strides that follow each other."""
-        rows, count = np.take(self.p, own, axis=0), len(own) // STRIDE - 1
-        windows = np.lib.stride_tricks.as_strided(rows, (count, 2 * STRIDE, rows.shape[1]), (STRIDE * rows.strides[0], *rows.strides))
-        current = rows[STRIDE:].reshape(count, STRIDE, -1)
-        q, k, v = current[:, :, :WIDTH], windows[:, :, WIDTH : 2 * WIDTH], windows[:, :, 2 * WIDTH + MIX :]
-        a = q @ k.transpose(0, 2, 1)
-        np.exp(np.minimum(a, 30.0, out=a), out=a)
-        a *= self.near
-        a[alone, :, :STRIDE] = 0.0
-        sums = a.reshape(-1, 2 * STRIDE) @ np.ones(2 * STRIDE, np.float32) + np.float32(1e-20)
-        given = (a @ v).reshape(-1, MIX)
-        given /= sums[:, None]
-        g = given + rows[STRIDE:, 2 * WIDTH : 2 * WIDTH + MIX]
-        return a, sums, given, np.exp(np.minimum(g, 60.0, out=g), out=g), q, k, v
+    def attend(self, own: np.ndarray, alone: np.ndarray, room: Room):
+        """Leaves in the room the rows of strides that follow each other, attention (not yet divided by its sums), the values
+        it gives and mixture weights (not yet divided by their sums). The sums of attention, these values and weights."""
+        n = len(own) // STRIDE
+        np.take(self.p, own, axis=0, out=room.rows[:n].reshape(len(own), -1), mode="clip")
+        current, windows, given, g = room.rows[1:n], room.pairs[: n - 1], room.given[1:n], room.mixed[1:n]
+        np.matmul(current[:, :, :WIDTH], windows[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1), out=room.by_queries[1:n])
+        a = room.attention[BAND : n * BAND]
+        if not a.max(initial=0.0) <= 30.0:
+            np.minimum(a, 30.0, out=a)
+        np.exp(a, out=a)
+        a.reshape(-1, BAND)[:] *= self.near
+        room.by_queries[1 + alone, :, :STRIDE] = 0.0
+        halves = (a.reshape(-1, STRIDE) @ ONES).reshape(n - 1, -1)
+        sums = (halves[:, :-1:2] + halves[:, 1:-1:2]).reshape(-1, 1) + np.float32(1e-20)
+        np.matmul(room.by_queries[1:n], windows[:, :, 2 * WIDTH + MIX :], out=given)
+        np.divide(given.reshape(-1, MIX), sums, out=given.reshape(-1, MIX))
+        np.add(given, current[:, :, 2 * WIDTH : 2 * WIDTH + MIX], out=g)
+        if not g.max(initial=0.0) <= 60.0:
+            np.minimum(g, 60.0, out=g)
+        return sums, given.reshape(-1, MIX), np.exp(g, out=g).reshape(-1, MIX)
 
     def mixtures(self, ids: np.ndarray, bounds: np.ndarray, block: int = 1024):
         """For sequences between bounds, block by block: mixture weights (not yet divided by their sum) and places of the
         ids that they predict."""
+        room = Room(block, self.p.shape[1])
         for own, to, alone in self.strides(ids, bounds, block):
             some = np.flatnonzero(to >= 0)
-            yield np.take(self.attend(own, alone)[3], some, axis=0), to[some]
+            yield np.take(self.attend(own, alone, room)[2], some, axis=0), to[some]
 
     def log10(self, ids: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each id given what precedes it (0 for each start), the same of any id that begins a word
@@ -219,8 +267,9 @@ class AttentionLM:
             both = g @ np.stack([np.ones(MIX, np.float32), self.begins], 1)
             spelled[to] = np.einsum("ij,ij->i", g, np.take(self.u, ids[to], axis=0)) / both[:, 0]
             begins[to] = both[:, 1] / both[:, 0]
-            some = np.flatnonzero(whole[to] >= 0)
-            emitted[to[some]] = np.einsum("ij,ij->i", g[some], self.w[whole[to[some]]]) / both[some, 0]
+            names = whole[to]
+            some = np.flatnonzero(names >= 0)
+            emitted[to[some]] = np.einsum("ij,ij->i", np.take(g, some, axis=0), np.take(self.w, names[some], axis=0)) / both[some, 0]
         first = bounds[:-1]
         spelled[first] = begins[first] = 1.0
         return np.log10(spelled + 1e-30), np.log10(begins + 1e-30), emitted
@@ -231,6 +280,7 @@ class AttentionLM:
         out.p, out.grown, out.distance, out.grown_distance, out.running = (x.copy() for x in (self.p, self.grown, self.distance, self.grown_distance, self.running))
         out.fresh, out.expected, out.words = np.zeros_like(self.u), np.zeros_like(self.u), np.zeros((words, MIX), np.float32)
         out.seen, out.steps, out.turns = np.zeros(len(self.u), np.int64), 0, 0
+        out.room = Room(BLOCK, self.p.shape[1])
         out.closeness()
         out.turn()
         return out
@@ -250,38 +300,44 @@ class AttentionLM:
         """A step for each block of strides: the expected emissions are added up (ids; and frequent words, named by whole
         at the place of their first id), the weights follow the gradient of the log probability of the ids."""
         self.seen += np.bincount(ids, minlength=len(self.u))
-        ones, causal, columns = np.ones(MIX, np.float32), self.back >= 0, np.arange(MIX)
+        causal, room = self.back >= 0, self.room
         for own, to, alone in self.strides(ids, bounds, BLOCK):
-            a, sums, given, g, q, k, v = self.attend(own, alone)
-            count, some = len(a), np.flatnonzero(to >= 0)
-            g /= (g @ ones)[:, None]
-            mixed, what = np.take(g, some, axis=0), to[some]
-            post = mixed * np.take(self.u, ids[what], axis=0)
-            post /= (post @ ones)[:, None] + np.float32(1e-30)
-            at, total = _sums(ids[what], post)
+            count, none = len(own) // STRIDE - 1, np.flatnonzero(to < 0)
+            what, names = ids[to], whole[to]  # places that predict nothing have the last id
+            room.close(count)
+            sums, given, g = self.attend(own, alone, room)
+            g /= (g @ ONES)[:, None]
+            post = np.take(self.u, what, axis=0)
+            post *= g
+            post /= (post @ ONES)[:, None] + np.float32(1e-30)
+            post[none] = 0.0
+            at, total = _sums(what, post)
             self.fresh[at] += total
-            named = np.flatnonzero(whole[what] >= 0)
-            # the view has numpy's own float32, not a copy of it that came with the broadcast: add.at is fast with that only
-            np.add.at(self.words.reshape(-1), (whole[what[named]].astype(np.int64)[:, None] * MIX + columns).ravel(), mixed[named].ravel().view(np.float32))
-            d = np.zeros_like(g)
-            d[some] = mixed - post
-            grad = np.zeros((count + 1, STRIDE, self.p.shape[1]), np.float32)
-            grad[1:, :, 2 * WIDTH : 2 * WIDTH + MIX] = d.reshape(count, STRIDE, MIX)
-            d /= sums[:, None]
-            shared = d.reshape(count, STRIDE, MIX)
-            ds = shared @ v.transpose(0, 2, 1)
-            ds -= ((d * given) @ ones).reshape(count, STRIDE, 1)
-            ds *= a
-            grad[1:, :, :WIDTH] = ds @ k
-            for x, columns_ in ((ds.transpose(0, 2, 1) @ q, slice(WIDTH, 2 * WIDTH)), (a.transpose(0, 2, 1) @ shared, slice(2 * WIDTH + MIX, None))):
-                grad[1:, :, columns_] = x[:, STRIDE:]
-                grad[:-1, :, columns_] += x[:, :STRIDE]
-            at, total = _sums(own, grad.reshape(len(own), -1))
+            names[none] = -1
+            named = np.flatnonzero(names >= 0)
+            at, total = _sums(names[named], np.take(g, named, axis=0))
+            self.words[at] += total
+            grad, shared, windows = room.grad, room.shared[1 : count + 1], room.pairs[:count]
+            d = np.subtract(g, post, out=shared.reshape(-1, MIX))
+            d[none] = 0.0
+            grad[1 : count + 1, :, 2 * WIDTH : 2 * WIDTH + MIX] = shared
+            d /= sums
+            ds = np.matmul(shared, windows[:, :, 2 * WIDTH + MIX :].transpose(0, 2, 1), out=room.steps_by_queries[1 : count + 1])
+            given *= d
+            ds -= (given @ ONES).reshape(count, STRIDE, 1)
+            band = slice(BAND, (count + 1) * BAND)
+            room.steps[band] *= room.attention[band]
+            np.matmul(ds, windows[:, :, WIDTH : 2 * WIDTH], out=grad[1 : count + 1, :, :WIDTH])
+            here = slice(0, count + 1)
+            np.matmul(room.steps_by_keys[here], room.pairs[here, :, :WIDTH], out=grad[here, :, WIDTH : 2 * WIDTH])
+            np.matmul(room.by_keys[here], room.shared_pairs[here], out=grad[here, :, 2 * WIDTH + MIX :])
+            at, total = _row_sums(own, grad[: count + 2].reshape(-1, self.p.shape[1])[: len(own) + 1])
             inner = slice(0, int(np.searchsorted(at, len(self.u))))  # without the places outside a text
             at, total = at[inner], total[inner].reshape(-1, 4, WIDTH)
             self.grown[at] += np.einsum("ijk,ijk->ij", total, total) / np.float32(WIDTH)
             self.p[at] -= (total * (np.float32(rate) / np.sqrt(self.grown[at]))[:, :, None]).reshape(len(at), -1)
-            near = np.bincount(self.back[causal], ds.sum(0)[causal], minlength=len(self.distance)).astype(np.float32)
+            near = np.ones(count, np.float32) @ room.steps[band].reshape(count, BAND)
+            near = np.bincount(self.back[causal], near[:-STRIDE].reshape(causal.shape)[causal], minlength=len(self.distance)).astype(np.float32)
             self.grown_distance += near * near
             self.distance -= np.float32(rate) * near / np.sqrt(self.grown_distance)
             self.closeness()
@@ -305,19 +361,28 @@ class AttentionLM:
         self.u = (u / u.sum(0)).astype(np.float32)
 
 
-def _encoded(encoder: Encoder, flat: pa.Array, bounds: np.ndarray):
-    """Of texts' flat words: codes, bounds of texts in them, distinct words, ids with a start and an end, bounds of texts
-    in the ids, and the place of each word's first id."""
-    coded = flat.dictionary_encode()
-    codes = coded.indices.to_numpy()
-    body, ends = _spread(*encoder.words(coded.dictionary), codes)
-    at, n = np.concatenate([[0], ends])[bounds], len(bounds) - 1
-    ids, cuts = np.full(len(body) + 2 * n, encoder.end, np.int32), at + 2 * np.arange(n + 1)
-    inner = np.ones(len(ids), bool)
-    inner[cuts[:-1]] = inner[cuts[1:] - 1] = False
-    ids[inner] = body
-    first = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
-    return codes, bounds, coded.dictionary, ids, cuts, first + 2 * np.repeat(np.arange(n), np.diff(bounds)) + 1
+def _encoded(encoder: Encoder, frequent: Frequent, batch: pa.RecordBatch):
+    """Texts of a batch slice by slice: the rows, codes of their words, bounds of texts in these, hashes of the words that
+    codes stand for, their places among the frequent ones, ids with a start and an end, bounds of texts in the ids, and the
+    place of each word's first id. A word is encoded once for all slices that hold ENCODED bytes together."""
+    for large in text_slices(batch, limit=ENCODED):
+        flat, bounds = words_of(filled(large.column("text")))
+        coded = flat.dictionary_encode()
+        codes, h, encoded, row = coded.indices.to_numpy(), hashes(coded.dictionary), encoder.words(coded.dictionary), 0
+        del flat, coded
+        place = frequent.find(h)
+        for part in text_slices(large, limit=SLICE):
+            n = part.num_rows
+            low, high = bounds[row], bounds[row + n]
+            own, cut, row = codes[low:high], bounds[row : row + n + 1] - low, row + n
+            body, ends = _spread(*encoded, own)
+            at = np.concatenate([[0], ends])[cut]
+            ids, cuts = np.full(len(body) + 2 * n, encoder.end, np.int32), at + 2 * np.arange(n + 1)
+            inner = np.ones(len(ids), bool)
+            inner[cuts[:-1]] = inner[cuts[1:] - 1] = False
+            ids[inner] = body
+            first = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
+            yield part, own, cut, h, place, ids, cuts, first + 2 * np.repeat(np.arange(n), np.diff(cut)) + 1
 
 
 class Frequent:
@@ -355,9 +420,8 @@ def taught(texts: DataFrame, lm: AttentionLM, frequent: Frequent, ranks, tasks:
         encoder, start, frequent = Encoder(ranks.value), held.value, known.value
         lm = start.pupil(whole)
         for b in batches:
-            for part in text_slices(b, limit=SLICE):
-                codes, _, words, ids, cuts, starts = _encoded(encoder, *words_of(filled(part.column("text"))))
-                lm.learn(ids, cuts, frequent.whole(len(ids), frequent.find(hashes(words)), codes, starts, cuts))
+            for _, codes, _, _, place, ids, cuts, starts in _encoded(encoder, frequent, b):
+                lm.learn(ids, cuts, frequent.whole(len(ids), place, codes, starts, cuts))
         lm.turn()
         out = []
         for i in range(0, size, ROWS):
@@ -471,11 +535,8 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str = VOCABULARY) -> Da
         encoder, lm, frequent, schema = Encoder(ranks.value), model.value, known_words.value, pa.schema(fields)
         row, logs = TaskContext.get().partitionId() << 33, np.append(np.log10(frequent.c[:-1] + 1), 0.0)
         for b in batches:
-            for part in text_slices(b, limit=SLICE):
+            for part, codes, bounds, h, place, ids, cuts, first in _encoded(encoder, frequent, b):
                 n = part.num_rows
-                codes, bounds, words, ids, cuts, first = _encoded(encoder, *words_of(filled(part.column("text"))))
-                h = hashes(words)
-                place = frequent.find(h)
                 spelled, begins, emitted = lm.log10(ids, cuts, frequent.whole(len(ids), place, codes, first, cuts))
                 total = np.concatenate([[0.0], np.cumsum(spelled)])
                 owner = np.repeat(np.arange(n), np.diff(bounds))

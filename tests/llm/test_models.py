@@ -359,6 +359,53 @@ def test_lm_step_follows_the_gradient(monkeypatch):
             assert change @ slope / np.linalg.norm(change) / np.linalg.norm(slope) > 0.995, (i, part)
 
 
+def test_words_of_several_slices_are_encoded_once(monkeypatch):
+    texts = ["one two three", "", "two  three FOUR", None, "four one " * 40, "one"]
+    batch = pa.record_batch({"doc_id": pa.array(range(6)), "text": pa.array(texts)})
+    encoder, known = lm.Encoder(lm.load()), lm.Frequent(hashes(pa.array(["two", "one"])), np.array([3, 5]), 6)
+    asked, words = [], lm.Encoder.words
+    monkeypatch.setattr(lm.Encoder, "words", lambda self, x: (asked.extend(x.to_pylist()), words(self, x))[1])
+    monkeypatch.setattr(lm, "SLICE", 20)
+    got = list(lm._encoded(encoder, known, batch))
+    assert len(got) > 1 and sorted(asked) == ["four", "one", "three", "two"]
+    k = 0
+    for part, codes, bounds, h, place, ids, cuts, first in got:
+        for i in range(part.num_rows):
+            plain = az(texts[k] or "").split()
+            spelled = [encoder.bpe.encode_ordinary(" " + w) for w in plain]
+            assert ids[cuts[i] : cuts[i + 1]].tolist() == [encoder.end, *sum(spelled, []), encoder.end]
+            own = slice(bounds[i], bounds[i + 1])
+            assert (h[codes[own]] == hashes(pa.array(plain, pa.string()))).all() if plain else own.start == own.stop
+            assert (place[codes[own]] == known.find(h[codes[own]])).all()
+            assert ids[first[own]].tolist() == [x[0] for x in spelled]
+            k += 1
+    assert k == len(texts)
+
+
+def test_sums_of_rows_in_groups():
+    rng = np.random.default_rng(3)
+    for ids in (rng.integers(0, 9, 200), rng.permutation(50), np.zeros(17, int), np.array([70_000, 1, 70_000])):
+        values = rng.normal(size=(len(ids) + 1, 6)).astype(np.float32)
+        values[-1] = 0.0
+        at, sums = lm._row_sums(ids.astype(np.int32), values)
+        assert at.tolist() == sorted(set(ids.tolist()))
+        assert np.allclose(sums, [values[:-1][ids == i].sum(0) for i in at], atol=1e-5)
+
+
+def test_blocks_leave_nothing_to_the_next_ones():
+    """Blocks of other sizes work in the same arrays."""
+    rng = np.random.default_rng(6)
+    ids, whole = rng.integers(0, 30, 9000).astype(np.int32), rng.integers(-1, 2, 9000)
+    kept, fresh = lm.AttentionLM(30, seed=2).pupil(2), lm.AttentionLM(30, seed=2).pupil(2)
+    for bounds in (np.array([0, 8900, 9000]), np.array([0, 40, 41, 90]), np.array([0, 1]), np.array([0, 700])):
+        n = bounds[-1]
+        kept.learn(ids[:n], bounds, whole[:n])
+        fresh.room = lm.Room(lm.BLOCK, fresh.p.shape[1])
+        fresh.learn(ids[:n], bounds, whole[:n])
+        for name in ("p", "fresh", "words", "grown", "distance"):
+            assert (getattr(kept, name) == getattr(fresh, name)).all(), name
+
+
 # ---- SentencePiece -------------------------------------------------------------------------------------------------
 
 
